@@ -6,8 +6,9 @@ instead of members**2 * 2 * depth. With 8 members of depth 2, 32 minhashes make
 pair at similarity 0.85 meets in one of them with probability 1 - 7e-5.
 
 Documents with the same shingle set are one node. In each bucket the members are compared with a
-pivot; the links join into components, and what a bucket still holds in different components is
-compared in full, so no candidate of the banding is left out.
+pivot, the one with the most company; the links join into components. Members of a bucket in different
+components are compared with each other where their differences from the pivot leave it open (see
+`unpivoted`), so no candidate of the banding is left out and no bucket is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -89,34 +90,115 @@ def table_keys(nodes: DataFrame, members: int, depth: int) -> DataFrame:
     return nodes.select("row", "n", "sig").mapInArrow(keys, "key long, row long, n long")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union of their full sets."""
+def full_sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(row, set) of the rows that `pairs` (u, v) name, computed from the whole texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _some(_texts(batch.column(1))):
                 out = [s.tobytes() for s in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.large_binary())], names=["row", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.binary())], names=["row", "set"])
+
+    named = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    return rows.select("row", "text").join(named, "row", "left_semi").mapInArrow(sets, "row long, set binary")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """u, v, n, linked: whether 100 * intersection >= percent * union of the full sets (n: size of u's).
+
+    With `differences`, also d, the size of the symmetric difference, and its first elements: those
+    of u alone, then those of v alone, each in the order of their hashes, as many as a probe needs.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            sizes, linked, far, heads = [], [], [], []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[place] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    named = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    full = materialize(rows.select("row", "text").join(named, "row", "left_semi").mapInArrow(sets, "row long, set binary"), "lz4")
-    one = pairs.join(full.withColumnsRenamed({"row": "u", "set": "us"}), "u")
-    both = one.join(full.withColumnsRenamed({"row": "v", "set": "vs"}), "v")
-    return both.select("u", "v", "us", "vs").mapInArrow(meet, "u long, v long")
-
-
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, members: int = MEMBERS, depth: int = DEPTH, rows: DataFrame | None = None) -> DataFrame:
+                found = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                both = int(found.sum())
+                sizes.append(len(x))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                if differences:
+                    most = _reach(len(x), percent) + 1
+                    head = x[~found][:most]
+                    if len(head) < most:
+                        head = np.concatenate([head, y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y][: most - len(head)]])
+                    far.append(len(x) + len(y) - 2 * both)
+                    heads.append(head.view(np.int64))
+            out = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_())]
+            if differences:
+                out += [pa.array(far, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["u", "v", "n", "linked", "d", "head"][: len(out)])
+
+    one = pairs.select("u", "v").join(sets.withColumnsRenamed({"row": "u", "set": "us"}), "u")
+    both = one.join(sets.withColumnsRenamed({"row": "v", "set": "vs"}), "v")
+    return both.select("u", "v", "us", "vs").mapInArrow(meet, "u long, v long, n long, linked boolean" + ", d long, head array<long>" * differences)
+
+
+def _reach(n: int, percent: int) -> int:
+    """The most that a set of n can differ from one it is linked with."""
+    return (100 - percent) * n // percent
+
+
+def climbed(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Compare the members of each group g with a pivot, in turn with g, the member nearest to it, and so on.
+
+    A copy with a change of its own is nearest to the text it was made of, so the pivots climb to
+    the middle of a family. Returns all comparisons (u, v, n, linked, d, head) and, of groups in
+    which no pivot is linked with every member, (g, v): the pivot with the most links.
+    """
+    now = members.select("g", F.col("g").alias("v")).distinct().withColumn("used", F.array("v"))
+    all_seen, tries = [], []
+    for step in range(rounds):
+        asked = materialize(members.join(now, "g").filter("row != v").select("g", F.col("row").alias("u"), "v", "used"), "lz4")
+        pairs = asked.select("u", "v").distinct()
+        for earlier in all_seen:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+        fresh = materialize(compared(pairs, sets, percent, differences=True), "lz4")
+        all_seen.append(fresh)
+        seen = all_seen[0]
+        for more in all_seen[1:]:
+            seen = seen.union(more)
+        met = asked.join(seen.drop("head"), ["u", "v"])
+        nearest = F.min(F.when(~F.array_contains("used", F.col("u")), F.struct("d", "u")))["u"]
+        by_group = met.groupBy("g", "v").agg(F.count_if("linked").alias("links"), F.count(F.lit(1)).alias("size"), F.first("used").alias("used"), nearest.alias("next"))
+        tried = materialize(by_group, "lz4")
+        tries.append(tried.select("g", "v", "links", "size"))
+        now = tried.filter("links < size AND next IS NOT NULL").select("g", F.col("next").alias("v"), F.array_append("used", F.col("next")).alias("used"))
+    every = tries[0]
+    for t in tries[1:]:
+        every = every.union(t)
+    best = every.groupBy("g").agg(F.max(F.struct("links", "v")).alias("best"), F.bool_or(F.col("links") == F.col("size")).alias("done"))
+    return seen, best.filter("NOT done").select("g", F.col("best.v").alias("v"))
+
+
+def unpivoted(seen: DataFrame, members: DataFrame, best: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one group, in different components, that may be linked without a link to the group's pivot.
+
+    Let x and y differ from their pivot p by the sets Dx and Dy. They differ from each other by
+    |Dx| + |Dy| - 2 |Dx & Dy|, which has to be at most t, a bound that follows from their sizes. If
+    not both are linked with p, that takes a common element; with |Dx| >= |Dy|, and any fixed order
+    of elements, one among the first t + 1 of Dx and the first t / 2 + 1 of Dy (prefix filter). What
+    copies add to p comes first in the order, so that copies of one text with changes of their own
+    don't meet. No pair that is linked is left out.
+    """
+    placed = members.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    others = placed.join(best, "g").filter("row != v")
+    open_ = others.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("g")
+    asked = others.join(open_, "g", "left_semi").select(F.col("row").alias("u"), "v", "root").distinct()
+    known = asked.join(seen, ["u", "v"])
+    each = known.select("u", F.col("v").alias("p"), "n", "d", "root", F.posexplode("head").alias("at", "e"))
+    reach = lambda n: F.floor(F.lit(100 - percent) * n / percent)
+    x, y = each.alias("x"), each.filter(F.col("at") <= F.floor(reach(F.col("n")) / 2)).alias("y")
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    order = (F.col("x.d") > F.col("y.d")) | (F.col("x.d") == F.col("y.d")) & (F.col("x.u") > F.col("y.u"))
+    near = (F.col("x.d") - F.col("y.d")) * (100 + percent) <= F.lit(100 - percent) * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root")) & order & sizes & near)
+    return met.select(F.col("x.u").alias("u"), F.col("y.u").alias("v")).distinct()
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, members: int = MEMBERS, depth: int = DEPTH, rounds: int = 3, rows: DataFrame | None = None) -> DataFrame:
     """One row a document: row, doc_id, n_shingles, component_id, kept.
 
     Documents are linked at 100 * intersection >= percent * union of their sets of shingles;
@@ -136,20 +218,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.withColumn("salt", F.pmod("row", F.lit(1024))).join(salted.select(*same, "salt").join(nodes, same), [*same, "salt"], "left")
         .select(signed.row, "doc_id", "n", F.coalesce(nodes.row, signed.row).alias("node"), "sig"), "lz4")
     keys = materialize(table_keys(members_of.filter("row = node AND n > 0"), members, depth), "lz4")
-    buckets = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = materialize(keys.join(buckets, "key"), "lz4")
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    first = materialize(shared.filter(F.col("row") != F.col("pivot.row")).filter(fits(F.col("n"), F.col("pivot.n"))).select(F.col("row").alias("u"), F.col("pivot.row").alias("v")).distinct(), "lz4")
-    links = materialize(confirmed(first, rows, words, percent), "lz4")
-    roots = components(links)
-    # What a bucket holds in different components still: every such pair that hasn't been compared.
-    placed = shared.select("key", "row", "n").join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    open_ = materialize(placed.join(mixed_keys, "key", "left_semi"), "lz4")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n")))
-    second = materialize(rest.select(F.col("x.row").alias("u"), F.col("y.row").alias("v")).distinct().join(first, ["u", "v"], "left_anti"), "lz4")
-    more = materialize(confirmed(second, rows, words, percent), "lz4")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialize(keys.join(sizes, "key"), "lz4")
+    # The pivot is the member with the most company in all its buckets: the text that copies were made of.
+    company = shared.groupBy("row").agg(F.sum("size").alias("company"))
+    ranked = materialize(shared.join(company, "row"), "lz4")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "row")).alias("pivot"))
+    buckets = materialize(ranked.join(pivots, "key").select("key", "row", F.col("pivot.row").alias("pivot")), "lz4")
+    groups = materialize(buckets.select("row", F.col("pivot").alias("g")).distinct(), "lz4")
+    sets = materialize(full_sets(groups.select(F.col("row").alias("u"), F.col("row").alias("v")), rows, words), "lz4")
+    seen, best_pivots = climbed(groups, sets, percent, rounds)
+    links = materialize(seen.filter("linked").select("u", "v"), "lz4")
+    second = materialize(unpivoted(seen, groups, materialize(best_pivots, "lz4"), components(links), percent), "lz4")
+    more = materialize(compared(second, sets, percent), "lz4").filter("linked").select("u", "v")
     roots = components(links.union(more))
     linked = members_of.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = linked.groupBy("root", F.pmod("row", F.lit(1024)).alias("salt")).agg(F.min(best).alias("best"))
