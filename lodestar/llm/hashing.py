@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
@@ -28,19 +31,51 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*texts, b""]) if texts else b"", dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def texts_of(column: pa.Array) -> list[bytes]:
+    """The texts of a column in UTF-8, null as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def some_texts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about `most` bytes, each with the place of its first text."""
+    size, first = 0, 0
+    for at, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield first, texts[first : at + 1]
+            first, size = at + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, dtype=np.uint64)
     if n:
         out[0] = 1
-        done, top = 1, _U(base)
+        done, top = 1, base
         while done < n:
             more = min(done, n - done)
-            out[done : done + more] = out[:more] * top
+            out[done : done + more] = out[:more] * _U(top)
             done += more
-            top = top * top
+            top = top * top % (1 << 64)
     return out
 
 
+_CODED = _BYTE[_LOWER]
+_POWERS: list[np.ndarray] = []
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64; kept by the process up to a few million."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, 1 << 21)
+    made = [powers(int(_PRIME), size), powers(pow(int(_PRIME), -1, 1 << 64), size)]
+    if size <= 1 << 23:
+        _POWERS[:] = made
+    return made[0], made[1]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and the index of each text's first word (and the end)."""
     data, begins = joined(texts)
@@ -51,23 +86,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last = ~space
     last[:-1] &= space[1:]
     ends = np.flatnonzero(last) + 1
-    sizes = ends - starts
-    out = np.zeros(len(starts), dtype=np.uint64)
-    coded = _BYTE[_LOWER[data]]
-    # Horner by place in the word: all words of at least k+1 letters take their k-th.
-    order = np.argsort(-sizes, kind="stable") if len(sizes) and sizes.max() < 64 else None
-    if order is not None:
-        s, left = starts[order], sizes[order]
-        h = np.zeros(len(s), dtype=np.uint64)
-        upto = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), side="right")
-        for k, n in enumerate(upto):
-            h[:n] = h[:n] * _PRIME + coded[s[:n] + k]
-        out[order] = h
-    else:
-        for i, (a, n) in enumerate(zip(starts, sizes, strict=True)):
-            p = powers(int(_PRIME), int(n))[::-1]
-            out[i] = (coded[a : a + n] * p).sum(dtype=np.uint64)
-    return mixed(out + sizes.astype(np.uint64)), np.searchsorted(starts, begins)
+    # A word's hash is the sum of coded letters times rising powers, brought to its own start by inverse powers.
+    up, down = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_CODED[data] * up[: len(data)], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * down[starts]
+    return mixed(out + (ends - starts).astype(np.uint64)), np.searchsorted(starts, begins)
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:

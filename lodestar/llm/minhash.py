@@ -22,35 +22,19 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, materialize, with_rows
 from .components import components
-from .hashing import mixed, shingle_sets
+from .hashing import mixed, shingle_sets, some_texts, texts_of
 
 MEMBERS, DEPTH = 8, 2
 SIGNED = "row long, doc_id long, n long, h1 long, h2 long, sig binary"
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t.as_py() or b"" for t in column.cast(pa.binary())]
-
-
-def _some(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about `most` bytes."""
-    at, size, first = 0, 0, 0
-    for at, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield first, texts[first : at + 1]
-            first, size = at + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def signatures(rows: DataFrame, words: int, members: int, depth: int) -> DataFrame:
     n = 2 * members * depth
     salts = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _some(_texts(batch.column(2))):
+            for first, texts in some_texts(texts_of(batch.column(2))):
                 sets = shingle_sets(texts, words)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
@@ -95,7 +79,7 @@ def full_sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _some(_texts(batch.column(1))):
+            for first, texts in some_texts(texts_of(batch.column(1))):
                 out = [s.tobytes() for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.binary())], names=["row", "set"])
 
