@@ -109,3 +109,12 @@ class TokenEncoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty), four bytes each."""
         return [self.encode_text(t.as_py() or "") for t in texts]
+
+
+def public_path(name: str, folder: str | None = None) -> str:
+    """A public tokenizer's file: in `folder`, or where the installed package of them has it."""
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
