@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import keep_rows, with_rows
 from .hashing import joined, mixed, some_texts, texts_of, word_hashes
 
-SAMPLE, POOL, VOCABULARY, ROUNDS = 5000, 5000, 1024, 3
+SAMPLE, POOL, VOCABULARY, ROUNDS, TELLING = 5000, 5000, 1024, 3, 3.0
 MARKS = b"!*$%#&|.,;:?()[]{}<>/@_-=+'\""
 SOURCES, LANGS, LENGTHS = 64, 16, 24
 
@@ -257,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
         share = (totals[column] or 0) / max(1, totals.n)
         return F.abs(F.col(column) - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-6) + 1)
 
-    best = [counts.orderBy(telling(c).desc(), "word").limit(vocabulary // 2).select("word") for c in ("good", "toxic")]
+    # Words whose share differs by chance alone (under TELLING standard deviations) are left out.
+    best = [counts.filter(telling(c) >= TELLING).orderBy(telling(c).desc(), "word").limit(vocabulary // 2).select("word") for c in ("good", "toxic")]
     vocab = np.unique(np.array([r.word for r in best[0].union(best[1]).distinct().collect()], dtype=np.int64).view(np.uint64))  # at most `vocabulary` rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,12 +18,13 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by a Python worker (about 100 MB); beyond it the memory starts anew.
+#: Chunks remembered by a Python worker, twice over (about 150 MB).
 REMEMBERED = 400_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[{_LETTERS}.,;:!?()*$%&#|]+")
 _PARTS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]+")
+_SIMPLE = re.compile(rf"( ?[{_LETTERS}]+)([.,;:!?]*)")
 _INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -51,6 +52,7 @@ class TokenEncoder:
         self.drops_space = bool(kind.get("normalizer"))
         self.alphabet = byte_letters()
         self.memory: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     @classmethod
@@ -60,50 +62,61 @@ class TokenEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    def _part(self, key: str) -> bytes:
+        """A pre-token (with its space, if any) that is Latin letters or plain marks."""
+        ids = self.parts.get(key)
+        if ids is None:
+            mapped = "".join(map(self.alphabet.__getitem__, key.encode()))
+            ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            self.parts[key] = ids
+        return ids
+
     def _plain(self, chunk: str) -> bytes:
-        space = chunk[:1] == " "
-        body = chunk[1:] if space else chunk
-        if self.drops_space:
-            body = body.lower()
-        out = b""
-        for i, part in enumerate(_PARTS.findall(body)):
-            key = f" {part}" if space and not i else part
-            ids = self.parts.get(key)
-            if ids is None:
-                mapped = "".join(map(self.alphabet.__getitem__, key.encode()))
-                ids = self.parts[key] = array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-            out += ids
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.memory) + len(chunks) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.memory.clear()
-            self.parts.clear()
+        body = chunk.lower() if self.drops_space else chunk
+        simple = _SIMPLE.fullmatch(body)
+        if simple:
+            word, marks = simple.groups()
+            return self._part(word) + self._part(marks) if marks else self._part(word)
+        space = body[:1] == " "
+        parts = _PARTS.findall(body[1:] if space else body)
+        if space:
+            parts[0] = " " + parts[0]
+        return b"".join(map(self._part, parts))
+
+    def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
         rest = []
         for c in chunks:
             if _PLAIN.fullmatch(c, 1 if c[:1] == " " and not self.drops_space else 0):
-                self.memory[c] = self._plain(c)
+                into[c] = self._plain(c)
             else:
                 rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memory[c] = array.array("I", e.ids).tobytes()
+        if rest:
+            for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                into[c] = array.array("I", e.ids).tobytes()
 
     def encode_text(self, text: str) -> bytes:
         chunks = text.split(" ") if self.drops_space else _INNER_SPACE.split(text)
-        get = self.memory.__getitem__
         try:
-            return b"".join(map(get, chunks))
+            return b"".join(map(self.memory.__getitem__, chunks))
         except KeyError:
-            # A text with more distinct chunks than are remembered is encoded in steps.
             out = []
-            for at in range(0, len(chunks), REMEMBERED // 2):
-                some = chunks[at : at + REMEMBERED // 2]
-                distinct = set(some)
-                missing = {c for c in distinct if c not in self.memory}
-                if len(self.memory) + len(missing) > REMEMBERED or len(self.parts) > REMEMBERED:
-                    missing = distinct
-                self._learn(missing)
-                out.append(b"".join(map(get, some)))
+            for at in range(0, len(chunks), REMEMBERED):  # very long texts in steps
+                some = chunks[at : at + REMEMBERED]
+                if len(self.memory) >= REMEMBERED:
+                    # What was used since the last turn stays for another; the rest is forgotten.
+                    self.before, self.memory = self.memory, {}
+                known, before, fresh = self.memory, self.before, []
+                for c in set(some):
+                    if c not in known:
+                        ids = before.get(c)
+                        if ids is None:
+                            fresh.append(c)
+                        else:
+                            known[c] = ids
+                self._learn(fresh, known)
+                out.append(b"".join(map(known.__getitem__, some)))
             return b"".join(out)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
