@@ -4,7 +4,7 @@ Both supported kinds cut texts before any token crosses certain spaces, so a tex
 the concatenation of its chunks:
 - word BPE (white space dropped): chunks between spaces;
 - byte-level BPE: chunks that begin at a space which has no white space on either side.
-Chunks of Latin letters and plain punctuation are pre-tokens as they stand, so the model is asked
+Chunks of Latin letters, plain punctuation and single line breaks are made of pre-tokens as they stand, so the model is asked
 directly; every other chunk goes through the whole tokenizer. Tests hold both against encode().
 """
 
@@ -18,13 +18,17 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by a Python worker, twice over (about 150 MB).
-REMEMBERED = 400_000
+#: Chunks remembered by a Python worker, twice over (about 200 MB).
+REMEMBERED = 600_000
+
+#: Chunks looked up at a time.
+STEP = 100_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[{_LETTERS}.,;:!?()*$%&#|]+")
-_PARTS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]+")
-_SIMPLE = re.compile(rf"( ?[{_LETTERS}]+)([.,;:!?]*)")
+_MARKED = rf"[{_LETTERS}.,;:!?()*$%&#|]+"
+_PLAIN = re.compile(rf"{_MARKED}(?:\n{_MARKED})*")
+_PARTS = re.compile(rf"[{_LETTERS}]+|\n|[^{_LETTERS}\n]+")
+_SIMPLE = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)")
 _INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -51,9 +55,12 @@ class TokenEncoder:
             kind = json.load(f)
         self.drops_space = bool(kind.get("normalizer"))
         self.alphabet = byte_letters()
+        self.space = self.alphabet[32]
         self.memory: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # A line break between marks or letters is a pre-token of its own, or dropped with other white space.
+        self.newline = array.array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.parts = {"\n": self.newline}
 
     @classmethod
     def shared(cls, path: str) -> TokenEncoder:
@@ -62,66 +69,117 @@ class TokenEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _part(self, key: str) -> bytes:
-        """A pre-token (with its space, if any) that is Latin letters or plain marks."""
-        ids = self.parts.get(key)
+    def _tokens(self, pre_token: str) -> bytes:
+        """A pre-token (with its space, if any) of Latin letters or plain marks, by the model alone."""
+        if pre_token.isascii():  # letters and marks stand for themselves
+            mapped = self.space + pre_token[1:] if pre_token[:1] == " " else pre_token
+        else:
+            mapped = "".join(map(self.alphabet.__getitem__, pre_token.encode()))
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _part(self, pre_token: str) -> bytes:
+        ids = self.parts.get(pre_token)
+        if ids is None:
+            if len(self.parts) >= STEP:
+                self.parts = {"\n": self.newline}
+            ids = self.parts[pre_token] = self._tokens(pre_token)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters alone; it is a chunk's key itself, so it is remembered as one."""
+        ids = self.memory.get(word)
         if ids is None:
-            mapped = "".join(map(self.alphabet.__getitem__, key.encode()))
-            ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[key] = ids
+            ids = self.before.get(word)
+            if ids is None:
+                ids = self._tokens(word if self.drops_space else " " + word)
+            self.memory[word] = ids
         return ids
 
-    def _plain(self, chunk: str) -> bytes:
-        body = chunk.lower() if self.drops_space else chunk
-        simple = _SIMPLE.fullmatch(body)
-        if simple:
-            word, marks = simple.groups()
-            return self._part(word) + self._part(marks) if marks else self._part(word)
-        space = body[:1] == " "
-        parts = _PARTS.findall(body[1:] if space else body)
-        if space:
-            parts[0] = " " + parts[0]
-        return b"".join(map(self._part, parts))
-
-    def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        rest = []
-        for c in chunks:
-            if _PLAIN.fullmatch(c, 1 if c[:1] == " " and not self.drops_space else 0):
-                into[c] = self._plain(c)
+    def _learn(self, keys: set[str]) -> None:
+        known, word_ids, part, drops = self.memory, self._word, self._part, self.drops_space
+        simple, plain, rest = _SIMPLE.fullmatch, _PLAIN.fullmatch, []
+        for key in keys:
+            body = key.lower() if drops else key
+            found = simple(body)
+            if found:
+                word, marks = found.groups()
+                known[key] = word_ids(word) + part(marks) if marks else word_ids(word)
+                continue
+            first = not drops and key[:1] == " "
+            if first:
+                body = body[1:]
+            if plain(body):
+                parts = _PARTS.findall(body)
+                if drops or first:
+                    known[key] = b"".join(map(part, parts))
+                else:
+                    start = word_ids(parts[0]) if parts[0].isalpha() else part(" " + parts[0])
+                    known[key] = start + b"".join(map(part, parts[1:]))
             else:
-                rest.append(c)
+                rest.append((key, body if drops or first else " " + body))
         if rest:
-            for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                into[c] = array.array("I", e.ids).tobytes()
+            for (key, _), e in zip(rest, self.tokenizer.encode_batch_fast([c for _, c in rest], add_special_tokens=False), strict=True):
+                known[key] = array.array("I", e.ids).tobytes()
+
+    def _keys(self, text: str) -> list[str]:
+        """Keys of a text's chunks: a chunk itself or, if spaces count, what follows its space; the first chunk's then begins with a space."""
+        if self.drops_space:
+            return text.split(" ")
+        if text[:1] != " " and text[-1:] != " " and "  " not in text:
+            if text.isprintable() or " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable():
+                keys = text.split(" ")  # every space has letters or marks on either side
+                keys[0] = " " + keys[0]
+                return keys
+        first, *others = _INNER_SPACE.split(text)
+        return [" " + first, *[c[1:] for c in others]]
+
+    def _know(self, keys: list[str]) -> None:
+        """Have the chunks of all these keys in the memory."""
+        if len(self.memory) >= REMEMBERED:
+            # What was used since the last turn stays for another; the rest is forgotten.
+            self.before, self.memory = self.memory, {}
+        unknown = set(keys).difference(self.memory)
+        if unknown:
+            before = self.before
+            self.memory.update({c: before[c] for c in unknown if c in before})
+            self._learn(unknown.difference(before))
+
+    def _steps(self, chunks: list[str]) -> bytes:
+        """A very long text, in steps that the memory can hold."""
+        out = []
+        for at in range(0, len(chunks), STEP):
+            some = chunks[at : at + STEP]
+            self._know(some)
+            out.append(b"".join(map(self.memory.__getitem__, some)))
+        return b"".join(out)
 
     def encode_text(self, text: str) -> bytes:
-        chunks = text.split(" ") if self.drops_space else _INNER_SPACE.split(text)
-        try:
-            return b"".join(map(self.memory.__getitem__, chunks))
-        except KeyError:
-            out = []
-            for at in range(0, len(chunks), REMEMBERED):  # very long texts in steps
-                some = chunks[at : at + REMEMBERED]
-                if len(self.memory) >= REMEMBERED:
-                    # What was used since the last turn stays for another; the rest is forgotten.
-                    self.before, self.memory = self.memory, {}
-                known, before, fresh = self.memory, self.before, []
-                for c in set(some):
-                    if c not in known:
-                        ids = before.get(c)
-                        if ids is None:
-                            fresh.append(c)
-                        else:
-                            known[c] = ids
-                self._learn(fresh, known)
-                out.append(b"".join(map(known.__getitem__, some)))
-            return b"".join(out)
+        return self.encode(pa.array([text]))[0]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty), four bytes each."""
-        return [self.encode_text(t.as_py() or "") for t in texts]
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        waiting: list[str] = []
+
+        def encode_held() -> None:
+            self._know(waiting)
+            known = self.memory.__getitem__
+            out.extend(b"".join(map(known, chunks)) for chunks in held)
+            held.clear()
+            waiting.clear()
+
+        for t in texts:
+            chunks = self._keys(t.as_py() or "")
+            if len(chunks) + len(waiting) > STEP:
+                encode_held()
+            if len(chunks) > STEP:
+                out.append(self._steps(chunks))
+            else:
+                held.append(chunks)
+                waiting += chunks
+        encode_held()
+        return out
 
 
 def public_path(name: str, folder: str | None = None) -> str:
