@@ -18,11 +18,11 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by a Python worker, twice over (about 200 MB).
-REMEMBERED = 600_000
+#: Chunks remembered by a Python worker, twice over (about 350 MB).
+REMEMBERED = 1_000_000
 
 #: Chunks looked up at a time.
-STEP = 100_000
+STEP = 200_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKED = rf"[{_LETTERS}.,;:!?()*$%&#|]+"
