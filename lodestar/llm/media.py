@@ -511,5 +511,5 @@ def stored_text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null counts as empty (one unit of padding); repeated rows are stored each; an empty table gives no rows.
     """
-    media = materialize(store_texts(docs, id_col, text_col), "none")
+    media = materialize(store_texts(docs, id_col, text_col))
     return media_features(media, with_payload=True)
