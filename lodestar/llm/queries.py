@@ -31,7 +31,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.train_and_score(_docs(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    return ngram_lm.train_and_score(_docs(spark, sf_dir), order=3).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,51 @@ def test_language_model(docs, empty):
     assert ngram_lm.train_and_score(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order(spark, empty, order):
+    rng = random.Random(5)
+    rows = [*corpus(), *[(1000 + i, " ".join(rng.choice(["the", "the", "of", "a", "b", "c", f"w{rng.randrange(40)}"]) for _ in range(600)), "en", "src0", 1, "r", 1, "k", "b") for i in range(12)]]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").translate({ord(c): " " for c in WHITE})
+    tokens = lambda t: [*(w for w in low(t).split(" ") if w), "</s>"]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    train = [tokens(r[1]) for r in rows if not held(r[0])]
+    assert max(Counter(w for t in train for w in t).values()) >= 1000  # contexts that end in it are summed over the shards
+    grams = {m: Counter(tuple(s[i : i + m]) for t in train for s in [["<s>", *t]] for i in range(len(s) - m + 1)) for m in range(2, order + 1)}
+    counts = {order: grams[order]}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in grams[m + 1])
+        counts[m] += Counter({g: c for g, c in grams.get(m, {}).items() if g[0] == "<s>"})
+    d = {m: ngram_lm.discounts([sum(c == k for c in counts[m].values()) for k in (1, 2, 3, 4)]) for m in counts}
+    after = defaultdict(Counter)
+    for m in range(2, order + 1):
+        for g, c in counts[m].items():
+            after[g[:-1]][g[-1]] = c
+    v, low_total = len({w for t in train for w in t}), sum(counts[1].values())
+    low_spare = sum(d[1][min(c, 3)] for c in counts[1].values())
+
+    def p(context, w):
+        if not context:
+            c = counts[1][(w,)]
+            return (max(c - d[1][min(c, 3)], 0) + low_spare / (v + 1)) / low_total
+        seen, m = after.get(context), len(context) + 1
+        if seen is None:
+            return p(context[1:], w)
+        spare = sum(d[m][min(c, 3)] for c in seen.values())
+        return (max(seen[w] - d[m][min(seen[w], 3)], 0) + spare * p(context[1:], w)) / sum(seen.values())
+
+    got = defaultdict(list)
+    for r in ngram_lm.train_and_score(docs, order=order).collect():
+        got[r.doc_id].append(r)
+    for r in rows:
+        if r[0] is not None:
+            s = ["<s>", *tokens(r[1])]
+            assert got[r[0]][0].score == pytest.approx(sum(np.log10(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s))))
+    assert ngram_lm.train_and_score(empty, order=order).count() == 0
+    blank = docs.limit(3).withColumn("text", F.lit(""))
+    assert all(r.score <= 0 for r in ngram_lm.train_and_score(blank, order=order).collect())
+
+
 def test_media_round_trip(docs, empty):
     texts = defaultdict(list)
     for r in corpus():
