@@ -8,7 +8,7 @@ pair at similarity 0.85 meets in one of them with probability 1 - 7e-5.
 Documents with the same shingle set are one node. In each bucket the members are compared with a
 pivot, the one with the most company; the links join into components. Members of a bucket in different
 components are compared with each other where their differences from the pivot leave it open (see
-`unpivoted`), so no candidate of the banding is left out and no bucket is expanded into all pairs.
+`linked_components`), so no candidate of the banding is left out and no bucket is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, with_rows
+from .common import drop_table, keep_rows, materialize, with_rows
 from .components import components
 from .hashing import mixed, shingle_sets, some_texts, texts_of
 
@@ -87,101 +87,199 @@ def full_sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row", "text").join(named, "row", "left_semi").mapInArrow(sets, "row long, set binary")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
-    """u, v, n, linked: whether 100 * intersection >= percent * union of the full sets (n: size of u's).
-
-    With `differences`, also d, the size of the symmetric difference, and its first elements: those
-    of u alone, then those of v alone, each in the order of their hashes, as many as a probe needs.
-    """
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v, linked (100 * intersection >= percent * union of the full sets), d (the size of their symmetric difference)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, linked, far, heads = [], [], [], []
+            linked, far = [], []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                found = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                both = int(found.sum())
-                sizes.append(len(x))
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                if differences:
-                    most = _reach(len(x), percent) + 1
-                    head = x[~found][:most]
-                    if len(head) < most:
-                        head = np.concatenate([head, y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y][: most - len(head)]])
-                    far.append(len(x) + len(y) - 2 * both)
-                    heads.append(head.view(np.int64))
-            out = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_())]
-            if differences:
-                out += [pa.array(far, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["u", "v", "n", "linked", "d", "head"][: len(out)])
-
-    one = pairs.select("u", "v").join(sets.withColumnsRenamed({"row": "u", "set": "us"}), "u")
-    both = one.join(sets.withColumnsRenamed({"row": "v", "set": "vs"}), "v")
-    return both.select("u", "v", "us", "vs").mapInArrow(meet, "u long, v long, n long, linked boolean" + ", d long, head array<long>" * differences)
-
-
-def _reach(n: int, percent: int) -> int:
-    """The most that a set of n can differ from one it is linked with."""
-    return (100 - percent) * n // percent
+                far.append(len(x) + len(y) - 2 * both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.int64())], names=["u", "v", "linked", "d"])
+
+    return _both_sets(pairs, sets).select("u", "v", "us", "vs").mapInArrow(meet, "u long, v long, linked boolean, d long")
+
+
+def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = pairs.join(sets.withColumnsRenamed({"row": "u", "set": "us"}), "u")
+    return one.join(sets.withColumnsRenamed({"row": "v", "set": "vs"}), "v")
 
 
 def climbed(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Compare the members of each group g with a pivot, in turn with g, the member nearest to it, and so on.
 
     A copy with a change of its own is nearest to the text it was made of, so the pivots climb to
-    the middle of a family. Returns all comparisons (u, v, n, linked, d, head) and, of groups in
-    which no pivot is linked with every member, (g, v): the pivot with the most links.
+    the middle of a family. Returns the links (u, v) and, of groups in which no pivot is linked with
+    every member, (g, v): the pivot with the most links.
     """
     now = members.select("g", F.col("g").alias("v")).distinct().withColumn("used", F.array("v"))
-    all_seen, tries = [], []
-    for step in range(rounds):
+    all_seen, tries, spent = [], [], []
+    for _ in range(rounds):
         asked = materialize(members.join(now, "g").filter("row != v").select("g", F.col("row").alias("u"), "v", "used"), "lz4")
         pairs = asked.select("u", "v").distinct()
         for earlier in all_seen:
             pairs = pairs.join(earlier, ["u", "v"], "left_anti")
-        fresh = materialize(compared(pairs, sets, percent, differences=True), "lz4")
-        all_seen.append(fresh)
+        all_seen.append(materialize(compared(pairs, sets, percent), "lz4"))
         seen = all_seen[0]
         for more in all_seen[1:]:
             seen = seen.union(more)
-        met = asked.join(seen.drop("head"), ["u", "v"])
+        met = asked.join(seen, ["u", "v"])
         nearest = F.min(F.when(~F.array_contains("used", F.col("u")), F.struct("d", "u")))["u"]
         by_group = met.groupBy("g", "v").agg(F.count_if("linked").alias("links"), F.count(F.lit(1)).alias("size"), F.first("used").alias("used"), nearest.alias("next"))
         tried = materialize(by_group, "lz4")
+        drop_table(asked)
         tries.append(tried.select("g", "v", "links", "size"))
+        spent.append(tried)
         now = tried.filter("links < size AND next IS NOT NULL").select("g", F.col("next").alias("v"), F.array_append("used", F.col("next")).alias("used"))
     every = tries[0]
     for t in tries[1:]:
         every = every.union(t)
     best = every.groupBy("g").agg(F.max(F.struct("links", "v")).alias("best"), F.bool_or(F.col("links") == F.col("size")).alias("done"))
-    return seen, best.filter("NOT done").select("g", F.col("best.v").alias("v"))
+    links = materialize(seen.filter("linked").select("u", "v"), "lz4")
+    open_ = materialize(best.filter("NOT done").select("g", F.col("best.v").alias("v")), "lz4")
+    for t in [*all_seen, *spent]:
+        drop_table(t)
+    return links, open_
 
 
-def unpivoted(seen: DataFrame, members: DataFrame, best: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one group, in different components, that may be linked without a link to the group's pivot.
+def _reach(n: Column, percent: int) -> Column:
+    """The most that a set of n can differ from one it is linked with."""
+    return F.floor(F.lit(100 - percent) * n / percent)
+
+
+def _with_roots(rows: DataFrame, keys: list[str], by: str, salts: int = 64) -> DataFrame:
+    """The rows whose key holds two roots or more, with `company`, the key's rows; a key is dealt to salts, so no task holds all of it."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    salted = dealt.groupBy(*keys, "__salt").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("company"))
+    overall = salted.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("company").alias("company")).filter("lo != hi")
+    return dealt.join(salted.select(*keys, "__salt").join(overall.select(*keys, "company"), keys), [*keys, "__salt"]).drop("__salt")
 
-    Let x and y differ from their pivot p by the sets Dx and Dy. They differ from each other by
-    |Dx| + |Dy| - 2 |Dx & Dy|, which has to be at most t, a bound that follows from their sizes. If
-    not both are linked with p, that takes a common element; with |Dx| >= |Dy|, and any fixed order
-    of elements, one among the first t + 1 of Dx and the first t / 2 + 1 of Dy (prefix filter). What
-    copies add to p comes first in the order, so that copies of one text with changes of their own
-    don't meet. No pair that is linked is left out.
+
+def contested(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (g, v, row, root, n) of groups that may still be linked with a row of another root.
+
+    A row linked with one of another root has at least `percent` of its shingles in common with it,
+    so as many of its shingles have to occur under other roots at all. What shares only a common
+    line or passage falls out here.
     """
-    placed = members.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    others = placed.join(best, "g").filter("row != v")
-    open_ = others.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("g")
-    asked = others.join(open_, "g", "left_semi").select(F.col("row").alias("u"), "v", "root").distinct()
-    known = asked.join(seen, ["u", "v"])
-    each = known.select("u", F.col("v").alias("p"), "n", "d", "root", F.posexplode("head").alias("at", "e"))
-    reach = lambda n: F.floor(F.lit(100 - percent) * n / percent)
-    x, y = each.alias("x"), each.filter(F.col("at") <= F.floor(reach(F.col("n")) / 2)).alias("y")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                found = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(2)]
+                sizes = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["row", "root", "n", "e"])
+
+    placed = groups.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    open_ = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("g")
+    asked = materialize(placed.join(open_, "g", "left_semi"), "lz4")
+    each = asked.select("row", "root").distinct().join(sets, "row").select("row", "root", "set").mapInArrow(elements, "row long, root long, n long, e long")
+    near = _with_roots(each, ["e"], "row").groupBy("row", "n").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") * 100 >= F.col("n") * percent).select("row", "n")
+    left = asked.join(near, "row")
+    open_ = left.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("g")
+    out = materialize(left.join(open_, "g", "left_semi").select("g", "v", "row", "root", "n"), "lz4")
+    drop_table(asked)
+    return out
+
+
+def close_lists(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Lists (g, e) of rows of a group, one of which every two linked rows of different roots share.
+
+    Let x and y differ from their group's pivot v by the sets Dx and Dy. They differ from each other
+    by |Dx| + |Dy| - 2 |Dx & Dy|, which has to be at most t, a bound that follows from their sizes.
+    With |Dx| >= |Dy|, and any fixed order of elements, that takes a common element among the first
+    t + 1 of Dx and the first t / 2 + 1 of Dy (prefix filter; rows linked with the pivot have its
+    root). The order: elements that occur under one root only, which nothing that is looked for has
+    in common, then the rarest of the group first. Columns: g, e, u, root, n, d, m (elements of the
+    second kind), at (the place of e among them), front (among the first t / 2 + 1), size (the list's rows).
+    """
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                found = []
+                for a, b in zip(part.column(5), part.column(6), strict=True):
+                    found.append(np.setxor1d(np.frombuffer(a.as_buffer(), dtype=np.int64), np.frombuffer(b.as_buffer(), dtype=np.int64), assume_unique=True))
+                sizes = np.array([len(f) for f in found], dtype=np.int64)
+                columns = [pa.array(np.repeat(part.column(i).to_numpy(), sizes)) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["g", "v", "u", "root", "n", "d", "e"])
+
+    pairs = rows.withColumnRenamed("row", "u").filter("u != v")
+    each = _both_sets(pairs, sets).select("g", "v", "u", "root", "n", "us", "vs").mapInArrow(differences, "g long, v long, u long, root long, n long, d long, e long")
+    stored = materialize(each, "lz4")
+    met = _with_roots(stored, ["g", "e"], "u")
+    ordered = met.groupBy("g", "v", "u", "root", "n", "d").agg(F.sort_array(F.collect_list(F.struct("company", "e"))).alias("es"))  # of one document's shingles
+    placed = ordered.select("g", "u", "root", "n", "d", F.size("es").alias("m"), F.posexplode("es").alias("at", "x"))
+    t, place = _reach(F.col("n"), percent), F.col("d") - F.col("m") + F.col("at")
+    first = placed.filter(place <= t).select("g", "u", "root", "n", "d", "m", "at", F.col("x.e").alias("e"), (place <= F.floor(t / 2)).alias("front"))
+    out = materialize(_with_roots(first, ["g", "e"], "u").withColumnRenamed("company", "size"), "lz4")
+    drop_table(stored)
+    return out
+
+
+def open_pairs(lists: DataFrame, percent: int, wide: int) -> DataFrame:
+    """Pairs (u, v) of rows of a list, of different roots, that may be linked.
+
+    What they have in common of their differences is at most what both hold before e, e itself and
+    what both hold after it; what only one root holds counts against them. A list longer than
+    `wide` is dealt to blocks of about so many rows, each of which meets the front rows.
+    """
+    blocks = F.ceil(F.col("size") / wide).cast("int")
+    x = lists.withColumn("block", F.pmod(F.xxhash64("u"), blocks).cast("int")).alias("x")
+    y = lists.filter("front").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     order = (F.col("x.d") > F.col("y.d")) | (F.col("x.d") == F.col("y.d")) & (F.col("x.u") > F.col("y.u"))
-    near = (F.col("x.d") - F.col("y.d")) * (100 + percent) <= F.lit(100 - percent) * (F.col("x.n") + F.col("y.n"))
-    met = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root")) & order & sizes & near)
+    apart = F.lit(100 - percent) * (F.col("x.n") + F.col("y.n"))  # 100 + percent times the most they may differ by
+    alone = (F.col("x.d") - F.col("x.m") + F.col("y.d") - F.col("y.m")) * (100 + percent) <= apart
+    common = F.least("x.at", "y.at") + 1 + F.least(F.col("x.m") - F.col("x.at"), F.col("y.m") - F.col("y.at")) - 1
+    near = (F.col("x.d") + F.col("y.d") - 2 * common) * (100 + percent) <= apart
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & order & sizes & alone & near)
     return met.select(F.col("x.u").alias("u"), F.col("y.u").alias("v")).distinct()
 
 
+def long_list_pivots(lists: DataFrame, wide: int, turn: int, pivots: int = 4) -> DataFrame:
+    """Pairs (u, v) of the rows of long lists with a few pivots of the list, drawn by hashes."""
+    long_ = lists.filter(F.col("size") > wide).withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(64)))
+    drawn = [F.min(F.struct(F.xxhash64("u", "g", F.lit(turn * pivots + k)), "u")).alias(f"p{k}") for k in range(pivots)]
+    parts = long_.groupBy("g", "e", "salt").agg(*drawn)
+    whole = parts.groupBy("g", "e").agg(*[F.min(f"p{k}").alias(f"p{k}") for k in range(pivots)])
+    named = parts.select("g", "e", "salt").join(whole, ["g", "e"]).select("g", "e", "salt", F.explode(F.array_distinct(F.array(*[f"p{k}.u" for k in range(pivots)]))).alias("v"))
+    return long_.join(named, ["g", "e", "salt"]).filter("u != v").select("u", "v").distinct()
+
+
+def linked_components(groups: DataFrame, sets: DataFrame, percent: int, rounds: int, wide: int = 256) -> DataFrame:
+    """Components (u, root) of what is linked within the groups (g, row); g is a row, the first pivot.
+
+    Groups are compared with pivots; rows still open go to lists of their differences from the
+    pivot. Long lists (rows that share a change) are compared with pivots of their own as long as
+    that links anything; then what is left is compared in pairs.
+    """
+    links, best = climbed(groups, sets, percent, rounds)
+    now = materialize(groups.join(best, "g").select(F.col("v").alias("g"), "v", "row").distinct(), "lz4")
+    turn, roots = 0, components(links)
+    while True:
+        open_ = contested(now, roots, sets, percent)
+        if open_.isEmpty():
+            return roots
+        lists = close_lists(open_, sets, percent)
+        drop_table(open_)
+        fresh = materialize(compared(long_list_pivots(lists, wide, turn), sets, percent).filter("linked").select("u", "v"), "lz4")
+        last = fresh.isEmpty()
+        if last:
+            fresh = materialize(compared(materialize(open_pairs(lists, percent, wide), "lz4"), sets, percent).filter("linked").select("u", "v"), "lz4")
+        drop_table(lists)
+        links = materialize(links.union(fresh), "lz4")
+        roots = components(links)
+        if last:
+            return roots
+        turn += 1
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, members: int = MEMBERS, depth: int = DEPTH, rounds: int = 3, rows: DataFrame | None = None) -> DataFrame:
     """One row a document: row, doc_id, n_shingles, component_id, kept.
 
@@ -203,19 +301,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(signed.row, "doc_id", "n", F.coalesce(nodes.row, signed.row).alias("node"), "sig"), "lz4")
     keys = materialize(table_keys(members_of.filter("row = node AND n > 0"), members, depth), "lz4")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = materialize(keys.join(sizes, "key"), "lz4")
+    shared = materialize(keys.join(sizes, "key").select("key", "row", "size"), "lz4")
+    drop_table(keys)
     # The pivot is the member with the most company in all its buckets: the text that copies were made of.
     company = shared.groupBy("row").agg(F.sum("size").alias("company"))
-    ranked = materialize(shared.join(company, "row"), "lz4")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "row")).alias("pivot"))
-    buckets = materialize(ranked.join(pivots, "key").select("key", "row", F.col("pivot.row").alias("pivot")), "lz4")
-    groups = materialize(buckets.select("row", F.col("pivot").alias("g")).distinct(), "lz4")
+    pivots = shared.join(company, "row").groupBy("key").agg(F.max(F.struct("company", "row"))["row"].alias("g"))
+    groups = materialize(shared.join(pivots, "key").select("row", "g").distinct(), "lz4")
+    drop_table(shared)
     sets = materialize(full_sets(groups.select(F.col("row").alias("u"), F.col("row").alias("v")), rows, words), "lz4")
-    seen, best_pivots = climbed(groups, sets, percent, rounds)
-    links = materialize(seen.filter("linked").select("u", "v"), "lz4")
-    second = materialize(unpivoted(seen, groups, materialize(best_pivots, "lz4"), components(links), percent), "lz4")
-    more = materialize(compared(second, sets, percent), "lz4").filter("linked").select("u", "v")
-    roots = components(links.union(more))
+    roots = linked_components(groups, sets, percent, rounds)
+    drop_table(sets)
+    drop_table(groups)
     linked = members_of.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = linked.groupBy("root", F.pmod("row", F.lit(1024)).alias("salt")).agg(F.min(best).alias("best"))
     overall = by_root.groupBy("root").agg(F.min("best").alias("best"))
