@@ -7,7 +7,9 @@ anchor; such a run is a piece, the bytes that its windows cover.
 
 1. Pieces are counted. A piece that occurs twice is repeated in all its windows; a class that holds
    one piece only is settled by that.
-2. The distinct pieces of all other classes are dealt to tasks by class. A task builds the
+2. A window holds half of its other bytes on the left of its anchor, or else on the right. Of the
+   distinct pieces in all other classes only the windows are kept whose half occurs in another piece.
+   These are dealt to tasks by class. A task builds the
    Burrows-Wheeler transform of shards of them, and merges these by iterative interleave refinement:
    the merged order is a vector of shard numbers, refined from the transforms alone until it is
    stable, without sorting suffixes again. The refinement takes `STEP` bytes at a time: the
@@ -21,7 +23,6 @@ Bytes covered by repeated windows are removed, all occurrences alike, judged on
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_rows
+from .common import drop_table, materialize, with_rows
 from .hashing import _BYTE, _tables, mixed, some_texts, texts_of
 
 LENGTH, GRAM, STEP = 200, 32, 40
-#: Distinct pieces of a class that one task takes, and bytes that it works on at a time.
-MOST, AT_ONCE = 4096, 192 << 10
+#: Distinct pieces of a class that one task takes, and bytes that it works on at a time (so few that symbols fit in 16 bits and sort by radix).
+MOST, AT_ONCE = 4096, 30 << 10
 #: Longer texts are cut with an overlap of a window less a byte, so that a place fits in 20 bits.
 CUT = 1 << 19
 _U = np.uint64
@@ -76,12 +77,15 @@ def cut_long(texts: list[bytes], length: int) -> tuple[list[bytes], np.ndarray,
 
 
 def pieces_of(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """Of each run of windows with one anchor: text, place, windows, place of the anchor in it, its gram's hash, the piece's hash."""
+    """Of each run of windows with one anchor: text, place, windows, place of the anchor in it, its gram's hash, the piece's hash.
+
+    Also the hashes of the half a window on either side of the anchor, and whether the piece holds so many bytes there.
+    """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     w = length - gram + 1
-    none = {k: np.zeros(0, np.int64) for k in ("text", "at", "n", "rel", "gram", "piece")}
+    none = {k: np.zeros(0, np.int64) for k in ("text", "at", "n", "rel", "gram", "piece", "left", "right", "has_left", "has_right")}
     if len(data) < length:
         return none
     sums = _prefix_sums(data)
@@ -99,14 +103,21 @@ def pieces_of(texts: list[bytes], length: int, gram: int) -> dict[str, np.ndarra
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(np.concatenate([first, [len(text)]]))
     p = starts[first]
-    return {"text": text[first], "at": p - begins[text[first]], "n": n, "rel": a[first] - p, "gram": hashes[a[first]].view(np.int64), "piece": _hash_of(sums, p, p + n + length - 1).view(np.int64)}
+    half, middle, end = (length - gram) // 2, a[first], p + n + length - 1
+    has_left, has_right = middle - p >= half, middle + gram + half <= end
+    left = _hash_of(sums, np.maximum(middle - half, 0), middle)
+    right = _hash_of(sums, middle + gram, np.minimum(middle + gram + half, len(data)))
+    sides = {"left": (left >> _U(32)).astype(np.uint32).view(np.int32), "right": (right >> _U(32)).astype(np.uint32).view(np.int32), "has_left": has_left, "has_right": has_right}
+    return sides | {"text": text[first], "at": p - begins[text[first]], "n": n, "rel": a[first] - p, "gram": hashes[a[first]].view(np.int64), "piece": _hash_of(sums, p, p + n + length - 1).view(np.int64)}
 
 
-OCCURRENCE = "gram long, piece long, shape long, row long, at long"
+OCCURRENCE = "gram long, piece long, shape long, row long, at long, left int, right int"
 
 
 def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """gram, piece, shape (windows and anchor's place), row, at: a row a piece of a text."""
+    """gram, piece, shape (windows and anchor's place), row, at, left, right: a row a piece of a text."""
+    if length >= 1024:
+        raise ValueError("windows of 1024 bytes or more are not supported: a piece's shape holds its anchor's place in 10 bits")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +126,7 @@ def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
             for first, texts in some_texts(parts, CUT):
                 got = pieces_of(texts, length, gram)
                 text = got["text"] + first
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (got["gram"], got["piece"], got["n"] * 1024 + got["rel"], ids[of[text]], got["at"] + at[text])], names=["gram", "piece", "shape", "row", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (got["gram"], got["piece"], got["n"] * 1024 + got["rel"], ids[of[text]], got["at"] + at[text])] + [pa.array(got[k].astype(np.int32), mask=~got[f"has_{k}"].astype(bool)) for k in ("left", "right")], names=["gram", "piece", "shape", "row", "at", "left", "right"])
 
     return rows.select("row", "text").mapInArrow(find, OCCURRENCE)
 
@@ -185,8 +196,11 @@ class Transform:
         self.many = np.bincount(nxt, minlength=len(order))
 
 
-def merge(c: Collection, a: Transform, b: Transform, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order of two transforms, and for each place in it the block of suffixes that share `depth` bytes."""
+def merge(c: Collection, a: Transform, b: Transform, depth: int, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of two transforms, and for each place in it the block of suffixes that share `depth` bytes.
+
+    The last merge ends at `depth`: its blocks are known by then, and no merge needs the order below it.
+    """
     z = np.zeros(len(a.order) + len(b.order), dtype=bool)
     ends_a, ends_b = (int((c.next[t.order] == t.order).sum()) for t in (a, b))
     # At first nothing is compared and all is one block; only the ends are in place, in the order of their strings.
@@ -203,21 +217,24 @@ def merge(c: Collection, a: Transform, b: Transform, depth: int) -> tuple[np.nda
         symbols[~z_of], symbols[z_of] = a.before, b.before
         order = np.argsort(symbols, kind="stable")
         new_z, sorted_symbols, sorted_block = z_of[order], symbols[order], block_of[order]
-        changed = (sorted_symbols[1:] != sorted_symbols[:-1]) | (sorted_block[1:] != sorted_block[:-1])
-        new_block = np.concatenate([[0], np.cumsum(changed)])
-        stable = bool((new_z == z).all()) and new_block[-1] == block[-1]
-        z, block = new_z, new_block
+        new_block = np.zeros(len(z), dtype=np.int64)
+        np.cumsum((sorted_symbols[1:] != sorted_symbols[:-1]) | (sorted_block[1:] != sorted_block[:-1]), out=new_block[1:])
         if step * c.step >= depth and deep is None:
-            deep_z, deep = z.copy(), block.copy()
-        if stable or step > 4096:
+            deep_z, deep = new_z, new_block
+            if last:
+                break
+        # The blocks only ever split, so this ends: at the latest when every suffix is a block of its own.
+        if new_block[-1] == block[-1] and (new_z == z).all():
+            deep_z, deep = (new_z, new_block) if deep is None else (deep_z, deep)
+            z = new_z
             break
-    merged = np.empty(len(z), dtype=np.int64)
-    merged[~z], merged[z] = a.order, b.order
-    if deep is None:
-        return merged, block
+        z, block = new_z, new_block
     at = np.empty(len(z), dtype=np.int64)
     at[~deep_z], at[deep_z] = a.order, b.order
-    of = np.empty(len(c.symbol), dtype=np.int64)
+    if last:
+        return at, deep
+    merged, of = np.empty(len(z), dtype=np.int64), np.empty(len(c.symbol), dtype=np.int64)
+    merged[~z], merged[z] = a.order, b.order
     of[at] = deep
     return merged, of[merged]
 
@@ -231,7 +248,7 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH, shards: int = 2
     if len(level) == 1:
         level.append(Transform(c, np.zeros(0, np.int64)))
     while True:
-        merged = [merge(c, *level[i : i + 2], length) for i in range(0, len(level) - 1, 2)]
+        merged = [merge(c, *level[i : i + 2], length, len(level) == 2) for i in range(0, len(level) - 1, 2)]
         if len(level) == 2:
             break
         level = [Transform(c, m[0]) for m in merged] + level[len(level) & ~1 :]
@@ -306,18 +323,34 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     """(row, lo, hi): bytes of the texts (row, text) under repeated windows; spans may overlap."""
     found = materialize(occurrences(rows, length, gram), "lz4")
     key = ["gram", "piece", "shape"]
-    pieces = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("mult"), F.min(F.struct("row", "at")).alias("first")), "lz4")
+    pieces = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("mult"), F.min(F.struct("row", "at")).alias("first"), F.first("left").alias("left"), F.first("right").alias("right")), "lz4")
     multiple = pieces.filter("mult > 1").select(*key)
-    whole = found.join(multiple, key).select("row", F.col("at").alias("lo"), (F.col("at") + F.floor(F.col("shape") / 1024) - 1 + length).alias("hi"))
-    open_ = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("distinct"), F.min("mult").alias("least")).filter("distinct > 1 AND least = 1").select("gram", "distinct")
-    asked = materialize(pieces.join(open_, "gram").select("gram", "distinct", "mult", F.col("first.row").alias("row"), F.col("first.at").alias("at"), F.floor(F.col("shape") / 1024).alias("n")), "lz4")
+    n, rel = F.floor(F.col("shape") / 1024), F.col("shape") % 1024
+    whole = found.join(multiple, key).select("row", F.col("at").alias("lo"), (F.col("at") + n - 1 + length).alias("hi"))
+    open_ = lambda rows: rows.groupBy("gram").agg(F.count(F.lit(1)).alias("distinct"), F.min("mult").alias("least")).filter("distinct > 1 AND least = 1").select("gram", "distinct")
+    classed = pieces.join(open_(pieces).select("gram"), "gram").select("gram", "mult", F.col("first.row").alias("row"), F.col("first.at").alias("at"), n.alias("n"), rel.alias("rel"), "left", "right")
+    classed = materialize(classed, "lz4")
+    often = lambda side: classed.groupBy("gram", side).agg(F.count(F.lit(1)).alias("c")).filter(f"c > 1 AND {side} IS NOT NULL").select("gram", side, F.lit(True).alias(f"by_{side}"))
+    # Of a window that begins at w, the half on the left of the anchor is in it if w <= rel - half; else the half on the right is.
+    edge = F.col("rel") - (length - gram) // 2 + 1
+    lo = F.when(F.col("by_left").isNull(), F.greatest(F.lit(0), edge)).otherwise(F.lit(0))
+    hi = F.when(F.col("by_right").isNull(), F.least("n", edge)).otherwise(F.col("n"))
+    sided = classed.join(often("left"), ["gram", "left"], "left").join(often("right"), ["gram", "right"], "left").filter("by_left OR by_right")
+    trimmed = sided.select("gram", "mult", "row", (F.col("at") + lo).alias("at"), (hi - lo).alias("n")).filter("n > 0")
+    trimmed = materialize(trimmed, "lz4")
+    asked = materialize(trimmed.join(open_(trimmed), "gram").select("gram", "distinct", "mult", "row", "at", "n"), "lz4")
+    drop_table(trimmed)
+    drop_table(classed)
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct("gram", "distinct", "mult", "at", "n")).alias("asked"))
     cut = rows.join(by_row, "row").select("row", F.col("text").cast("binary").alias("bytes"), F.explode("asked").alias("a"))
     bytes_ = F.substring("bytes", (F.col("a.at") + 1).cast("int"), (F.col("a.n") + length - 1).cast("int"))
     texts = materialize(cut.select("a.gram", "a.distinct", "a.mult", "row", "a.at", bytes_.alias("bytes")), "zstd")
     settled = merged_spans(texts.filter(F.col("distinct") <= most).repartition("gram").sortWithinPartitions("gram"), length)
     rest = counted_spans(texts.filter((F.col("distinct") > most)), length).join(asked.filter("mult = 1").select("row").distinct(), "row", "left_semi")
-    return whole.unionByName(settled).unionByName(rest)
+    out = materialize(whole.unionByName(settled).unionByName(rest), "lz4")
+    for t in (found, pieces, asked, texts):
+        drop_table(t)
+    return out
 
 
 REMOVED = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>"
@@ -356,6 +389,3 @@ def repeats_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `remove_repeats`."""
     return remove_repeats(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

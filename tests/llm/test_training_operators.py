@@ -47,13 +47,13 @@ def ids_of(text, file="byte_bpe_50k.json"):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_path(file))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_tokenizer(file):
     odd = ["a  b", " lead", "tail ", "it's we'll", "x\ty\n\nz", "1234 5", "ÀÉ ß Œ́ Σ", "日本 語", "<|endoftext|>", "a b  c", "é,è.!!  **", "\x1c \x85", "  ", "(a) | b%%%"]
+    odd += ["a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>", "ΛΟΓΟΣ ΟΔΟΣ, Σ", "İstanbul ẞ ﬁn ﬂ", "<|endoftext|><|endoftext|>", "a\u00a0b", "<|endoftext", "e\u0301 E\u0301 ÉÀ", "A<|ENDOFTEXT|>b"]
     encoder = TokenEncoder(public_path(file))
     for text in [*odd, *(r[1] or "" for r in corpus())]:
         assert np.frombuffer(encoder.encode_text(text), "<u4").tolist() == ids_of(text, file)[:-1], text
@@ -143,6 +143,50 @@ def test_near_components(docs, empty, percent):
     assert minhash.near_components(empty).count() == 0
 
 
+def test_shared_change_in_many_copies(spark):
+    """Copies of one text, far from it, that share a change, and texts that share but a line."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, line = [word() for _ in range(120)], [word() for _ in range(12)]
+    change = [word() for _ in range(40)]
+    texts = []
+    for i in range(500):
+        t = base[:40] + change + base[80:] if i % 2 else base[:]
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(" ".join(t))
+    texts += [" ".join(line + [word() for _ in range(rng.randint(2, 60))]) for _ in range(300)]
+    want = brute_components(texts, 85)
+    for wide in (4, 256):
+        monkey = minhash.linked_components
+        minhash.linked_components = lambda *a, w=wide: monkey(*a, wide=w)
+        try:
+            got = minhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85).collect()
+        finally:
+            minhash.linked_components = monkey
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def brute_components(texts, percent):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
+
+
 def test_many_near_copies_of_one_text(spark):
     """Copies with changes of their own hang together only by the text they were made of, or not at all."""
     rng = random.Random(5)
@@ -350,6 +394,26 @@ def test_repeats(docs, empty):
     assert bwt_dedup.repeats_digest(empty).count() == 0
 
 
+def test_repeats_in_a_very_long_text(spark):
+    """Texts above the cut, with repeats across the cut, of each other and of themselves."""
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passage, other = word(700), word(300)
+    cut, length = bwt_dedup.CUT, bwt_dedup.LENGTH
+    long_ = word(cut - 350) + passage + word(40_000) + other + word(999) + other
+    texts = [long_, word(50) + passage + word(60), word(500), None, ""]
+    rows = [(i, None if t is None else t if isinstance(t, str) else t.decode()) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in bwt_dedup.repeats_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = Counter(t[i : i + length] for t in texts[:3] for i in range(len(t) - length + 1))
+    for i, t in enumerate(texts[:3]):
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - length + 1):
+            if seen[t[a : a + length]] > 1:
+                gone[a : a + length] = True
+        assert got[i].n_removed == gone.sum() and got[i].kept_sha256 == hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
+    assert got[0].n_spans == 3 and got[1].n_spans == 1 and got[2].n_removed == 0
+
+
 def test_merged_transforms():
     rng = random.Random(1)
     for _ in range(60):
