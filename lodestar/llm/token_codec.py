@@ -114,7 +114,9 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         head, head_start, total = 0, 0, 0
 
         def row(ids: bytes) -> dict:
-            return {"segment": segment, "block": block, "first": first, "n_tokens": len(ids) // 4, "ids": bytes(ids), "head": head, "head_start": head_start, "doc_ids": doc_ids, "doc_lengths": lengths}
+            flat = np.frombuffer(bytes(ids), dtype="<u4")
+            narrow = flat.astype("<u2").tobytes() if flat.max() < 1 << 16 else flat.tobytes()
+            return {"segment": segment, "block": block, "first": first, "n_tokens": len(flat), "ids": narrow, "head": head, "head_start": head_start, "doc_ids": doc_ids, "doc_lengths": lengths}
 
         for batch in batches:
             rows = []
@@ -143,14 +145,19 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in ddl.split(", "))])
 
 
+def _flat(ids: bytes, n_tokens: int) -> np.ndarray:
+    """The ids of a raw block, which holds them in two bytes each where they fit."""
+    return np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n_tokens else "<u4")
+
+
 def token_counts(blocks: DataFrame) -> DataFrame:
     """(token, n) over all blocks; each task sends one row a distinct token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+            for ids, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = np.bincount(_flat(ids.as_buffer(), n))
                 if len(found) > len(total):
                     found[: len(total)] += total
                     total = found
@@ -159,7 +166,7 @@ def token_counts(blocks: DataFrame) -> DataFrame:
         tokens = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int32()), pa.array(total[tokens], pa.int64())], names=["token", "n"])
 
-    return blocks.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return blocks.select("ids", "n_tokens").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def encode_blocks(blocks: DataFrame, shared) -> DataFrame:
@@ -172,9 +179,9 @@ def encode_blocks(blocks: DataFrame, shared) -> DataFrame:
                     same = [r for r in rows if _padded(r["n_tokens"]) == size]
                     ids = np.full((len(same), size), table.pad, dtype=np.uint32)
                     for i, r in enumerate(same):
-                        ids[i, : r["n_tokens"]] = np.frombuffer(r["ids"], dtype="<u4")
+                        ids[i, : r["n_tokens"]] = _flat(r["ids"], r["n_tokens"])
                     states, words = table.encode(ids)
-                    out = [{k: v for k, v in r.items() if k != "ids"} | {"states": s.astype("<u8").tobytes(), "words": w.astype("<u4").tobytes(), "crc32": zlib.crc32(r["ids"])} for r, s, w in zip(same, states, words, strict=True)]
+                    out = [{k: v for k, v in r.items() if k != "ids"} | {"states": s.astype("<u8").tobytes(), "words": w.astype("<u4").tobytes(), "crc32": zlib.crc32(_flat(r["ids"], r["n_tokens"]).astype("<u4").tobytes())} for r, s, w in zip(same, states, words, strict=True)]
                     yield pa.RecordBatch.from_pylist(out, schema=_schema(CODED))
 
     return blocks.mapInArrow(encode, CODED)
@@ -185,7 +192,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    raw = materialize(raw_blocks(chosen.repartitionByRange(*order).sortWithinPartitions(*order), tokenizer, end_id))
+    raw = materialize(raw_blocks(chosen.repartitionByRange(*order).sortWithinPartitions(*order), tokenizer, end_id), "lz4")
     counts = token_counts(raw).collect()  # a row a token of the vocabulary at most
     tokens, n = np.array([r.token for r in counts], dtype=np.int64), np.array([r.n for r in counts], dtype=np.int64)
     order_ = np.argsort(tokens)

@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Chunks remembered by a Python worker, twice over (about 350 MB).
 REMEMBERED = 1_000_000
 
-#: Chunks looked up at a time.
+#: Chunks of a text looked up at a time, and marks remembered.
 STEP = 200_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -39,8 +39,46 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+
+#: The two layouts that chunks are right for: fixed values of the public files.
+BYTE_LAYOUT = (None, {**_BYTE_LEVEL, "use_regex": True}, None)
+WORD_LAYOUT = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {**_BYTE_LEVEL, "use_regex": False},
+    ]},
+    "</w>",
+)
+
+
+class _Memory(dict):
+    """Chunk -> ids. What was used since the last turn stays for another turn; the rest is forgotten."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.learn(key)
+        self[key] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class TokenEncoder:
-    """Texts to little-endian unsigned 32-bit ids."""
+    """Texts to little-endian unsigned 32-bit ids, as the library's encode() gives them without adding special tokens.
+
+    Files of another layout than the two known ones, and texts that hold one of the file's added
+    tokens, go to encode() whole.
+    """
 
     _shared: dict[str, TokenEncoder] = {}
 
@@ -50,14 +88,19 @@ class TokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        self.drops_space = bool(kind.get("normalizer"))
+        model = kind["model"]
+        layout = (kind.get("normalizer"), kind.get("pre_tokenizer"), model.get("end_of_word_suffix"))
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "unk_token"))
+        self.in_chunks = plain and layout in (BYTE_LAYOUT, WORD_LAYOUT) and not any(t[k] for t in kind["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        added = [re.escape(t["content"]) for t in kind["added_tokens"]]
+        self.added = re.compile("|".join(added)).search if added else None
+        self.drops_space = layout == WORD_LAYOUT
+        self.model_tokens = self.tokenizer.model.tokenize  # the attribute makes a new wrapper each time
         self.alphabet = byte_letters()
         self.space = self.alphabet[32]
-        self.memory: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.memory = _Memory(self._learn)
         # A line break between marks or letters is a pre-token of its own, or dropped with other white space.
         self.newline = array.array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.parts = {"\n": self.newline}
@@ -69,13 +112,16 @@ class TokenEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _tokens(self, pre_token: str) -> bytes:
         """A pre-token (with its space, if any) of Latin letters or plain marks, by the model alone."""
         if pre_token.isascii():  # letters and marks stand for themselves
             mapped = self.space + pre_token[1:] if pre_token[:1] == " " else pre_token
         else:
             mapped = "".join(map(self.alphabet.__getitem__, pre_token.encode()))
-        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return array.array("I", [t.id for t in self.model_tokens(mapped)]).tobytes()
 
     def _part(self, pre_token: str) -> bytes:
         ids = self.parts.get(pre_token)
@@ -85,41 +131,26 @@ class TokenEncoder:
             ids = self.parts[pre_token] = self._tokens(pre_token)
         return ids
 
-    def _word(self, word: str) -> bytes:
-        """A word of letters alone; it is a chunk's key itself, so it is remembered as one."""
-        ids = self.memory.get(word)
-        if ids is None:
-            ids = self.before.get(word)
-            if ids is None:
-                ids = self._tokens(word if self.drops_space else " " + word)
-            self.memory[word] = ids
-        return ids
-
-    def _learn(self, keys: set[str]) -> None:
-        known, word_ids, part, drops = self.memory, self._word, self._part, self.drops_space
-        simple, plain, rest = _SIMPLE.fullmatch, _PLAIN.fullmatch, []
-        for key in keys:
-            body = key.lower() if drops else key
-            found = simple(body)
-            if found:
-                word, marks = found.groups()
-                known[key] = word_ids(word) + part(marks) if marks else word_ids(word)
-                continue
-            first = not drops and key[:1] == " "
-            if first:
-                body = body[1:]
-            if plain(body):
-                parts = _PARTS.findall(body)
-                if drops or first:
-                    known[key] = b"".join(map(part, parts))
-                else:
-                    start = word_ids(parts[0]) if parts[0].isalpha() else part(" " + parts[0])
-                    known[key] = start + b"".join(map(part, parts[1:]))
-            else:
-                rest.append((key, body if drops or first else " " + body))
-        if rest:
-            for (key, _), e in zip(rest, self.tokenizer.encode_batch_fast([c for _, c in rest], add_special_tokens=False), strict=True):
-                known[key] = array.array("I", e.ids).tobytes()
+    def _learn(self, key: str) -> bytes:
+        """The ids of a chunk's key."""
+        drops = self.drops_space
+        body = key.lower() if drops else key
+        found = _SIMPLE.fullmatch(body)
+        if found:
+            word, marks = found.groups()
+            if marks or word != key:  # the word by itself is a key too
+                return self.memory[word] + self._part(marks) if marks else self.memory[word]
+            return self._tokens(word if drops else " " + word)
+        first = not drops and key[:1] == " "
+        if first:
+            body = body[1:]
+        if _PLAIN.fullmatch(body):
+            parts = _PARTS.findall(body)
+            if drops or first:
+                return b"".join(map(self._part, parts))
+            start = self.memory[parts[0]] if parts[0].isalpha() else self._part(" " + parts[0])
+            return start + b"".join(map(self._part, parts[1:]))
+        return self._whole(key if drops else body if first else " " + body)
 
     def _keys(self, text: str) -> list[str]:
         """Keys of a text's chunks: a chunk itself or, if spaces count, what follows its space; the first chunk's then begins with a space."""
@@ -133,53 +164,22 @@ class TokenEncoder:
         first, *others = _INNER_SPACE.split(text)
         return [" " + first, *[c[1:] for c in others]]
 
-    def _know(self, keys: list[str]) -> None:
-        """Have the chunks of all these keys in the memory."""
-        if len(self.memory) >= REMEMBERED:
-            # What was used since the last turn stays for another; the rest is forgotten.
-            self.before, self.memory = self.memory, {}
-        unknown = set(keys).difference(self.memory)
-        if unknown:
-            before = self.before
-            self.memory.update({c: before[c] for c in unknown if c in before})
-            self._learn(unknown.difference(before))
-
-    def _steps(self, chunks: list[str]) -> bytes:
-        """A very long text, in steps that the memory can hold."""
+    def encode_text(self, text: str) -> bytes:
+        if not self.in_chunks or self.added and self.added(text):
+            return self._whole(text)
+        chunks, ids = self._keys(text), self.memory.__getitem__
+        if len(chunks) <= STEP:
+            self.memory.turn()
+            return b"".join(map(ids, chunks))
         out = []
-        for at in range(0, len(chunks), STEP):
-            some = chunks[at : at + STEP]
-            self._know(some)
-            out.append(b"".join(map(self.memory.__getitem__, some)))
+        for at in range(0, len(chunks), STEP):  # a very long text, in steps that the memory can hold
+            self.memory.turn()
+            out.append(b"".join(map(ids, chunks[at : at + STEP])))
         return b"".join(out)
 
-    def encode_text(self, text: str) -> bytes:
-        return self.encode(pa.array([text]))[0]
-
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty), four bytes each."""
-        out: list[bytes] = []
-        held: list[list[str]] = []
-        waiting: list[str] = []
-
-        def encode_held() -> None:
-            self._know(waiting)
-            known = self.memory.__getitem__
-            out.extend(b"".join(map(known, chunks)) for chunks in held)
-            held.clear()
-            waiting.clear()
-
-        for t in texts:
-            chunks = self._keys(t.as_py() or "")
-            if len(chunks) + len(waiting) > STEP:
-                encode_held()
-            if len(chunks) > STEP:
-                out.append(self._steps(chunks))
-            else:
-                held.append(chunks)
-                waiting += chunks
-        encode_held()
-        return out
+        return [self.encode_text(t or "") for t in texts.to_pylist()]
 
 
 def public_path(name: str, folder: str | None = None) -> str:

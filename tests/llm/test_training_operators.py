@@ -150,14 +150,14 @@ def test_shared_change_in_many_copies(spark):
     base, line = [word() for _ in range(120)], [word() for _ in range(12)]
     change = [word() for _ in range(40)]
     texts = []
-    for i in range(500):
+    for i in range(120):
         t = base[:40] + change + base[80:] if i % 2 else base[:]
         for _ in range(rng.randint(0, 5)):
             t[rng.randrange(len(t))] = word()
         texts.append(" ".join(t))
-    texts += [" ".join(line + [word() for _ in range(rng.randint(2, 60))]) for _ in range(300)]
+    texts += [" ".join(line + [word() for _ in range(rng.randint(2, 60))]) for _ in range(80)]
     want = brute_components(texts, 85)
-    for wide in (4, 256):
+    for wide in (16, 256):
         monkey = minhash.linked_components
         minhash.linked_components = lambda *a, w=wide: monkey(*a, wide=w)
         try:
