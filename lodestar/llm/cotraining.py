@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .hashing import joined, mixed, some_texts, texts_of, word_hashes
 
 SAMPLE, POOL, VOCABULARY, ROUNDS, TELLING = 5000, 5000, 1024, 3, 3.0
 MARKS = b"!*$%#&|.,;:?()[]{}<>/@_-=+'\""
-SOURCES, LANGS, LENGTHS = 64, 16, 24
+SOURCES, LANGS, LENGTHS = 512, 64, 24
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # upper, lower, digit, white space, new line, other bytes, then each mark
 _CLASS[:] = 5
@@ -76,20 +77,24 @@ def present(h: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.n
 
 
 def _bucket(values: list, n: int) -> np.ndarray:
-    codes = np.array([int.from_bytes(str(v).encode()[:256].ljust(8, b"\0")[-8:], "little") if v is not None else 0 for v in values], dtype=np.uint64)
-    return (mixed(codes + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    """A bucket of each whole value's hash; null is a value of its own."""
+    codes = {v: 0 if v is None else xxhash.xxh64_intdigest(str(v), 1) | 1 for v in set(values)}
+    return (mixed(np.array([codes[v] for v in values], dtype=np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def metadata(lang: list, source: list, sizes: np.ndarray) -> np.ndarray:
-    """Metadata features: buckets of language, source and length."""
-    n = len(sizes)
-    out = np.zeros((n, LANGS + SOURCES + LENGTHS + 1))
-    rows = np.arange(n)
-    out[rows, _bucket(lang, LANGS)] = 1
-    out[rows, LANGS + _bucket(source, SOURCES)] = 1
+def meta_places(lang: list, source: list, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the three metadata features that are 1 (language, source, length), and the length itself."""
     logs = np.log2(np.maximum(1, sizes))
-    out[rows, LANGS + SOURCES + np.minimum(LENGTHS - 1, logs.astype(np.int64))] = 1
-    out[:, -1] = logs / 16
+    length = np.minimum(LENGTHS - 1, logs.astype(np.int64))
+    return np.stack([_bucket(lang, LANGS), LANGS + _bucket(source, SOURCES), LANGS + SOURCES + length], axis=1).reshape(-1, 3), logs / 16
+
+
+def metadata(lang: list, source: list, sizes: np.ndarray) -> np.ndarray:
+    """The same as a matrix."""
+    places, logs = meta_places(lang, source, sizes)
+    out = np.zeros((len(sizes), LANGS + SOURCES + LENGTHS + 1), dtype=np.float32)
+    np.put_along_axis(out, places, 1, axis=1)
+    out[:, -1] = logs
     return out
 
 
@@ -206,12 +211,12 @@ class Classifier:
         shape, h, at = shapes(texts)
         rows, words = present(h, at, self.vocabulary)
         dense = (shape - self.mean) / self.scale
-        meta = metadata(lang, source, np.fromiter((len(t) for t in texts), np.int64, len(texts)))
+        places, logs = meta_places(lang, source, np.fromiter((len(t) for t in texts), np.int64, len(texts)))
         v, out = len(self.vocabulary), []
         for head in (self.quality, self.toxic):
             w, m = head.views
             text = np.bincount(rows, w[:v][words], minlength=len(texts)) + dense @ w[v:-1] + w[-1]
-            out.append(1 / (1 + np.exp(-np.clip(head.log_odds([text, meta @ m[:-1] + m[-1]]), -30, 30))))
+            out.append(1 / (1 + np.exp(-np.clip(head.log_odds([text, m[places].sum(axis=1) + logs * m[-2] + m[-1]]), -30, 30))))
         return out[0], out[1]
 
 
@@ -278,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     model = Classifier(vocab, shape.mean(axis=0) if len(shape) else np.zeros(SHAPES), np.maximum(1e-3, shape.std(axis=0)) if len(shape) else np.ones(SHAPES), blank, blank)
     r_ = np.repeat(np.arange(len(got)), [len(r.words) for r in got]) if got else np.zeros(0, np.int64)
     w_ = np.concatenate([np.array(r.words, dtype=np.int64) for r in got]) if got else np.zeros(0, np.int64)
-    views = [model.text_view(shape, r_, w_), metadata([r.lang for r in got], [r.source for r in got], np.array([r["size"] for r in got], dtype=np.int64)).astype(np.float32)]
+    views = [model.text_view(shape, r_, w_), metadata([r.lang for r in got], [r.source for r in got], np.array([r["size"] for r in got], dtype=np.int64))]
     has = np.array([r.quality is not None for r in got], dtype=bool)
     fold = mixed(np.array([r.doc_id for r in got], dtype=np.int64).view(np.uint64)) % np.uint64(5) == 0
     for name in ("quality", "toxic"):

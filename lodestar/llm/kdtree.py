@@ -18,11 +18,30 @@ from .common import materialize, numbered
 BINS, TIE_BITS, SCALE_BITS = 16, 22, 40
 
 
+#: Distinct texts of a column up to which their ranks are broadcast.
+FEW = 10_000
+
+
+def with_ranks(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with a text column replaced by the rank of its value among all distinct values (null stays null).
+
+    Values are sorted by ranges, ranked within a range, and moved by the ranges before, a row a range.
+    """
+    values = rows.select(name).filter(F.col(name).isNotNull()).distinct().repartitionByRange(name)
+    ranges = materialize(values.withColumn("__range", F.spark_partition_id()), "lz4")
+    within = ranges.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(name)))
+    counts = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    ranks = within.join(F.broadcast(offsets), "__range").select(F.col(name).alias("__value"), (F.col("__before") + F.col("__in")).alias("__rank"))
+    if ranges.count() <= FEW:
+        ranks = F.broadcast(ranks)
+    met = rows.join(ranks, F.col(name) == F.col("__value"), "left")
+    return met.select(*[F.col("__rank").alias(c) if c == name else F.col(c) for c in rows.columns])
+
+
 def as_number(df: DataFrame, name: str) -> Column:
-    """A metadata column as a number in the same order; texts by their first six bytes, null below all others."""
-    if dict(df.dtypes)[name] == "string":
-        bytes_ = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(bytes_, 16, 10).cast("double"), F.lit(-1.0))
+    """A metadata column as a number in the same order, null below all others; texts have to be ranks by now."""
     return F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
 
 
@@ -32,10 +51,16 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str, leaves: int | None =
     `leaves`, or as many as bring each leaf to `target_bytes`. Null metadata counts as lowest; an
     empty table gives no rows; rows that are the same in all are split only as far as `row` differs.
     """
-    spark = rows.sparkSession
+    spark, given = rows.sparkSession, rows
+    rows = rows.select("row", size, *[d for d in dims if d not in ("row", size)])
+    for d in dims:
+        if dict(rows.dtypes)[d] == "string":
+            rows = with_ranks(rows, d)
+    if any(dict(given.dtypes)[d] == "string" for d in dims):
+        rows = materialize(rows, "lz4")
     span = rows.agg(F.sum(size).alias("total"), *[F.min(as_number(rows, d)).alias(f"lo{i}") for i, d in enumerate(dims)], *[F.max(as_number(rows, d)).alias(f"hi{i}") for i, d in enumerate(dims)]).first()
     if span.total is None:
-        return rows.withColumn("shard", F.lit(0))
+        return given.withColumn("shard", F.lit(0))
     leaves = leaves or max(1, -(-int(span.total) // int(target_bytes)))
     tie = F.shiftrightunsigned(F.xxhash64("row"), 64 - TIE_BITS)
 
@@ -73,7 +98,7 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str, leaves: int | None =
                 grown[2 * n] = (first, 1, box)
         tree = grown
     named = F.broadcast(spark.createDataFrame([(n, first) for n, (first, _, _) in tree.items()], "node long, shard int"))  # a row a shard
-    return rows.join(small.select("row", F.col("node").cast("long").alias("node")).join(named, "node").select("row", "shard"), "row")
+    return given.join(small.select("row", F.col("node").cast("long").alias("node")).join(named, "node").select("row", "shard"), "row")
 
 
 def _medians(spark, small: DataFrame, asked: list, n_dims: int, enough: float) -> dict[int, tuple[int, int]]:

@@ -27,7 +27,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_docs(spark, sf_dir))[0].select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(_docs(spark, sf_dir))[0].select("doc_id", "source", "size", "source_size", "target", "taken", "shards", "first_shard")
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks remembered by a Python worker, twice over (about 350 MB).
-REMEMBERED = 1_000_000
+#: Chunks remembered by a Python worker, twice over (about 250 MB).
+REMEMBERED = 600_000
 
 #: Chunks of a text looked up at a time, and marks remembered.
 STEP = 200_000
@@ -56,9 +56,9 @@ WORD_LAYOUT = (
 class _Memory(dict):
     """Chunk -> ids. What was used since the last turn stays for another turn; the rest is forgotten."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, before: dict[str, bytes]):
         super().__init__()
-        self.learn, self.before = learn, {}
+        self.learn, self.before = learn, before
 
     def __missing__(self, key: str) -> bytes:
         ids = self.before.get(key)
@@ -67,11 +67,6 @@ class _Memory(dict):
         self[key] = ids
         return ids
 
-    def turn(self) -> None:
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-
 
 class TokenEncoder:
     """Texts to little-endian unsigned 32-bit ids, as the library's encode() gives them without adding special tokens.
@@ -100,7 +95,7 @@ class TokenEncoder:
         self.model_tokens = self.tokenizer.model.tokenize  # the attribute makes a new wrapper each time
         self.alphabet = byte_letters()
         self.space = self.alphabet[32]
-        self.memory = _Memory(self._learn)
+        self.memory = _Memory(self._learn, {})
         # A line break between marks or letters is a pre-token of its own, or dropped with other white space.
         self.newline = array.array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.parts = {"\n": self.newline}
@@ -164,22 +159,24 @@ class TokenEncoder:
         first, *others = _INNER_SPACE.split(text)
         return [" " + first, *[c[1:] for c in others]]
 
+    def _ids(self, chunks: list[str]) -> bytes:
+        if len(self.memory) >= REMEMBERED:
+            self.memory.before = {}
+            self.memory = _Memory(self._learn, self.memory)
+        return b"".join(map(self.memory.__getitem__, chunks))
+
     def encode_text(self, text: str) -> bytes:
         if not self.in_chunks or self.added and self.added(text):
             return self._whole(text)
-        chunks, ids = self._keys(text), self.memory.__getitem__
+        chunks = self._keys(text)
         if len(chunks) <= STEP:
-            self.memory.turn()
-            return b"".join(map(ids, chunks))
-        out = []
-        for at in range(0, len(chunks), STEP):  # a very long text, in steps that the memory can hold
-            self.memory.turn()
-            out.append(b"".join(map(ids, chunks[at : at + STEP])))
-        return b"".join(out)
+            return self._ids(chunks)
+        # A very long text, in steps that the memory can hold.
+        return b"".join(self._ids(chunks[at : at + STEP]) for at in range(0, len(chunks), STEP))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty), four bytes each."""
-        return [self.encode_text(t or "") for t in texts.to_pylist()]
+        return [self.encode_text(t.as_py() or "") for t in texts]
 
 
 def public_path(name: str, folder: str | None = None) -> str:

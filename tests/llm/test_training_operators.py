@@ -244,8 +244,26 @@ def test_mix(docs, empty):
     assert key(got) == key(again)
     words = slots.groupBy("source").agg(F.sum("words").alias("w")).collect()
     assert {r.source: r.w for r in words} == {s: taken[s] for s in taken if taken[s]}
-    assert mixing.mix(empty)[0].count() == 0
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    # Every shard but the last holds as many slots as asked for, or fewer where a source has run out; a source's slots have no gaps.
+    by_shard = defaultdict(Counter)
+    for r in slots.collect():
+        by_shard[r.shard][r.source] += 1
+    last = max(by_shard)
+    assert last > 2 and all(sum(c.values()) <= 8 for shard, c in by_shard.items() if shard != last)
+    assert len({tuple(sorted(c.items(), key=str)) for c in by_shard.values()}) > 1
+    per_source = slots.groupBy("source").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("n"), F.count(F.lit(1)).alias("m")).collect()
+    assert all(r.a == 0 and r.b == r.n - 1 and r.n == r.m for r in per_source)
+    assert all((r.shards > 0) == (r.taken > 0) == (r.first_shard is not None) for r in got)
+    # The blocks themselves: the words that slots take, no word of another source.
+    blocks = mixing.mixed_blocks(docs, block=16, shard_slots=8).collect()
+    assert sum(len(r.words) for r in blocks) == sum(r.w for r in words) and all(1 <= len(r.words) <= 16 for r in blocks)
+    own = defaultdict(set)
+    for r in corpus():
+        own[r[3]].update((r[1] or "").translate({ord(c): " " for c in WHITE}).split(" "))
+    assert all(set(r.words) <= own[r.source] for r in blocks)
+    assert mixing.mix(empty)[0].count() == 0 and mixing.mixed_blocks(empty).count() == 0
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(empty).count() == 0
+    assert mixing.mixed_documents(docs.drop("source")).count() > 0
 
 
 def test_permutations(spark):
