@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,49 @@ def human_size(n: Column) -> Column:
 def trip_count(start: Column, stop: Column, step: int) -> Column:
     """Rounds of a counting loop, never below 0."""
     return F.greatest(F.lit(0), F.floor((stop - start) / step) + 1)
+
+
+def typed_number(text: Column) -> Column:
+    """A struct of `whole` (numbers without a point) and `real` (the others); both null for `nil` and what isn't a number."""
+    t = F.trim(text)
+    is_whole = t.rlike(r"^[+-]?\d+$")
+    return F.struct(F.when(is_whole, t.try_cast("long")).alias("whole"), F.when(~is_whole, F.nullif(t, F.lit("nil")).try_cast("double")).alias("real"))
+
+
+def rates(ft: Column, fps: Column) -> tuple[Column, Column]:
+    """Frame time and rate, each from the other where it is missing; null where that would divide by 0."""
+    other = lambda x: F.when(x != 0, 1000 / x)
+    return F.coalesce(ft, other(fps)), F.coalesce(fps, other(ft))
+
+
+def patched_once(text: Column, old: str, new: str) -> Column:
+    """The text with `old` replaced if it occurs exactly once, else null."""
+    quoted = "\\Q" + old + "\\E"
+    return F.when(F.regexp_count(text, F.lit(quoted)) == 1, F.replace(text, F.lit(old), F.lit(new)))
+
+
+def masked_scripts(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with comments and string literals of script texts blanked, all other characters in their places."""
+    import re
+
+    marks = re.compile(r"--\[(=*)\[[\s\S]*?(?:\]\1\]|\Z)|--[^\n]*|\[(=*)\[[\s\S]*?\]\2\]|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'")
+    at = rows.columns.index(text)
+    schema = rows.schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            blank = lambda m: re.sub(r"[^\n]", " ", m.group())
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else marks.sub(blank, t) for t in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def indent_unit(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, unit: the most frequent leading white space of the text's lines (of equals the shortest, then the least)."""
+    lead = rows.select(key, F.explode(F.split(text, "\n")).alias("__line")).select(key, F.regexp_extract("__line", r"^(\s*)\S", 1).alias("unit")).filter("unit != ''")
+    counted = lead.groupBy(key, "unit").agg(F.count(F.lit(1)).alias("__n"))
+    return counted.groupBy(key).agg(F.min_by("unit", F.struct(-F.col("__n"), F.length("unit"), "unit")).alias("unit"))

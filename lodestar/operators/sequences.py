@@ -48,16 +48,20 @@ def rollback(rows: DataFrame, group: str, admitted: Column) -> DataFrame:
     return rows.withColumn("applied", F.bool_and(admitted).over(Window.partitionBy(group)))
 
 
-def max_path(rows: DataFrame, scope: list[str], branch: str, weight: str) -> DataFrame:
-    """Branch-aware count: of alternative branches only the dearest happens; scopes add up."""
-    return rows.groupBy(*scope, branch).agg(F.sum(weight).alias("__w")).groupBy(*scope).agg(F.max("__w").alias("worst"), F.sum("__w").alias("flat"))
-
-
-def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(node, hop) within `hops` edges of the seeds (node); edges (src, dst). Each hop joins only the new nodes."""
-    found = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    front = found
-    for hop in range(1, hops + 1):
-        front = front.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        found = found.union(front)
-    return found
+def max_path(rows: DataFrame, keys: list[str], chain: str) -> DataFrame:
+    """keys, worst, flat: the most rows of a key that one run can meet, and all of them.
+
+    `chain` is the path of a row through nested forks, an array of structs (fork, branch). Of the
+    branches of a fork only one is taken, so it counts with its largest; forks and rows side by side
+    add up. Innermost forks are folded first, one aggregation for each level of nesting.
+    """
+    flat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("flat"))
+    now = rows.groupBy(*keys, F.col(chain).alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    deepest = now.agg(F.max(F.size("__at")).alias("d")).first().d or 0
+    for depth in range(deepest, 0, -1):
+        ends = now.filter(F.size("__at") == depth)
+        up = F.slice("__at", 1, depth - 1)
+        folded = ends.groupBy(*keys, up.alias("__up"), F.col("__at")[depth - 1]["fork"].alias("__fork")).agg(F.max("__n").alias("__n"))
+        above = now.filter(F.size("__at") < depth).unionByName(folded.select(*keys, F.col("__up").alias("__at"), "__n"))
+        now = above.groupBy(*keys, "__at").agg(F.sum("__n").alias("__n"))
+    return now.groupBy(*keys).agg(F.sum("__n").alias("worst")).join(flat, keys)

@@ -1 +1,5 @@
+"""Registered queries and the SQL that says the same."""
 
+from . import catalog, runs, scripts
+
+__all__ = ["catalog", "runs", "scripts"]

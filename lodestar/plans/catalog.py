@@ -131,14 +131,6 @@ def compare_full_outer(t):
     return J.full_compare(count(o.filter("y = 1996 AND o_orderstatus = 'F'")), count(o.filter("y = 1995 AND o_orderpriority <> '5-LOW'")), "o_orderpriority", "n")
 
 
-@query("""WITH a AS (SELECT c_custkey, c_acctbal AS old FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS new FROM customer WHERE c_custkey % 5 <> 0)
-    SELECT c_custkey, old, new FROM a FULL JOIN b USING (c_custkey) WHERE old IS DISTINCT FROM new""")
-def config_diff(t):
-    c = t("customer")
-    new = c.filter("c_custkey % 5 <> 0").withColumn("c_acctbal", F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("c_acctbal")))
-    return J.changed(c.filter("c_custkey % 3 <> 0"), new, "c_custkey", "c_acctbal")
-
-
 WINNER = "row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey, l_linenumber, l_extendedprice)"
 
 
@@ -153,13 +145,6 @@ def live_copies(t):
     return placed.select("l_partkey", "l_orderkey", "l_linenumber", "place", F.when(F.col("place") == 1, "LIVE").otherwise("shadowed").alias("tag"))
 
 
-@query("""SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)
-    AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)""")
-def unused_symbols_anti(t):
-    l = t("lineitem").withColumnRenamed("l_partkey", "p_partkey")  # noqa: E741
-    return J.unused(t("part"), "p_partkey", l.filter("l_quantity > 45"), l.filter("l_returnflag = 'R'"), t("supplier").withColumnRenamed("s_suppkey", "p_partkey")).select("p_partkey", "p_name")
-
-
 @query("""WITH s AS (SELECT o_custkey AS user_id, o_orderkey, o_orderkey % 1000 AS lo, o_orderkey % 1000 + 50 + o_orderkey % 97 AS hi FROM orders),
     p AS (SELECT event_id, user_id, event_id % 1100 AS pos FROM events)
     SELECT event_id, o_orderkey FROM (SELECT event_id, o_orderkey, row_number() OVER (PARTITION BY event_id ORDER BY hi - lo, lo DESC, o_orderkey) AS r FROM p JOIN s USING (user_id) WHERE pos BETWEEN lo AND hi) WHERE r = 1""")
@@ -202,13 +187,6 @@ def arms_cross(t):
     return t("region").select("r_name").join(t("nation").select("n_name")).select("r_name", "n_name", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("round"))
 
 
-@query("""WITH b AS (SELECT c_mktsegment, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS best, max(c_acctbal) AS best_bal, arg_min(c_custkey, c_custkey) AS base, arg_min(c_acctbal, c_custkey) AS base_bal FROM customer GROUP BY 1)
-    SELECT c_mktsegment, best, best_bal, base, round(best_bal - base_bal, 2) AS delta FROM b""")
-def best_vs_baseline(t):
-    g = t("customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("best"), F.max("c_acctbal").alias("best_bal"), F.min("c_custkey").alias("base"), F.min_by("c_acctbal", "c_custkey").alias("base_bal"))
-    return g.select("c_mktsegment", "best", "best_bal", "base", F.round(F.col("best_bal") - F.col("base_bal"), 2).alias("delta"))
-
-
 @query("""SELECT p_partkey, round(CASE WHEN p_size <= 10 THEN p_size * 0.4 WHEN p_size <= 25 THEN 4 + (p_size - 10) * (16 / 15) WHEN p_size <= 50 THEN 20 + (p_size - 25) * (10 / 25) ELSE 30 END, 6)::DOUBLE AS predicted FROM part""")
 def interp_band(t):
     return t("part").select("p_partkey", F.round(J.interpolated(F.col("p_size").cast("double"), KNOTS), 6).alias("predicted"))
@@ -222,17 +200,6 @@ def bucket_verdict(t):
     return S.sweep_verdict(k, "p_brand", "p_size", "ok")
 
 
-@query("""SELECT l_orderkey, max(n) AS worst, sum(n)::BIGINT AS flat FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING max(n) >= 2""")
-def branch_aware_max(t):
-    return S.max_path(t("lineitem").withColumn("one", F.lit(1).cast("long")), ["l_orderkey"], "l_returnflag", "one").filter("worst >= 2")
-
-
-@query("""SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '[!*$%#&]') THEN 'compiled' WHEN regexp_matches(text, '!!') THEN 'interpreted' ELSE 'mixed' END AS mode FROM documents""")
-def mode_classify(t):
-    x = F.col("text")
-    return t("documents").select("doc_id", F.when(x.isNull() | ~x.rlike("[!*$%#&]"), "compiled").when(x.rlike("!!"), "interpreted").otherwise("mixed").alias("mode"))
-
-
 @query("""SELECT event_type, d, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY d) AS r FROM (SELECT event_type, epoch_us(ts) // 86400000000 AS d, count(*) AS n FROM events GROUP BY 1, 2)) WHERE r > 1 AND n >= 3""")
 def drop_first_windows(t):
     days = t("events").groupBy("event_type", F.floor(micros("ts") / 86_400_000_000).alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -265,33 +232,11 @@ def latest_vs_previous(t):
     return t("orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(newest).alias("previous"))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 2 = 0), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 3 = 0)
-    SELECT 'added' AS kind, l_partkey FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'removed', l_partkey FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'unchanged', l_partkey FROM (FROM a INTERSECT FROM b)""")
-def failure_setdiff(t):
-    l = t("lineitem")  # noqa: E741
-    a, b = l.filter("l_suppkey % 2 = 0").select("l_partkey"), l.filter("l_suppkey % 3 = 0").select("l_partkey")
-    tag = lambda d, k: d.select(F.lit(k).alias("kind"), "l_partkey")
-    return tag(a.subtract(b), "added").union(tag(b.subtract(a), "removed")).union(tag(a.intersect(b), "unchanged"))
-
-
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
 def json_props(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, event_type AS kind, value AS ms FROM events")
-def kv_parse(t):
-    line = F.concat_ws("|", F.lit("PROF"), F.concat(F.lit("kind="), "event_type"), F.concat(F.lit("ms="), F.col("value").cast("string")))
-    bag = t("events").select("event_id", T.kv_bag(line).alias("m"))
-    return bag.select("event_id", F.col("m")["kind"].alias("kind"), T.number(F.col("m")["ms"]).alias("ms"))
-
-
-@query("""SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (line LIKE '%!!%') AS errors, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""")
-def log_lines_classify(t):
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.count_if(F.col("line").contains("!!")).alias("errors"), F.max(F.length("line")).cast("long").alias("longest"))
-
-
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_docs_hash(t):
     return t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
@@ -302,14 +247,6 @@ def html_strip(t):
     return t("pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("text_chars"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey % 100) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 48), r(node, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, hop + 1 FROM r JOIN e ON node = src WHERE hop < 3)
-    SELECT node, min(hop)::INT AS hop FROM r GROUP BY 1""")
-def closure_bfs(t):
-    l = t("lineitem").filter("l_linenumber = 1 AND l_quantity > 48")  # noqa: E741
-    edges = l.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
-    return S.reach(t("supplier").filter("s_suppkey = 0").select(F.col("s_suppkey").alias("node")), edges, 3)
-
-
 @query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'error' THEN true WHEN event_type = 'view' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS in_fatal FROM events""")
 def state_machine(t):
     return S.inside(t("events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "view", "in_fatal").select("event_id", "in_fatal")
@@ -350,3 +287,56 @@ def limit_with_remainder(t):
 
     placed = t("events").withColumn("p", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")))
     return placed.groupBy("event_type").agg(F.round(F.sum(F.when(F.col("p") <= 3, F.col("value"))), 2).alias("shown"), F.count_if(F.col("p") > 3).alias("hidden"), F.round(F.sum(F.when(F.col("p") > 3, F.col("value"))), 2).alias("hidden_value"))
+
+
+@query("""WITH a AS (SELECT c_custkey, c_acctbal AS old FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS new FROM customer WHERE c_nationkey <> 3)
+    SELECT c_custkey, old, new FROM a FULL JOIN b USING (c_custkey) WHERE old IS DISTINCT FROM new""")
+def config_diff(t):
+    c = t("customer")
+    new = c.filter("c_nationkey <> 3").withColumn("c_acctbal", F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("c_acctbal")))
+    return J.changed(c.filter("c_mktsegment <> 'BUILDING'"), new, "c_custkey", "c_acctbal")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount >= 0.1)
+    SELECT 'added' AS kind, l_partkey FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'removed', l_partkey FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'unchanged', l_partkey FROM (FROM a INTERSECT FROM b)""")
+def failure_setdiff(t):
+    l = t("lineitem")  # noqa: E741
+    a, b = l.filter("l_quantity > 48").select("l_partkey"), l.filter("l_discount >= 0.1").select("l_partkey")
+    tag = lambda d, k: d.select(F.lit(k).alias("kind"), "l_partkey")
+    return tag(a.subtract(b), "added").union(tag(b.subtract(a), "removed")).union(tag(a.intersect(b), "unchanged"))
+
+
+@query("""SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)
+    AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_discount >= 0.1) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)""")
+def unused_symbols_anti(t):
+    l = t("lineitem").withColumnRenamed("l_partkey", "p_partkey")  # noqa: E741
+    return J.unused(t("part"), "p_partkey", l.filter("l_quantity > 49"), l.filter("l_returnflag = 'R' AND l_discount >= 0.1"), t("supplier").withColumnRenamed("s_suppkey", "p_partkey")).select("p_partkey", "p_name")
+
+
+@query("SELECT event_id, event_type AS kind, CASE WHEN event_id % 4 <> 0 THEN value END AS ms FROM events")
+def kv_parse(t):
+    """Lines with a part that is no pair, a pair with a second `=`, a key that comes twice, and `nil`."""
+    ms = F.when(F.col("event_id") % 4 == 0, "nil").otherwise(F.col("value").cast("string"))
+    line = F.concat_ws("|", F.lit("PROF"), F.concat(F.lit("kind="), "event_type"), F.lit("ms=1"), F.lit("x=a=b"), F.concat(F.lit("ms="), ms))
+    bag = t("events").select("event_id", T.kv_bag(line).alias("m"))
+    return bag.filter(F.col("m")["x"] == "a=b").select("event_id", F.col("m")["kind"].alias("kind"), T.number(F.col("m")["ms"]).alias("ms"))
+
+
+@query("""SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (line LIKE '%!!%') AS errors, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""")
+def log_lines_classify(t):
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.count_if(F.col("line").contains("!!")).alias("errors"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2, 3), b AS (SELECT l_orderkey, f, max(n) AS n FROM a GROUP BY 1, 2),
+    c AS (SELECT l_orderkey, l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2), d AS (SELECT l_orderkey, f, sum(n) AS n FROM (FROM b UNION ALL FROM c) GROUP BY 1, 2),
+    e AS (SELECT l_orderkey, max(n) AS n FROM d GROUP BY 1), g AS (SELECT l_orderkey, count(*) FILTER (l_linenumber = 1) AS direct, count(*) AS flat FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, (direct + coalesce(n, 0))::BIGINT AS worst, flat FROM g LEFT JOIN e USING (l_orderkey)""")
+def branch_aware_max(t):
+    """Rows of an order as calls: some on every path, some under the return flag, some under the line status below that."""
+    flag, status = F.ascii("l_returnflag"), F.ascii("l_linestatus")
+    step = lambda fork, branch: F.struct(fork.cast("int").alias("fork"), branch.cast("int").alias("branch"))
+    outer = step(F.lit(0), flag)
+    none = F.array().cast("array<struct<fork:int,branch:int>>")
+    chain = F.when(F.col("l_linenumber") == 1, none).when(F.col("l_linenumber") == 2, F.array(outer)).otherwise(F.array(outer, step(flag, status)))
+    return S.max_path(t("lineitem").select("l_orderkey", chain.alias("chain")), ["l_orderkey"], "chain")
