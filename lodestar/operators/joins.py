@@ -43,10 +43,16 @@ def innermost(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, on
     return met.withColumn("__place", F.row_number().over(nearest)).filter("__place = 1").drop("__place", "__cell")
 
 
-def overlaps(rows: DataFrame, key: str, ident: str, lo: str, hi: str) -> DataFrame:
-    """Pairs of rows of a key whose half-open intervals overlap."""
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}")))
+def overlaps(rows: DataFrame, key: str, ident: str, lo: str, hi: str, cell: int) -> DataFrame:
+    """Pairs of rows of a key whose half-open intervals overlap.
+
+    Intervals are dealt to the cells of the axis that they touch, so a key is split by time and only
+    neighbours meet; a pair counts in the cell where its later interval begins.
+    """
+    celled = rows.filter(F.col(lo) < F.col(hi)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))))
+    a, b = celled.alias("a"), celled.alias("b")
+    here = F.floor(F.greatest(f"a.{lo}", f"b.{lo}") / cell) == F.col("a.__cell")
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__cell") == F.col("b.__cell")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}")) & here)
 
 
 def last_before(rows: DataFrame, key: str, order: list[str], is_source: Column, value: str, into: str) -> DataFrame:

@@ -6,21 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import micros
+from ..scratch import stored
+from .ranks import numbered, ranked_values
 
 MICROS = 1_000_000.0
 
 
 def frame_metrics(samples: DataFrame, run: str, frametime: str) -> DataFrame:
-    """A metrics document a run: count, harmonic fps, median, p95, p99, 1 % low, extremes (frame times of 0 or less are no samples)."""
+    """A metrics document a run: count, harmonic fps, median, p95, p99, 1 % low, extremes (frame times of 0 or less are no samples).
+
+    Percentiles are exact, between the two ranks around them; they come from ranked values, so no
+    task sorts or holds a whole run.
+    """
     ft = F.col(frametime)
-    valid = samples.filter(ft > 0)
-    ranked = valid.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(run))).withColumn("__rank", F.row_number().over(Window.partitionBy(run).orderBy(ft.desc())))
-    low = F.avg(F.when(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__n") * 0.01)), 1000 / ft))
-    rounded = lambda c, name: F.round(c, 6).alias(name)
-    return ranked.groupBy(run).agg(
-        F.count(F.lit(1)).alias("frames"), rounded(1000 / F.avg(ft), "fps_avg"), rounded(F.percentile(ft, 0.5), "median_ms"), rounded(F.percentile(ft, 0.95), "p95_ms"),
-        rounded(F.percentile(ft, 0.99), "p99_ms"), rounded(low, "fps_1pct_low"), F.min(ft).alias("min_ms"), F.max(ft).alias("max_ms"),
-    )
+    valid = samples.filter(ft > 0).select(run, ft.cast("double").alias("ft"))
+    base = stored(valid.groupBy(run).agg(F.count(F.lit(1)).alias("frames"), F.avg("ft").alias("mean"), F.min("ft").alias("min_ms"), F.max("ft").alias("max_ms")))
+    at = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    k = lambda p: (F.col("frames") - 1) * F.lit(p)
+    slow = F.greatest(F.lit(1), F.floor(F.col("frames") * 0.01))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(k(p)), F.ceil(k(p))) for p in at.values()], F.array(F.col("frames") - slow))))
+    values = ranked_values(valid, [run], "ft", base.select(run, F.explode(ranks).alias("r")))
+    bag = values.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("bag"))  # seven entries at most
+    known = base.join(bag, run).withColumn("floor_ms", F.col("bag")[F.col("frames") - slow])
+    over = valid.join(known.select(run, "floor_ms"), run).filter("ft > floor_ms").groupBy(run).agg(F.count(F.lit(1)).alias("above"), F.sum(1000 / F.col("ft")).alias("fps_sum"))
+    both = known.join(over, run, "left")
+    between = lambda p: F.col("bag")[F.floor(k(p))] + (k(p) - F.floor(k(p))) * (F.col("bag")[F.ceil(k(p))] - F.col("bag")[F.floor(k(p))])
+    low = (F.coalesce("fps_sum", F.lit(0.0)) + (slow - F.coalesce("above", F.lit(0))) * 1000 / F.col("floor_ms")) / slow
+    return both.select(run, "frames", F.round(1000 / F.col("mean"), 6).alias("fps_avg"), *[F.round(between(p), 6).alias(n) for n, p in at.items()], F.round(low, 6).alias("fps_1pct_low"), "min_ms", "max_ms")
 
 
 def anchored_windows(samples: DataFrame, run: str, ts: str, frametime: str, width_s: float) -> DataFrame:
@@ -43,7 +55,8 @@ def cap_detection(windows: DataFrame, run: str, caps: list[float], tolerance: fl
 
 def downsample(rows: DataFrame, run: str, order: str, value: str, limit: int) -> DataFrame:
     """At most `limit` rows a run: of each bucket of neighbouring rows the one with the largest value (the first of equals)."""
-    placed = rows.withColumn("__i", F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(run)))
+    counts = rows.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
+    placed = numbered(rows, run, [order], "__i").join(counts, run)
     bucket = F.floor(((F.col("__i") + 1) * limit - 1) / F.col("__n"))
     dealt = placed.withColumn("bucket", F.when(F.col("__n") <= limit, F.col("__i")).otherwise(bucket).cast("long"))
     best = dealt.groupBy(run, "bucket").agg(F.max_by(F.struct(order, value), F.struct(F.col(value), -F.col("__i"))).alias("best"))
@@ -65,12 +78,15 @@ def ranking(rows: DataFrame, name: str, cost: str, top: int | None = None, axis:
     """Cost a name with its share of the total (of its axis, as axes overlap), dearest first."""
     by = [axis] if axis else []
     sums = rows.groupBy(*by, name).agg(F.sum(cost).alias("__cost"), F.count(F.lit(1)).alias("calls"))
-    total = F.sum("__cost").over(Window.partitionBy(*by))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("__cost", 2).desc(), name))
-    out = sums.select(*by, name, "calls", F.round("__cost", 2).alias("cost"), F.round(F.col("__cost") / total * 100, 6).alias("share_pct"), *([place.alias("place")] if axis else []))
-    if top is None:
-        return out
-    return out.filter(F.col("place") <= top) if axis else out.orderBy(F.col("cost").desc(), name).limit(top)
+    cost_of, share = F.round("__cost", 2).alias("cost"), lambda total: F.round(F.col("__cost") / total * 100, 6).alias("share_pct")
+    if not axis:
+        total = F.broadcast(sums.agg(F.sum("__cost").alias("__total")))  # one row
+        out = sums.join(total).select(name, "calls", cost_of, share(F.col("__total")))
+        return out if top is None else out.orderBy(F.col("cost").desc(), name).limit(top)
+    each = Window.partitionBy(axis)  # a row a name
+    place = F.row_number().over(each.orderBy(F.round("__cost", 2).desc(), name))
+    out = sums.select(axis, name, "calls", cost_of, share(F.sum("__cost").over(each)), place.alias("place"))
+    return out if top is None else out.filter(F.col("place") <= top)
 
 
 def log2_bucket(value: Column, floor: float, buckets: int) -> Column:

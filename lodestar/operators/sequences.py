@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+from .ranks import ranked_values
+
 
 def gaps(rows: DataFrame, key: str, t: str) -> DataFrame:
     """Gaps between consecutive rows: their number and upper median (in units of `t`)."""
     gap = F.col(t) - F.lag(t).over(Window.partitionBy(key).orderBy(t))
-    return rows.withColumn("__gap", gap).filter("__gap IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list("__gap")).alias("g")).select(key, F.size("g").alias("gaps"), F.element_at("g", F.floor(F.size("g") / 2).cast("int") + 1).alias("median_gap"))
+    each = stored(rows.withColumn("__gap", gap).filter("__gap IS NOT NULL").select(key, "__gap"))
+    n = each.groupBy(key).agg(F.count(F.lit(1)).alias("gaps"))
+    median = ranked_values(each, [key], "__gap", n.select(key, F.floor(F.col("gaps") / 2).alias("r")))
+    return n.join(median, key).select(key, F.col("gaps").cast("int").alias("gaps"), F.col("v").cast("long").alias("median_gap"))
 
 
 def fill_forward(rows: DataFrame, key: str, order: list[str], value: Column, into: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.time import micros
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import ranks
 from ..operators import sequences as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,7 +159,7 @@ def innermost_interval(t):
 def overlap_pairs(t):
     day = F.floor(micros("o_orderdate") / 86_400_000_000)
     o = t("orders").select("o_custkey", "o_orderkey", day.alias("lo"), (day + 30).alias("hi"))
-    return J.overlaps(o, "o_custkey", "o_orderkey", "lo", "hi").select("a.o_custkey", F.col("a.o_orderkey").alias("first"), F.col("b.o_orderkey").alias("second"))
+    return J.overlaps(o, "o_custkey", "o_orderkey", "lo", "hi", 30).select("a.o_custkey", F.col("a.o_orderkey").alias("first"), F.col("b.o_orderkey").alias("second"))
 
 
 @query("""SELECT event_id, last_view FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS)
@@ -283,10 +284,11 @@ def distinct_callers(t):
 @query("""WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS p FROM events)
     SELECT event_type, sum(value) FILTER (p <= 3) AS shown, count(*) FILTER (p > 3) AS hidden, round(sum(value) FILTER (p > 3), 2) AS hidden_value FROM r GROUP BY 1""".replace("sum(value) FILTER (p <= 3)", "round(sum(value) FILTER (p <= 3), 2)"))
 def limit_with_remainder(t):
-    from pyspark.sql import Window
-
-    placed = t("events").withColumn("p", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")))
-    return placed.groupBy("event_type").agg(F.round(F.sum(F.when(F.col("p") <= 3, F.col("value"))), 2).alias("shown"), F.count_if(F.col("p") > 3).alias("hidden"), F.round(F.sum(F.when(F.col("p") > 3, F.col("value"))), 2).alias("hidden_value"))
+    e = t("events")
+    shown = ranks.top(e, "event_type", [F.col("value").desc(), F.col("event_id")], 3, F.xxhash64("event_id")).groupBy("event_type").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("k"))
+    every = e.groupBy("event_type").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    rest = F.when(F.col("n") > F.col("k"), F.round(F.col("total") - F.col("s"), 2))
+    return every.join(shown, "event_type").select("event_type", F.round("s", 2).alias("shown"), (F.col("n") - F.col("k")).alias("hidden"), rest.alias("hidden_value"))
 
 
 @query("""WITH a AS (SELECT c_custkey, c_acctbal AS old FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS new FROM customer WHERE c_nationkey <> 3)
