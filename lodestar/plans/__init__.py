@@ -1,5 +1,5 @@
 """Registered queries and the SQL that says the same."""
 
-from . import catalog, runs, scripts
+from . import catalog, census, runs, scripts
 
-__all__ = ["catalog", "runs", "scripts"]
+__all__ = ["catalog", "census", "runs", "scripts"]
