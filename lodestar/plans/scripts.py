@@ -45,6 +45,11 @@ def scripts(suppliers: DataFrame) -> DataFrame:
         F.concat(F.lit("  "), _times("math.floor(self.x); ", a), _times("self.object:id(); ", b + 2)),
         F.concat(F.lit("  "), pick("for q, v in pairs(self) do break M.x = 1 end", "if self.x then print(1) end", "local q = 1", "self.object = nil")),
         F.lit("end"),
+        F.lit("function M.look(id)"),
+        F.lit("  local o = level.object_by_id(id)"),
+        F.concat(F.lit("  "), pick("o:go()", "if o then o:go() end", "local x = o:go()", "if not o then return end o:go()")),
+        F.concat(F.lit("  f("), F.when(a < 3, "time_global(), ").otherwise(""), F.lit("time_global())")),
+        F.lit("end"),
         F.lit("return M"),
     ]
     return suppliers.select(F.concat(F.lit("script_"), k.cast("string")).alias("path"), F.array_join(F.array(*lines), "\n").alias("text"))
@@ -98,7 +103,7 @@ def rule_uncached_globals(t):
 
 
 @query(f"""SELECT path, 'repeated_alife' AS pattern, 'GREEN' AS severity, CASE WHEN a = 0 THEN 7 ELSE 6 END AS line, a + 3 AS calls, a + 2 AS worst FROM {_S} WHERE a >= 2
-    UNION ALL SELECT path, 'repeated_self_object_id()', 'GREEN', 19, 4, 4 FROM {_S} WHERE b = 2""")
+    UNION ALL SELECT path, 'repeated_self_object_id()', 'GREEN', 19, 4, 4 FROM {_S} WHERE b = 2 UNION ALL SELECT path, 'repeated_time_global', 'GREEN', 25, 2, 2 FROM {_S} WHERE a < 3 AND b <> 3""")
 def rule_repeated(t):
     d = F.col("detail")
     return R.RULES["repeated"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", d["count"].cast("long").alias("calls"), d["worst"].cast("long").alias("worst"))
@@ -137,7 +142,7 @@ def rule_constant_conditions(t):
     return _rows(t, "constant_conditions")
 
 
-@query(_hits(("'unused_local_variable'", "YELLOW", 2, "b <> 0"), ("'unused_local_variable'", "YELLOW", 20, "b = 2")))
+@query(_hits(("'unused_local_variable'", "YELLOW", 2, "b <> 0"), ("'unused_local_variable'", "YELLOW", 20, "b = 2"), ("'unused_local_variable'", "YELLOW", 24, "b = 2")))
 def rule_unused_locals(t):
     return _rows(t, "unused_locals")
 
@@ -162,13 +167,13 @@ def rule_appends(t):
     return _rows(t, "appends")
 
 
-@query(f"""SELECT path, 'M.measure' AS function, 'interpreted' AS mode FROM {_S}
+@query(f"""SELECT path, unnest(['M.measure', 'M.look']) AS function, 'interpreted' AS mode FROM {_S}
     UNION ALL SELECT path, 'M:update', CASE b WHEN 0 THEN 'interpreted' WHEN 1 THEN 'mixed' ELSE 'compiled' END FROM {_S}""")
 def body_modes(t):
     return R.body_modes(extract(scripts(t("supplier")))).select("path", "function", "mode")
 
 
-@query(f"""SELECT path, count(*) AS facts, count(*) FILTER (kind = 'scope') AS functions FROM (SELECT path, unnest(['scope', 'scope']) AS kind FROM {_S}) GROUP BY path""")
+@query(f"""SELECT path, count(*) AS facts, count(*) FILTER (kind = 'scope') AS functions FROM (SELECT path, unnest(['scope', 'scope', 'scope']) AS kind FROM {_S}) GROUP BY path""")
 def script_functions(t):
     return extract(scripts(t("supplier"))).filter("kind = 'scope'").groupBy("path").agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("kind") == "scope").alias("functions"))
 
@@ -189,7 +194,8 @@ _FIXED = r"""concat_ws(chr(10), 'local M = {}', 'local total = ' || n, 'seen = '
     '  while ' || CASE b WHEN 2 THEN 'false' ELSE 'n < 1' END || ' do n = n + 1 end', '  if ' || CASE b WHEN 3 THEN '1' ELSE 'n' END || ' then last_' || n || ' = n end',
     '  local text = ""; for i = 1, ' || loops || ' do text = text .. "x" end; s = s .. text', '  list[#list+1] = p; list[1] = s', '  do return p end', 'end', 'function M:update()',
     '  ' || repeat('math.floor(self.x); ', a::INT) || repeat('self.object:id(); ', b::INT + 2),
-    '  ' || CASE b WHEN 0 THEN 'for q, v in pairs(self) do break M.x = 1 end' WHEN 1 THEN 'if self.x then print(1) end' WHEN 2 THEN 'local q = 1' ELSE 'self.object = nil' END, 'end', 'return M')"""
+    '  ' || CASE b WHEN 0 THEN 'for q, v in pairs(self) do break M.x = 1 end' WHEN 1 THEN 'if self.x then print(1) end' WHEN 2 THEN 'local q = 1' ELSE 'self.object = nil' END, 'end', 'function M.look(id)', '  local o = level.object_by_id(id)',
+    '  ' || CASE b WHEN 0 THEN 'o:go()' WHEN 1 THEN 'if o then o:go() end' WHEN 2 THEN 'local x = o:go()' ELSE 'if not o then return end o:go()' END, '  f(' || CASE WHEN a < 3 THEN 'time_global(), ' ELSE '' END || 'time_global())', 'end', 'return M')"""
 
 
 @query(f"SELECT path, {_FIXED} AS text, 0 AS dropped FROM {_S}")
@@ -215,6 +221,28 @@ def rewrite_caches(t):
     return made.filter("applied > 0").select("path", F.lit("cached").alias("kind"), (F.size(F.split("text", r"c_math_floor\(")) - 1).cast("long").alias("calls"))
 
 
+@query(f"SELECT path, 'potential_nil_access' AS pattern, 'YELLOW' AS severity, 24 AS line, 'level.object_by_id' AS source, b = 0 AS safe FROM {_S} WHERE b IN (0, 2)")
+def rule_nil_accesses(t):
+    d = F.col("detail")
+    return R.RULES["nil_accesses"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", d["source"].alias("source"), (d["safe"] == "true").alias("safe"))
+
+
+@query(f"SELECT path, '  if o then o:go() end' AS line, 1 AS applied FROM {_S} WHERE b = 0")
+def rewrite_guards(t):
+    s = scripts(t("supplier"))
+    made = E.rewrite(s, E.edits_of(extract(s), ("guard",)))
+    return made.filter("applied > 0").select("path", F.split("text", "\n")[23].alias("line"), "applied")
+
+
+@query(f"SELECT path, n_lines, commented, gone FROM (SELECT path, 27::INT AS n_lines, CASE b WHEN 1 THEN 2 ELSE 1 END::INT AS commented, CASE WHEN b IN (0, 2) THEN 1 ELSE 0 END::INT AS gone FROM {_S})")
+def rewrite_cleanups(t):
+    """Debug calls become comments, dead code goes, lines stay."""
+    s = scripts(t("supplier"))
+    made = E.rewrite(s, E.edits_of(extract(s), ("debug", "dead")))
+    commented = (F.size(F.split("text", r"--\[==\[")) - 1).alias("commented")
+    return made.select("path", F.size(F.split("text", "\n")).alias("n_lines"), commented, (F.col("applied") - commented).cast("int").alias("gone"))
+
+
 @query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_size % 3 = 0 THEN '<[' || upper(p_name) || ']>' WHEN p_size % 3 = 1 THEN 'f(' || upper(p_name) || ')+' ELSE '<[' || upper(p_name) || ']>' END AS text,
     CASE WHEN p_size % 3 = 0 THEN 2 WHEN p_size % 3 = 1 THEN 2 ELSE 1 END AS applied, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 3 = 1 THEN 1 ELSE 3 END AS dropped FROM part""")
 def edit_admission(t):

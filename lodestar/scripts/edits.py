@@ -125,9 +125,15 @@ def cache_edits(facts: DataFrame) -> DataFrame:
     return local.unionByName(edit(calls, "cache", more("callee_lo"), more("callee_hi"), F.col("held"), 100, grp))
 
 
+def guard_edits(facts: DataFrame) -> DataFrame:
+    """A statement that uses what may be nil, right after it was assigned and nowhere else, goes into a test."""
+    rows = of(facts, "nil_access").filter(more("safe").isNotNull()).dropDuplicates(["path", "line", "name"])
+    return edit(rows, "guard", more("at_lo"), more("at_hi"), F.concat(F.lit("if "), "name", F.lit(" then "), more("text"), F.lit(" end")), 50)
+
+
 GENERATORS = {
     "length": length_edits, "power": power_edits, "fold": fold_edits, "plain_find": plain_find_edits, "equality": equality_edits, "distance": distance_edits,
-    "append": append_edits, "debug": debug_edits, "dead": dead_edits, "cache": cache_edits,
+    "append": append_edits, "debug": debug_edits, "dead": dead_edits, "cache": cache_edits, "guard": guard_edits,
 }
 SAFE = ("length", "power", "fold", "plain_find", "equality", "distance", "append")
 

@@ -4,7 +4,8 @@ A script is read by itself, so its facts are bounded by its length and files are
 tasks. A text that can't be parsed gives one row of kind `failure`; the others are not affected.
 
 Kinds: scope, call, index, assign, global_write, module_name, local, concat, self_concat, not_eq, pow,
-dead, constant, needless_else, distance, closure, join (a concatenation), register, failure.
+dead, constant, needless_else, distance, closure, join (a concatenation), register, loop, leave (a
+return), elapsed (a difference of clock readings), nil_access, failure.
 """
 
 from __future__ import annotations
@@ -37,6 +38,30 @@ HOT = (
     "actor_on_item_drop", "actor_on_item_use",
 )
 
+#: What may give nil, by name, by method, or as a property.
+MAY_BE_NIL = frozenset(
+    """level.object_by_id level.get_target_obj level.get_target_element level.get_target_pos level.vertex_position level.get_view_entity alife
+    alife().object alife():object alife().story_object alife():story_object alife().actor alife():actor :parent :best_enemy :best_item :best_danger
+    :best_weapon :best_cover :active_item :active_detector :object :get_enemy :get_corpse :get_current_outfit :item_in_slot :get_helicopter :get_car
+    :get_campfire :get_artefact :get_physics_shell :spawn_ini :motivation_action_manager :get_current_holder :get_old_holder :memory_position
+    :get_dest_enemy :bone_id :bone_position :bone_direction db.actor db.storage get_story_object get_object_by_name""".split()
+)
+
+
+def proven(test: Node, holds: bool) -> frozenset[str]:
+    """Names that are not nil where a test holds, or where it does not."""
+    if test.kind == "paren":
+        return proven(test.inner, holds)
+    if test.kind == "unary" and test.op == "not":
+        return proven(test.operand, not holds)
+    if test.kind == "name":
+        return frozenset([test.id]) if holds else frozenset()
+    if test.kind == "binary" and test.op == ("and" if holds else "or"):
+        return proven(test.left, holds) | proven(test.right, holds)
+    if test.kind == "binary" and test.op == ("~=" if holds else "==") and test.right.kind == "nil" and test.left.kind == "name":
+        return frozenset([test.left.id])
+    return frozenset()
+
 
 def per_frame(name: str, method: bool) -> bool:
     """Whether a function of that name runs every frame."""
@@ -46,10 +71,11 @@ def per_frame(name: str, method: bool) -> bool:
 
 
 class _Variable:
-    __slots__ = ("name", "what", "line", "reads", "alias")
+    __slots__ = ("name", "what", "line", "reads", "alias", "source", "since", "scope", "lines")
 
     def __init__(self, name: str, what: str, line: int, alias: str | None = None):
         self.name, self.what, self.line, self.alias, self.reads = name, what, line, alias, 0
+        self.source, self.since, self.scope, self.lines = None, 0, None, []
 
 
 class _Scope:
@@ -69,12 +95,23 @@ class Reader:
         self.text, self.rows, self.scopes, self.chain, self.forks = text, [], [], (), 0
         self.scope: _Scope | None = None
         self.declared: list[tuple[_Scope, _Variable]] = []
+        self.safe: frozenset[_Variable] = frozenset()
+        self.at: Node | None = None
+        self.accesses: list[tuple] = []
 
     def read(self) -> list[tuple]:
         tree = parse(self.text)
         self.enter("global", "<global>", tree)
         self.block(tree, False)
         self.leave()
+        for v, node, at, scope, chain, since, source, home in self.accesses:
+            others = sorted({x for x in v.lines if x > since and x != node.line})
+            alone = at is not None and at.kind == "do_call" and at.line == at.last
+            span = {"text": self.of(at), "at_lo": str(at.lo), "at_hi": str(at.hi)} if alone else {}
+            self.chain = chain
+            safe = alone and node.line == since + 1 and home is scope and not others
+            self.add("nil_access", node, scope=scope, name=v.name, source=source, assign_line=str(since), others=",".join(map(str, others)), safe="1" if safe else None, **span)
+        self.chain = ()
         for scope, v in self.declared:
             self.add("local", None, scope=scope, line=v.line, name=v.name, what=v.what, reads=str(v.reads), within=scope.name)
         return self.rows
@@ -93,14 +130,37 @@ class Reader:
     def enter(self, kind: str, name: str, node: Node) -> None:
         self.scope = _Scope(len(self.scopes), self.scope, kind, name, node)
         self.scopes.append(self.scope)
+        if kind == "loop":
+            self.add("loop", node, name=name)
 
     def leave(self) -> None:
         self.scope = self.scope.parent
 
-    def declare(self, name: str, what: str, line: int, alias: str | None = None) -> None:
+    def declare(self, name: str, what: str, line: int, alias: str | None = None) -> _Variable:
         v = _Variable(name, what, line, alias)
         self.scope.variables[name] = v
         self.declared.append((self.scope, v))
+        return v
+
+    def holds(self, v: _Variable, value: Node | None, line: int) -> None:
+        """What a variable holds from here on: where it came from, if that may be nil."""
+        self.safe -= {v}
+        full = None
+        if value is not None and value.kind == "call":
+            full = self.dotted(value.of) or self.of(value.of)
+        elif value is not None and value.kind == "invoke":
+            full = f"{self.of(value.of)}:{value.key.id}" if f"{self.of(value.of)}:{value.key.id}" in MAY_BE_NIL else f":{value.key.id}"
+        elif value is not None and value.kind == "index":
+            full = self.of(value)
+        v.source, v.since, v.scope = (full if full in MAY_BE_NIL else None), line, self.scope
+
+    def knowing(self, names: frozenset[str]) -> frozenset[_Variable]:
+        return self.safe | {v for v in map(self.find, names) if v}
+
+    def access(self, node: Node, of: Node) -> None:
+        v = self.find(of.id) if of.kind == "name" else None
+        if v and v.source and v not in self.safe:
+            self.accesses.append((v, node, self.at, self.scope, self.chain, v.since, v.source, v.scope))
 
     def find(self, name: str) -> _Variable | None:
         s = self.scope
@@ -122,7 +182,7 @@ class Reader:
     # -- statements
 
     def block(self, block: Node, in_loop: bool) -> None:
-        body = block.body
+        body, before = block.body, self.safe
         for i, s in enumerate(body):
             if s.kind == "return" or s.kind == "break" and in_loop:
                 rest = body[i + 1 :]
@@ -130,6 +190,9 @@ class Reader:
                     dead = Node("dead", rest[0].lo, rest[-1].hi, rest[0].line, rest[-1].last)
                     self.add("dead", dead, name=s.kind, count=str(len(rest)))
             self.statement(s, in_loop)
+            if s.kind == "if" and len(s.tests) == 1 and s.orelse is None and s.tests[0][1].body and s.tests[0][1].body[-1].kind in ("return", "break"):
+                self.safe = self.knowing(proven(s.tests[0][0], False))
+        self.safe &= before
 
     def inner(self, kind: str, name: str, block: Node, in_loop: bool, names=()) -> None:
         self.enter(kind, name, block)
@@ -139,7 +202,7 @@ class Reader:
         self.leave()
 
     def statement(self, s: Node, in_loop: bool) -> None:
-        kind = s.kind
+        kind, self.at = s.kind, s
         if kind == "local":
             for v in s.values:
                 self.expression(v)
@@ -148,7 +211,8 @@ class Reader:
                 self.assigned(n, value, True)
                 alias = self.dotted(value) if value is not None else None
                 known = self.find(alias.partition(".")[0]) if alias else None
-                self.declare(n.id, "variable", n.line, None if known and not known.alias else known.alias if known else alias)
+                v = self.declare(n.id, "variable", n.line, None if known and not known.alias else known.alias if known else alias)
+                self.holds(v, value, n.line)
         elif kind == "assign":
             for v in s.values:
                 self.expression(v)
@@ -159,6 +223,7 @@ class Reader:
                     known = self.find(t.id)
                     if known:
                         known.alias = None
+                        self.holds(known, value, t.line)
                         self.self_concat(t, value)
                     else:
                         self.self_concat(t, value)
@@ -176,7 +241,9 @@ class Reader:
         elif kind == "while":
             self.constant("while", s.test, s, False)
             self.expression(s.test)
+            before, self.safe = self.safe, self.knowing(proven(s.test, True))
             self.inner("loop", "while", s.body, True)
+            self.safe = before & self.safe | before
         elif kind == "repeat":
             self.enter("loop", "repeat", s)
             self.block(s.body, True)
@@ -197,6 +264,7 @@ class Reader:
         elif kind == "return":
             for v in s.values:
                 self.expression(v)
+            self.add("leave", s)
 
     def loop(self, s: Node, name: str) -> None:
         self.enter("loop", name, s)
@@ -213,16 +281,21 @@ class Reader:
         ends = lambda b: bool(b.body) and b.body[-1].kind in ("return", "break")
         if len(s.tests) == 1 and s.orelse is not None and ends(first[1]):
             self.add("needless_else", None, line=s.else_line, if_line=str(s.line))
+        before = self.safe
         for i, (test, body) in enumerate(s.tests):
             if i:
                 self.chain = (*outer, (fork, i))
             self.expression(test)
             self.chain = (*outer, (fork, i))
+            failed = self.safe
+            self.safe = self.knowing(proven(test, True))
             self.inner("block", "if" if not i else "elseif", body, in_loop)
+            self.safe = failed
+            self.safe = self.knowing(proven(test, False))
         if s.orelse is not None:
             self.chain = (*outer, (fork, -1))
             self.inner("block", "else", s.orelse, in_loop)
-        self.chain = outer
+        self.chain, self.safe = outer, before
 
     def constant(self, where: str, test: Node, s: Node, branches: bool) -> None:
         if test.kind in ("nil", "false", "true", "number", "string"):
@@ -258,8 +331,8 @@ class Reader:
             self.expression(s.target.of)
         if self.scope.depth:
             self.add("closure", s, name=name)
-        outer, self.chain = self.chain, ()
-        at = self.scope
+        outer, self.chain, safe, self.safe = self.chain, (), self.safe, frozenset()
+        at, holder = self.scope, self.at
         self.enter("function", name, s)
         last = name.rpartition(":")[2].rpartition(".")[2]
         more = {"parent": str(at.id), "body": str(s.body.lo), "frame": "1" if s.target is not None and per_frame(last, s.method is not None) else None, "hot": "1" if last in HOT else None}
@@ -271,7 +344,7 @@ class Reader:
                 self.declare(n.id, "parameter", n.line)
         self.block(s.body, False)
         self.leave()
-        self.chain = outer
+        self.chain, self.safe, self.at = outer, safe, holder
 
     # -- expressions
 
@@ -281,12 +354,14 @@ class Reader:
             v = self.find(e.id)
             if v:
                 v.reads += 1
+                v.lines.append(e.line)
         elif kind in ("call", "invoke"):
             self.call(e, statement)
         elif kind == "index":
             full = self.dotted(e)
             if full and not self.find(full.partition(".")[0]):
                 self.add("index", e, name=full)
+            self.access(e, e.of)
             self.expression(e.of)
             if not e.dotted:
                 self.expression(e.key)
@@ -332,8 +407,14 @@ class Reader:
                     spans = {"method_lo": near.key.lo, "method_hi": near.key.hi, "number_lo": far.lo, "number_hi": far.hi}
                     self.add("distance", e, name=self.of(near.of), target=target, op=op, threshold=_number(far.value), **{k: str(v) for k, v in spans.items()})
                     break
+        if e.op == "-" and e.left.kind == "call" and self.of(e.left) == "time_global()" and e.right.kind == "name":
+            self.add("elapsed", e, name=e.right.id)
         self.expression(e.left)
+        before = self.safe
+        if e.op in ("and", "or"):
+            self.safe = self.knowing(proven(e.left, e.op == "and"))
         self.expression(e.right)
+        self.safe = before
 
     def call(self, e: Node, statement: bool) -> None:
         args = [self.of(a) for a in e.args]
@@ -341,6 +422,7 @@ class Reader:
         if e.kind == "invoke":
             receiver = self.of(e.of)
             full, func, module = f"{receiver}:{e.key.id}", e.key.id, receiver
+            self.access(e, e.of)
             more |= {"method": "1", "callee_lo": str(e.of.lo), "callee_hi": str(e.key.hi)}
         else:
             full = self.dotted(e.of) or self.of(e.of)

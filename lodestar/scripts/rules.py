@@ -169,10 +169,29 @@ def repeated(facts):
     stale = named.select(*key, "line", F.explode("ends").alias("end")).join(writes, ["path", "func", "end"]).filter("at >= line").select(*key).distinct()
     least = F.when(F.col("name") == "time_global", CLOCK_THRESHOLD).otherwise(F.when(F.col("hot"), THRESHOLD - 1).otherwise(THRESHOLD))
     kept = named.join(stale, key, "left_anti").join(functions(facts), ["path", "func"]).filter(F.col("worst") >= least)
+    kept = kept.join(unheld_clocks(facts), key, "left_anti")
     pattern = F.concat(F.lit("repeated_"), F.regexp_replace("name", "[.:]", "_"))
     return finding(kept, pattern, F.col("severity"), F.format_string("%s read %dx in %s", "name", "flat", "function"), {"count": F.col("flat"), "worst": F.col("worst")})
 
 
+def unheld_clocks(facts: DataFrame) -> DataFrame:
+    """path, func, name of bodies whose readings of the frame clock must not share one value.
+
+    Such bodies yield (a coroutine call), run a while or repeat, return on some path before the
+    clock is first read, measure their own time, or read it on some paths only.
+    """
+    key = ["path", "func"]
+    reads = of(facts, "call").filter((F.col("name") == "time_global") & (F.size("args") == 0)).groupBy(*key).agg(F.min("lo").alias("first"), F.min(F.when(F.size("chain") == 0, F.col("lo"))).alias("sure"))
+    yields = of(facts, "call").filter(F.col("name").startswith("coroutine.")).select(*key)
+    loops = of(facts, "loop").filter(F.col("name").isin("while", "repeat")).select(*key)
+    early = of(facts, "leave").filter(F.size("chain") > 0).select(*key, "lo").join(reads, key).filter(F.col("lo") < F.coalesce("sure", "first")).select(*key)
+    held = of(facts, "assign").filter(more("value") == "time_global()").select(*key, "name")
+    timed = of(facts, "elapsed").select(*key, "name").join(held, [*key, "name"], "left_semi").select(*key)
+    some = reads.filter("sure IS NULL").select(*key)
+    bad = yields.unionByName(loops).unionByName(early).unionByName(timed).unionByName(some).distinct()
+    return bad.select(*key, F.lit("time_global").alias("name"))
+
+
 def trips(line: Column) -> Column:
     """How often a `for` with literal bounds runs, else null."""
     number = r"(-?\d+)"
@@ -314,6 +333,13 @@ def appends(facts):
     return finding(left, "table_insert_append", "GREEN", F.concat(t, F.lit("[#"), t, F.lit(" + 1] = "), F.col("args")[1]), {"table": t, "value": F.col("args")[1]})
 
 
+@rule
+def nil_accesses(facts):
+    """Uses of a local that may be nil, with no test on the way; safe to wrap on the next line, if nothing else uses it."""
+    rows = of(facts, "nil_access")
+    return finding(rows, "potential_nil_access", "YELLOW", F.concat("name", F.lit(" from "), more("source"), F.lit(" is used without a test")), {"source": more("source"), "safe": more("safe").isNotNull(), "others": more("others")})
+
+
 def findings(facts: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """All findings of the named rules (of all rules); `facts` should be a stored table, as every rule reads it."""
     parts = [RULES[r](facts) for r in rules or RULES]

@@ -85,3 +85,22 @@ def test_groups():
     assert resolve("a g()", alone)[0] == "a )"  # an enabler goes with the last of its group
     inner = [Edit(1, 2, "I", 5), Edit(0, 3, "xbx", 1, "g", False, True), Edit(5, 6, "n", 0, "g", False, True), Edit(4, 6, "m", 7)]
     assert resolve("abcdef", inner)[0] == "aIcdm"  # what a lost group had taken in stays
+
+
+@pytest.mark.parametrize(
+    ("body", "uses"),
+    [
+        ("o:go()", 1), ("if o then o:go() end", 0), ("if o and o:go() then end", 0), ("if not o then return end o:go()", 0), ("if not o then f() end o:go()", 1), ("local y = o and o.x", 0),
+        ("local y = not o or o.x", 0), ("if o == nil then return end o:go()", 0), ("if o ~= nil then o:go() else o:go() end", 1), ("o = f() o:go()", 0), ("if o then o = db.actor o:go() end", 1),
+        ("while o do o:go() end", 0), ("f(o)", 0), ("if x then o:go() elseif o then o:go() end", 1), ("if o then end o:go()", 1), ("g = function() o:go() end", 1),
+    ],
+)
+def test_nil_accesses(body, uses):
+    assert len(found("local o = level.object_by_id(1) " + body, "nil_access")) == uses
+
+
+def test_safe_nil_accesses():
+    safe = lambda text: [dict(r[12]).get("safe") for r in found(text, "nil_access")]
+    assert safe("local o = db.actor\no:go()") == ["1"] and safe("local o = db.actor\no:go()\no:stop()") == [None, None]
+    assert safe("local o = db.actor\n\no:go()") == [None] and safe("local o = db.actor\nlocal x = o:go()") == [None] and safe("local o = db.actor\no:go()\nf(o)") == [None]
+    assert not found("local o = other\no:go()", "nil_access") and [dict(r[12])["source"] for r in found("local o = x:parent()\no:go()", "nil_access")] == [":parent"]
