@@ -321,7 +321,11 @@ def classify(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, mos
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5, **options) -> DataFrame:
-    """The documents that `classify` keeps, all columns as they came."""
+    """The documents that `classify` keeps, all columns as they came.
+
+    Null or empty texts and null ids are scored like others; repeated rows fare alike, each on its own; an
+    empty table stays empty; columns may have any names. Without `lang` or `source` these are null.
+    """
     stored = with_rows(docs, doc=F.struct(*[docs[c] for c in docs.columns]))
     text = lambda c: (F.col(f"doc.{c}").cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c)
     rows = stored.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"), text("lang"), text("source"), "row")

@@ -67,7 +67,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 4096, arity: int = 64) -> DataFrame:
-    """The documents with one of each group of equal texts, all columns as they came."""
+    """The documents with one of each group of equal texts, all columns as they came.
+
+    Null text counts as empty, so of all empty ones one stays; of repeated rows one stays; a null id
+    comes after all others; an empty table stays empty; columns may have any names.
+    """
     stored = with_rows(docs, doc=F.struct(*[docs[c] for c in docs.columns]))
     rows = stored.select(F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{text_col}").alias("text"), "row")
     groups = exact_groups(docs, runs=runs, arity=arity, rows=rows)

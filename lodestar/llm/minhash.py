@@ -320,7 +320,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each component, all columns as they came; documents without words stay."""
+    """The documents with one of each component, all columns as they came; documents without words stay.
+
+    The row with the smallest id of a component stays, a null id after all others, of repeated rows
+    one; an empty table stays empty; columns may have any names.
+    """
     stored = with_rows(docs, doc=F.struct(*[docs[c] for c in docs.columns]))
     rows = stored.select("row", F.col(f"doc.{id_col}").cast("long").alias("doc_id"), F.col(f"doc.{text_col}").alias("text"))
     return keep_rows(stored, near_components(docs, rows=rows, **options).filter("kept"))

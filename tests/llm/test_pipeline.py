@@ -72,3 +72,23 @@ def test_stages(spark):
             assert offset == end
             end += length
         assert end <= 1024
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, doc int, size int, g string, e string, node int, taken int"
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, an empty table."""
+    rest = ("en", "s", 1, "r", 1, 2, "g", "e", 3, 4)
+    long_ = " ".join(f"word{i % 5000} x{i}" for i in range(40_000))
+    rows = [(1, "a b c d e f g", *rest), (1, "a b c d e f g", *rest), (2, "a b c  d e f g", *rest), (3, None, *rest), (4, "", *rest), (None, "p q r s t u", *rest), (5, long_, *rest), (6, long_ + " y", *rest), (7, "z", None, None, None, *([None] * 7)), (None,) * 12]
+    odd, empty = spark.createDataFrame(rows, ODD), spark.createDataFrame([], ODD)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {name: stages[name](spark, odd, SF).collect() for name in ("quality classifier", "exact dedup", "near dedup", "mixing")}
+    assert all(set(map(tuple, r)) <= set(rows) for r in kept.values())
+    assert Counter(r.doc_id for r in kept["exact dedup"]) == Counter([2, 3, None, 5, 6, 7])
+    assert Counter(r.doc_id for r in kept["near dedup"]) == Counter([1, 3, 4, None, 5, 7, None])
+    assert {3, 4} <= {r.doc_id for r in kept["mixing"]}
+    for name in stages:
+        out = stages[name](spark, empty, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == odd.columns)
