@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: A trained classifier and a tokenizer are beyond SQL; tests hold the run against a brute-force version.
+#: A trained classifier and a tokenizer are beyond SQL; tests hold the stages against brute force, each on what came before it.
 ORACLE_SQL = None
 
 
