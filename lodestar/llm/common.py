@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """The named columns plus `row`, a number that stays with each input row (also with repeated rows)."""
     return materialize(docs.select(*[c.alias(n) for n, c in columns.items()]).withColumn("row", F.monotonically_increasing_id()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, keep_rows, materialize, with_rows
+from .common import drop_table, free, keep_rows, materialize, with_rows
 from .components import components
 from .hashing import mixed, shingle_sets, some_texts, texts_of
 
@@ -142,6 +142,7 @@ def climbed(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> t
     open_ = materialize(best.filter("NOT done").select("g", F.col("best.v").alias("v")), "lz4")
     for t in [*all_seen, *spent]:
         drop_table(t)
+    free(members.sparkSession)
     return links, open_
 
 
@@ -150,12 +151,14 @@ def _reach(n: Column, percent: int) -> Column:
     return F.floor(F.lit(100 - percent) * n / percent)
 
 
-def _with_roots(rows: DataFrame, keys: list[str], by: str, salts: int = 64) -> DataFrame:
-    """The rows whose key holds two roots or more, with `company`, the key's rows; a key is dealt to salts, so no task holds all of it."""
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    salted = dealt.groupBy(*keys, "__salt").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("company"))
-    overall = salted.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("company").alias("company")).filter("lo != hi")
-    return dealt.join(salted.select(*keys, "__salt").join(overall.select(*keys, "company"), keys), [*keys, "__salt"]).drop("__salt")
+def _with_roots(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the keys whose rows have two roots or more: the rows' other columns without `root`, and `company`, the key's rows.
+
+    Counts are made where the rows are before they meet, so a key that most rows hold is a row a
+    task; the join back splits it where it is too large (AQE).
+    """
+    overall = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("company")).filter("lo != hi")
+    return rows.drop("root").join(overall.select(*keys, "company"), keys)
 
 
 def contested(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,17 +175,20 @@ def contested(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
                 part = batch.slice(first, 256)
                 found = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(2)]
                 sizes = [len(f) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["row", "root", "n", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(part.column(1).to_numpy(), sizes)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["row", "root", "e"])
 
     placed = groups.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     open_ = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("g")
     asked = materialize(placed.join(open_, "g", "left_semi"), "lz4")
-    each = asked.select("row", "root").distinct().join(sets, "row").select("row", "root", "set").mapInArrow(elements, "row long, root long, n long, e long")
-    near = _with_roots(each, ["e"], "row").groupBy("row", "n").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") * 100 >= F.col("n") * percent).select("row", "n")
+    each = asked.select("row", "root").distinct().join(sets, "row").select("row", "root", "set").mapInArrow(elements, "row long, root long, e long")
+    common = _with_roots(each, ["e"]).groupBy("row").agg(F.count(F.lit(1)).alias("m"))
+    size = sets.select("row", (F.octet_length("set") / 8).cast("long").alias("n"))
+    near = common.join(size, "row").filter(F.col("m") * 100 >= F.col("n") * percent).select("row", "n")
     left = asked.join(near, "row")
     open_ = left.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("g")
     out = materialize(left.join(open_, "g", "left_semi").select("g", "v", "row", "root", "n"), "lz4")
     drop_table(asked)
+    free(groups.sparkSession)
     return out
 
 
@@ -203,22 +209,26 @@ def close_lists(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 found = []
-                for a, b in zip(part.column(5), part.column(6), strict=True):
+                for a, b in zip(part.column(3), part.column(4), strict=True):
                     found.append(np.setxor1d(np.frombuffer(a.as_buffer(), dtype=np.int64), np.frombuffer(b.as_buffer(), dtype=np.int64), assume_unique=True))
                 sizes = np.array([len(f) for f in found], dtype=np.int64)
-                columns = [pa.array(np.repeat(part.column(i).to_numpy(), sizes)) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["g", "v", "u", "root", "n", "d", "e"])
+                columns = [pa.array(np.repeat(part.column(i).to_numpy(), sizes)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["g", "u", "root", "e"])
 
     pairs = rows.withColumnRenamed("row", "u").filter("u != v")
-    each = _both_sets(pairs, sets).select("g", "v", "u", "root", "n", "us", "vs").mapInArrow(differences, "g long, v long, u long, root long, n long, d long, e long")
-    stored = materialize(each, "lz4")
-    met = _with_roots(stored, ["g", "e"], "u")
-    ordered = met.groupBy("g", "v", "u", "root", "n", "d").agg(F.sort_array(F.collect_list(F.struct("company", "e"))).alias("es"))  # of one document's shingles
+    each = _both_sets(pairs, sets).select("g", "u", "root", "us", "vs").mapInArrow(differences, "g long, u long, root long, e long")
+    stored = materialize(each)
+    sizes = stored.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d"))
+    found = _with_roots(stored, ["g", "e"]).groupBy("g", "u").agg(F.sort_array(F.collect_list(F.struct("company", "e"))).alias("es"))  # of one document's shingles
+    ordered = found.join(sizes, ["g", "u"]).join(rows.select("g", F.col("row").alias("u"), "root", "n"), ["g", "u"])
     placed = ordered.select("g", "u", "root", "n", "d", F.size("es").alias("m"), F.posexplode("es").alias("at", "x"))
     t, place = _reach(F.col("n"), percent), F.col("d") - F.col("m") + F.col("at")
-    first = placed.filter(place <= t).select("g", "u", "root", "n", "d", "m", "at", F.col("x.e").alias("e"), (place <= F.floor(t / 2)).alias("front"))
-    out = materialize(_with_roots(first, ["g", "e"], "u").withColumnRenamed("company", "size"), "lz4")
+    first = materialize(placed.filter(place <= t).select("g", "u", "root", "n", "d", "m", "at", F.col("x.e").alias("e"), (place <= F.floor(t / 2)).alias("front")))
     drop_table(stored)
+    alive = first.groupBy("g", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.bool_or("front").alias("any")).filter("lo != hi AND any").select("g", "e", "size")
+    out = materialize(first.join(alive, ["g", "e"]))
+    drop_table(first)
+    free(rows.sparkSession)
     return out
 
 
@@ -273,8 +283,10 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int, rounds:
         if last:
             fresh = materialize(compared(materialize(open_pairs(lists, percent, wide), "lz4"), sets, percent).filter("linked").select("u", "v"), "lz4")
         drop_table(lists)
-        links = materialize(links.union(fresh), "lz4")
-        roots = components(links)
+        if last and fresh.isEmpty():
+            return roots
+        # The stars found so far stand for all their links.
+        roots = components(roots.select("u", F.col("root").alias("v")).union(fresh))
         if last:
             return roots
         turn += 1
@@ -299,15 +311,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members_of = materialize(
         signed.withColumn("salt", F.pmod("row", F.lit(1024))).join(salted.select(*same, "salt").join(nodes, same), [*same, "salt"], "left")
         .select(signed.row, "doc_id", "n", F.coalesce(nodes.row, signed.row).alias("node"), "sig"), "lz4")
+    drop_table(signed)
     keys = materialize(table_keys(members_of.filter("row = node AND n > 0"), members, depth), "lz4")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = materialize(keys.join(sizes, "key").select("key", "row", "size"), "lz4")
     drop_table(keys)
+    free(rows.sparkSession)
     # The pivot is the member with the most company in all its buckets: the text that copies were made of.
     company = shared.groupBy("row").agg(F.sum("size").alias("company"))
     pivots = shared.join(company, "row").groupBy("key").agg(F.max(F.struct("company", "row"))["row"].alias("g"))
     groups = materialize(shared.join(pivots, "key").select("row", "g").distinct(), "lz4")
     drop_table(shared)
+    free(rows.sparkSession)
     sets = materialize(full_sets(groups.select(F.col("row").alias("u"), F.col("row").alias("v")), rows, words), "lz4")
     roots = linked_components(groups, sets, percent, rounds)
     drop_table(sets)

@@ -21,7 +21,6 @@ The folder has to be a path that driver and executors all mount (file:// or with
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import uuid
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, scratch_dir
+from .common import drop_table, free, materialize, scratch_dir
 from .hashing import mixed, some_texts, texts_of, word_hashes
 
 END, START = np.uint64(0xE0F5E0F5E0F5E0F5), np.uint64(0x57A2757A2757A275)
@@ -369,7 +368,7 @@ def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", wo
     found = spark.range(word_shards).mapInArrow(frequent_words, "a long").collect()  # at most 8 * n_shards
     info["hot_ids"] = sorted({size, *(r.a for r in found)})  # the start of texts is a frequent context
     del words, sharded
-    _free(spark)
+    free(spark)
     schema = "kind int, a long, b long, c long, d long, e long"
     every_shard = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"), F.lit(_packed(np.zeros(0, _U), np.zeros(0, _U))).alias("blob"))
 
@@ -484,7 +483,7 @@ def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", wo
                 os.remove(f"{folder}/raw-{m - 1}-{s}.npy")
         if m == order:
             settle(m, made)
-        _free(spark)
+        free(spark)
         return made
 
     made = count_level(2)
@@ -507,7 +506,7 @@ def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", wo
     drop_table(made)
     del follows, made
     for m in range(3, order + 1):
-        _free(spark)
+        free(spark)
         drop_table(count_level(m))
     with open(f"{folder}/model.json.part", "w") as f:
         json.dump(info, f)
@@ -515,12 +514,6 @@ def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", wo
     return folder
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint32) if not values.size or values.max() < 1 << 32 else values
 
