@@ -89,11 +89,13 @@ def slots(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     passes = F.floor(F.col("words_due") / F.col("source_size"))
     rest = F.col("words_due") - passes * F.col("source_size")
     due = materialize(sized.withColumn("n_slots", passes * F.col("blocks") + F.ceil(rest / block)).filter("n_slots > 0"))
+    # Slots are dear to map and small to hold, so their tasks are set by their number.
+    tasks = max(1, int(due.agg(F.sum("n_slots")).first()[0] or 0) // (2 * SLOTS_AT_ONCE))
     dealt = shard_counts(due.select("source", "n_slots"), shard_slots, seed).withColumnRenamed("source", "s")
     chunks = dealt.join(F.broadcast(due), F.col("s").eqNullSafe(F.col("source"))).drop("s")  # a row a source
     # A last shard may be long, so that slots are made in pieces.
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS_AT_ONCE).cast("long")))
-    pieces = chunks.withColumn("from", starts).repartition("source", "shard", "from")
+    pieces = chunks.withColumn("from", starts).repartition(tasks, "source", "shard", "from")
     each = pieces.withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + F.least(F.col("from") + SLOTS_AT_ONCE, F.col("n")) - 1)))
     k, of = F.col("slot") % F.col("blocks"), F.col("blocks")
     # The last block may be short; it stays last in each pass, so that the words before it are whole blocks.
