@@ -255,11 +255,13 @@ def open_pairs(lists: DataFrame, percent: int, wide: int) -> DataFrame:
 def long_list_pivots(lists: DataFrame, wide: int, turn: int, pivots: int = 4) -> DataFrame:
     """Pairs (u, v) of the rows of long lists with a few pivots of the list, drawn by hashes."""
     long_ = lists.filter(F.col("size") > wide).withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(64)))
-    drawn = [F.min(F.struct(F.xxhash64("u", "g", F.lit(turn * pivots + k)), "u")).alias(f"p{k}") for k in range(pivots)]
+    drawn = [F.min(F.struct(F.xxhash64("u", "g", F.lit(turn * pivots + k)).alias("h"), "u", "root")).alias(f"p{k}") for k in range(pivots)]
     parts = long_.groupBy("g", "e", "salt").agg(*drawn)
     whole = parts.groupBy("g", "e").agg(*[F.min(f"p{k}").alias(f"p{k}") for k in range(pivots)])
-    named = parts.select("g", "e", "salt").join(whole, ["g", "e"]).select("g", "e", "salt", F.explode(F.array_distinct(F.array(*[f"p{k}.u" for k in range(pivots)]))).alias("v"))
-    return long_.join(named, ["g", "e", "salt"]).filter("u != v").select("u", "v").distinct()
+    some = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.u").alias("v"), F.col(f"p{k}.root").alias("of")) for k in range(pivots)]))).alias("p")
+    named = parts.select("g", "e", "salt").join(whole, ["g", "e"]).select("g", "e", "salt", some)
+    # Only rows of another root: every link found then joins two components, so this ends.
+    return long_.join(named, ["g", "e", "salt"]).filter("root != p.of").select("u", F.col("p.v").alias("v")).distinct()
 
 
 def linked_components(groups: DataFrame, sets: DataFrame, percent: int, rounds: int, wide: int = 256) -> DataFrame:
