@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What surrounds a key or a value without being part of it.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def kv_bag(line: Column, separator: str = "|") -> Column:
-    """`k=v` parts as a map, split at the first `=`; parts without one are left out, of equal keys the last holds."""
+    """`k=v` parts as a map, split at the first `=`, without the blanks around keys and values.
+
+    Parts without a `=` are left out. Of equal keys the last holds, whatever the session's policy for
+    repeated keys: earlier ones are taken out before the map is made. A null line gives null.
+    """
     parts = F.filter(F.split(line, f"[{separator}]"), lambda p: F.instr(p, "=") > 0)
-    pair = lambda p: F.struct(F.regexp_extract(p, r"^([^=]*)=", 1).alias("key"), F.regexp_extract(p, r"^[^=]*=(?s)(.*)$", 1).alias("value"))
-    return F.map_from_entries(F.transform(parts, pair))
+    strip = lambda c: F.btrim(c, F.lit(BLANKS))
+    pair = lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("key"), strip(F.substr(p, F.instr(p, "=") + 1)).alias("value"))
+    pairs = F.transform(parts, pair)
+    later = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~later(p, i)))
 
 
 def number(text: Column) -> Column:

@@ -75,11 +75,12 @@ def two_arms(calls: DataFrame, name: str, arm: str, frames: dict[str, int]) -> D
 
 
 def metric_document(samples: DataFrame, run: str) -> DataFrame:
-    """A run's document of samples (t_s, frametime_ms, fps, cpu_pct, rss_mb): null and 0 are no measurement.
+    """A run's document of samples (t_s, frametime_ms, fps, cpu_pct, rss_mb): null, 0, NaN and infinity are no measurement.
 
     Without frame times they come from the rates. fps_avg is the rate of the mean frame time. Values are rounded half to even.
     """
-    ft, fps = F.nullif("frametime_ms", F.lit(0.0)), F.nullif("fps", F.lit(0.0))
+    measured = lambda c: F.when((F.col(c) != 0) & (F.abs(F.col(c)) < float("inf")), F.col(c))
+    ft, fps = measured("frametime_ms"), measured("fps")
     own = samples.withColumn("__ft", ft).withColumn("__fps", fps)
     timed = own.groupBy(run).agg((F.count("__ft") > 0).alias("__timed"))
     rows = own.join(timed, run).withColumn("__ft", F.when(F.col("__timed"), F.col("__ft")).otherwise(F.when(F.col("__fps") > 0, 1000 / F.col("__fps"))))
@@ -88,10 +89,10 @@ def metric_document(samples: DataFrame, run: str) -> DataFrame:
         F.bround(F.avg("cpu_pct"), 2).alias("cpu_avg"), F.bround(F.max("cpu_pct"), 2).alias("cpu_peak"), F.bround(F.max("rss_mb"), 3).alias("ram_peak_mb"), F.bround(F.min("__fps"), 3).alias("fps_min"), F.bround(F.max("__fps"), 3).alias("fps_max"),
     )
     k = (F.col("frames") - 1) * 0.99
-    wanted = base.filter("frames > 0").select(run, F.explode(F.array_distinct(F.array(F.floor(k), F.ceil(k)))).alias("r"))
-    values = ranked_values(rows, [run], "__ft", wanted).groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("bag"))
-    p99 = F.col("bag")[F.floor(k)] + (k - F.floor(k)) * (F.col("bag")[F.ceil(k)] - F.col("bag")[F.floor(k)])
-    return base.join(values, run, "left").withColumn("p99_ms", F.bround(p99, 3)).drop("bag")
+    wanted = base.filter("frames > 0").select(run, F.explode(F.array_distinct(F.array(F.floor(k), F.ceil(k)))).alias("__rank"))
+    values = ranked_values(rows, [run], "__ft", wanted).groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__bag"))
+    p99 = F.col("__bag")[F.floor(k)] + (k - F.floor(k)) * (F.col("__bag")[F.ceil(k)] - F.col("__bag")[F.floor(k)])
+    return base.join(values, run, "left").withColumn("p99_ms", F.bround(p99, 3)).drop("__bag")
 
 
 def guarded_between(accesses: DataFrame, lines: DataFrame) -> DataFrame:

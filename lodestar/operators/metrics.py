@@ -13,26 +13,28 @@ MICROS = 1_000_000.0
 
 
 def frame_metrics(samples: DataFrame, run: str, frametime: str) -> DataFrame:
-    """A metrics document a run: count, harmonic fps, median, p95, p99, 1 % low, extremes (frame times of 0 or less are no samples).
+    """A metrics document a run: count, harmonic fps, median, p95, p99, 1 % low, extremes.
 
-    Percentiles are exact, between the two ranks around them; they come from ranked values, so no
-    task sorts or holds a whole run.
+    Frame times that are null, NaN, infinite, or 0 or less are no samples; a run without samples, and
+    a null run, has no row. Percentiles are exact, between the two ranks around them; they come from
+    ranked values, so no task sorts or holds a whole run.
     """
-    ft = F.col(frametime)
-    valid = samples.filter(ft > 0).select(run, ft.cast("double").alias("ft"))
-    base = stored(valid.groupBy(run).agg(F.count(F.lit(1)).alias("frames"), F.avg("ft").alias("mean"), F.min("ft").alias("min_ms"), F.max("ft").alias("max_ms")))
+    ft = F.col(frametime).cast("double")
+    valid = samples.select(F.col(run).alias("__run"), ft.alias("__ft")).filter((F.col("__ft") > 0) & (F.col("__ft") < float("inf")))
+    base = stored(valid.groupBy("__run").agg(F.count(F.lit(1)).alias("__frames"), F.avg("__ft").alias("__mean"), F.min("__ft").alias("__min"), F.max("__ft").alias("__max")))
     at = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
-    k = lambda p: (F.col("frames") - 1) * F.lit(p)
-    slow = F.greatest(F.lit(1), F.floor(F.col("frames") * 0.01))
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(k(p)), F.ceil(k(p))) for p in at.values()], F.array(F.col("frames") - slow))))
-    values = ranked_values(valid, [run], "ft", base.select(run, F.explode(ranks).alias("r")))
-    bag = values.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("bag"))  # seven entries at most
-    known = base.join(bag, run).withColumn("floor_ms", F.col("bag")[F.col("frames") - slow])
-    over = valid.join(known.select(run, "floor_ms"), run).filter("ft > floor_ms").groupBy(run).agg(F.count(F.lit(1)).alias("above"), F.sum(1000 / F.col("ft")).alias("fps_sum"))
-    both = known.join(over, run, "left")
-    between = lambda p: F.col("bag")[F.floor(k(p))] + (k(p) - F.floor(k(p))) * (F.col("bag")[F.ceil(k(p))] - F.col("bag")[F.floor(k(p))])
-    low = (F.coalesce("fps_sum", F.lit(0.0)) + (slow - F.coalesce("above", F.lit(0))) * 1000 / F.col("floor_ms")) / slow
-    return both.select(run, "frames", F.round(1000 / F.col("mean"), 6).alias("fps_avg"), *[F.round(between(p), 6).alias(n) for n, p in at.items()], F.round(low, 6).alias("fps_1pct_low"), "min_ms", "max_ms")
+    k = lambda p: (F.col("__frames") - 1) * F.lit(p)
+    slow = F.greatest(F.lit(1), F.floor(F.col("__frames") * 0.01))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(k(p)), F.ceil(k(p))) for p in at.values()], F.array(F.col("__frames") - slow))))
+    values = ranked_values(valid, ["__run"], "__ft", base.select("__run", F.explode(ranks).alias("__rank")))
+    bag = values.groupBy("__run").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__bag"))  # seven entries at most
+    known = base.join(bag, "__run").withColumn("__floor", F.col("__bag")[F.col("__frames") - slow])
+    over = valid.join(known.select("__run", "__floor"), "__run").filter("__ft > __floor").groupBy("__run").agg(F.count(F.lit(1)).alias("__above"), F.sum(1000 / F.col("__ft")).alias("__fps"))
+    both = known.join(over, "__run", "left")
+    between = lambda p: F.col("__bag")[F.floor(k(p))] + (k(p) - F.floor(k(p))) * (F.col("__bag")[F.ceil(k(p))] - F.col("__bag")[F.floor(k(p))])
+    low = (F.coalesce("__fps", F.lit(0.0)) + (slow - F.coalesce("__above", F.lit(0))) * 1000 / F.col("__floor")) / slow
+    shown = [F.col("__run").alias(run), F.col("__frames").alias("frames"), F.round(1000 / F.col("__mean"), 6).alias("fps_avg")]
+    return both.select(*shown, *[F.round(between(p), 6).alias(n) for n, p in at.items()], F.round(low, 6).alias("fps_1pct_low"), F.col("__min").alias("min_ms"), F.col("__max").alias("max_ms"))
 
 
 def anchored_windows(samples: DataFrame, run: str, ts: str, frametime: str, width_s: float) -> DataFrame:

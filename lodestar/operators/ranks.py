@@ -7,30 +7,31 @@ from pyspark.sql import functions as F
 
 from ..scratch import stored
 
-BINS = 4096
 
+def ranked_values(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, rank: str = "__rank", into: str = "__value") -> DataFrame:
+    """keys, rank, into: the value at each wanted rank (keys, rank; from 0, smallest first) of a key.
 
-def ranked_values(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
-    """keys, r, v: the value at each wanted rank (keys, r; from 0, smallest first) of a key.
+    Equal values are counted where the rows are, so a value that most rows have is a row a task. The
+    distinct values are dealt by ranges of (keys, value), whatever a key's share of them; ranges are
+    counted, and only those that hold a wanted rank are looked into. Two shuffles of the distinct
+    values, however they are spread; infinities are ordinary ends of the order.
 
-    Histograms of BINS bins between the bounds known so far, counted where the rows are; the bin that
-    holds a rank gives the next bounds, until a single value is left. Exact; what a pass shuffles is
-    bins, not rows, whatever a key's share of them. Ranks beyond a key's rows are left out.
+    Null and NaN are no values; ranks beyond a key's values, and null keys, are left out; equal values
+    take as many ranks as there are rows of them; an empty table gives no rows. Columns of `rows` may
+    have any names but those that begin with two underscores.
     """
-    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    ends = some.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("__n"))
-    asked = wanted.join(ends, keys).filter((F.col("r") >= 0) & (F.col("r") < F.col("__n")))
-    now = stored(asked.select(*keys, "r", "lo", "hi", F.lit(0).cast("long").alias("below")))
-    while not now.filter("lo < hi").isEmpty():
-        bounds = now.filter("lo < hi").select(*keys, "lo", "hi").distinct()
-        inside = some.join(bounds, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        place = F.least(F.lit(BINS - 1), F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).cast("int")
-        bins = inside.groupBy(*keys, "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("to_lo"), F.max("__v").alias("to_hi"))
-        upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "lo", "hi").orderBy("bin")))  # a row a bin
-        met = now.filter("lo < hi").join(upto, [*keys, "lo", "hi"]).filter("below + upto > r AND below + upto - n <= r")
-        fresh = met.select(*keys, "r", F.col("to_lo").alias("lo"), F.col("to_hi").alias("hi"), (F.col("below") + F.col("upto") - F.col("n")).alias("below"))
-        now = stored(now.filter("lo >= hi").unionByName(fresh))
-    return now.select(*keys, "r", F.col("lo").alias("v"))
+    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")).filter(~F.isnan("__v"))
+    counted = some.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    dealt = stored(counted.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
+    ranges = dealt.groupBy(*keys, "__range").agg(F.sum("__c").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range"))  # a row a range
+    started = ranges.select(*keys, "__range", (upto - F.col("__n")).alias("__start"), "__n")
+    asked = wanted.select(*keys, F.col(rank).alias("__r")).join(started, keys).filter("__r >= __start AND __r < __start + __n")
+    within = F.sum("__c").over(Window.partitionBy(*keys, "__range").orderBy("__v"))
+    looked = dealt.join(asked.select(*keys, "__range").distinct(), [*keys, "__range"], "left_semi").withColumn("__upto", within)
+    local = asked.select(*keys, "__range", "__r", (F.col("__r") - F.col("__start")).alias("__at"))
+    met = local.join(looked, [*keys, "__range"]).filter("__at < __upto AND __at >= __upto - __c")
+    return met.select(*keys, F.col("__r").alias(rank), F.col("__v").alias(into))
 
 
 def numbered(rows: DataFrame, key: str, order: list[str], into: str) -> DataFrame:

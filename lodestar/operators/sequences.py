@@ -14,8 +14,8 @@ def gaps(rows: DataFrame, key: str, t: str) -> DataFrame:
     gap = F.col(t) - F.lag(t).over(Window.partitionBy(key).orderBy(t))
     each = stored(rows.withColumn("__gap", gap).filter("__gap IS NOT NULL").select(key, "__gap"))
     n = each.groupBy(key).agg(F.count(F.lit(1)).alias("gaps"))
-    median = ranked_values(each, [key], "__gap", n.select(key, F.floor(F.col("gaps") / 2).alias("r")))
-    return n.join(median, key).select(key, F.col("gaps").cast("int").alias("gaps"), F.col("v").cast("long").alias("median_gap"))
+    median = ranked_values(each, [key], "__gap", n.select(key, F.floor(F.col("gaps") / 2).alias("__rank")))
+    return n.join(median, key).select(key, F.col("gaps").cast("int").alias("gaps"), F.col("__value").cast("long").alias("median_gap"))
 
 
 def fill_forward(rows: DataFrame, key: str, order: list[str], value: Column, into: str) -> DataFrame:
@@ -65,9 +65,9 @@ def max_path(rows: DataFrame, keys: list[str], chain: str) -> DataFrame:
     now = rows.groupBy(*keys, F.col(chain).alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
     deepest = now.agg(F.max(F.size("__at")).alias("d")).first().d or 0
     for depth in range(deepest, 0, -1):
-        ends = now.filter(F.size("__at") == depth)
-        up = F.slice("__at", 1, depth - 1)
-        folded = ends.groupBy(*keys, up.alias("__up"), F.col("__at")[depth - 1]["fork"].alias("__fork")).agg(F.max("__n").alias("__n"))
-        above = now.filter(F.size("__at") < depth).unionByName(folded.select(*keys, F.col("__up").alias("__at"), "__n"))
-        now = above.groupBy(*keys, "__at").agg(F.sum("__n").alias("__n"))
+        # Rows of this depth go to their fork, the largest branch stays; others are by themselves.
+        ends = F.size("__at") == depth
+        up, fork = F.when(ends, F.slice("__at", 1, depth - 1)).otherwise(F.col("__at")), F.when(ends, F.get("__at", F.lit(depth - 1))["fork"])
+        largest = now.groupBy(*keys, up.alias("__up"), fork.alias("__fork")).agg(F.max("__n").alias("__n"))
+        now = largest.groupBy(*keys, F.col("__up").alias("__at")).agg(F.sum("__n").alias("__n"))
     return now.groupBy(*keys).agg(F.sum("__n").alias("worst")).join(flat, keys)

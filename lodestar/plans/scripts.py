@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..scripts import edits as E
 from ..scripts import rules as R
-from ..scripts.facts import extract
-from .catalog import query
+from ..scratch import stored
+from ..scripts.facts import extract, spread_out, stored_facts
+from .catalog import ORACLE_SQL, query
 
 
 def _times(text: str, n: Column) -> Column:
@@ -56,7 +57,7 @@ def scripts(suppliers: DataFrame) -> DataFrame:
 
 
 def _rows(t, rule: str) -> DataFrame:
-    return R.RULES[rule](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line")
+    return R.RULES[rule](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line")
 
 
 _S = "(SELECT 'script_' || s_suppkey AS path, s_suppkey % 6 AS a, s_suppkey % 4 AS b, s_suppkey % 40 AS loops, s_nationkey::BIGINT AS n FROM supplier) s"
@@ -99,20 +100,20 @@ def rule_negated_equality(t):
 
 @query(f"SELECT path, 'uncached_globals_summary' AS pattern, 'GREEN' AS severity, 18 AS line, '{{\"math.floor\":' || a || '}}' AS globals FROM {_S} WHERE a >= 4")
 def rule_uncached_globals(t):
-    return R.RULES["uncached_globals"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["globals"].alias("globals"))
+    return R.RULES["uncached_globals"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["globals"].alias("globals"))
 
 
 @query(f"""SELECT path, 'repeated_alife' AS pattern, 'GREEN' AS severity, CASE WHEN a = 0 THEN 7 ELSE 6 END AS line, a + 3 AS calls, a + 2 AS worst FROM {_S} WHERE a >= 2
     UNION ALL SELECT path, 'repeated_self_object_id()', 'GREEN', 19, 4, 4 FROM {_S} WHERE b = 2 UNION ALL SELECT path, 'repeated_time_global', 'GREEN', 25, 2, 2 FROM {_S} WHERE a < 3 AND b <> 3""")
 def rule_repeated(t):
     d = F.col("detail")
-    return R.RULES["repeated"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", d["count"].cast("long").alias("calls"), d["worst"].cast("long").alias("worst"))
+    return R.RULES["repeated"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", d["count"].cast("long").alias("calls"), d["worst"].cast("long").alias("worst"))
 
 
 @query(f"SELECT path, 'string_concat_in_loop' AS pattern, 'YELLOW' AS severity, 14 AS line, 'text' AS variable, false AS safe, loops AS trips FROM {_S}")
 def rule_concatenation_in_loops(t):
     source = scripts(t("supplier"))
-    found = R.RULES["concatenation_in_loops"](extract(source)).join(source, "path")
+    found = R.RULES["concatenation_in_loops"](stored_facts(source)).join(source, "path")
     header = F.concat(F.lit("for"), F.substring_index(F.split("text", "\n")[F.col("line") - 1], "for", -1))
     return found.select("path", "pattern", "severity", "line", F.col("detail")["variable"].alias("variable"), (F.col("detail")["safe"] == "true").alias("safe"), R.trips(header).cast("long").alias("trips"))
 
@@ -149,12 +150,12 @@ def rule_unused_locals(t):
 
 @query(f"SELECT path, 'distance_to_comparison' AS pattern, 'GREEN' AS severity, 10 AS line, (n * n + n) || '.25' AS squared FROM {_S}")
 def rule_distances(t):
-    return R.RULES["distances"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["squared"].alias("squared"))
+    return R.RULES["distances"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["squared"].alias("squared"))
 
 
 @query(f"SELECT path, 'jit_mode' AS pattern, 'RED' AS severity, 18 AS line, CASE WHEN b = 0 THEN 'interpreted' ELSE 'mixed' END AS mode FROM {_S} WHERE b < 2")
 def rule_trace_modes(t):
-    return R.RULES["trace_modes"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["mode"].alias("mode"))
+    return R.RULES["trace_modes"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["mode"].alias("mode"))
 
 
 @query(_hits(("'per_frame_callback'", "RED", 18, "b = 0"), ("'per_frame_callback'", "YELLOW", 18, "b <> 0 AND a >= 2"), ("'per_frame_callback'", "DEBUG", 18, "b <> 0 AND a < 2")))
@@ -170,12 +171,12 @@ def rule_appends(t):
 @query(f"""SELECT path, unnest(['M.measure', 'M.look']) AS function, 'interpreted' AS mode FROM {_S}
     UNION ALL SELECT path, 'M:update', CASE b WHEN 0 THEN 'interpreted' WHEN 1 THEN 'mixed' ELSE 'compiled' END FROM {_S}""")
 def body_modes(t):
-    return R.body_modes(extract(scripts(t("supplier")))).select("path", "function", "mode")
+    return R.body_modes(stored_facts(scripts(t("supplier")))).select("path", "function", "mode")
 
 
 @query(f"""SELECT path, count(*) AS facts, count(*) FILTER (kind = 'scope') AS functions FROM (SELECT path, unnest(['scope', 'scope', 'scope']) AS kind FROM {_S}) GROUP BY path""")
 def script_functions(t):
-    return extract(scripts(t("supplier"))).filter("kind = 'scope'").groupBy("path").agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("kind") == "scope").alias("functions"))
+    return extract(spread_out(scripts(t("supplier")))).filter("kind = 'scope'").groupBy("path").agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("kind") == "scope").alias("functions"))
 
 
 @query(f"SELECT 'script_' || s_suppkey AS path, 'parse' AS what FROM supplier WHERE s_suppkey % 3 = 0")
@@ -183,7 +184,7 @@ def script_failures(t):
     """Every third script is cut off in the middle; its failure is one row, the others give facts."""
     s = scripts(t("supplier"))
     cut = F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == 0, F.substring_index("text", "end", 2)).otherwise(F.col("text"))
-    return extract(s.withColumn("text", cut)).filter("kind = 'failure'").select("path", F.col("name").alias("what"))
+    return extract(spread_out(s.withColumn("text", cut))).filter("kind = 'failure'").select("path", F.col("name").alias("what"))
 
 
 _FIXED = r"""concat_ws(chr(10), 'local M = {}', 'local total = ' || n, 'seen = ' || CASE b WHEN 0 THEN 'total' ELSE '1' END, 'function M.measure(list, pos, s)',
@@ -201,15 +202,15 @@ _FIXED = r"""concat_ws(chr(10), 'local M = {}', 'local total = ' || n, 'seen = '
 @query(f"SELECT path, {_FIXED} AS text, 0 AS dropped FROM {_S}")
 def script_rewrites(t):
     s = scripts(t("supplier"))
-    return E.rewrite(s, E.edits_of(extract(s))).select("path", "text", "dropped")
+    return E.rewrite(s, E.edits_of(stored_facts(s))).select("path", "text", "dropped")
 
 
 @query(f"SELECT path, 0 AS edits, sha256({_FIXED}) AS digest FROM {_S}")
 def rewrite_fixpoint(t):
     """The edits left after a pass (none), and the digest after a second."""
     s = scripts(t("supplier"))
-    once = E.rewrite(s, E.edits_of(extract(s))).select("path", "text")
-    twice = E.rewrite(once, E.edits_of(extract(once)))
+    once = stored(E.rewrite(s, E.edits_of(stored_facts(s))).select("path", "text"))
+    twice = E.rewrite(once, E.edits_of(stored_facts(once)))
     return twice.select("path", F.col("applied").alias("edits"), F.sha2("text", 256).alias("digest"))
 
 
@@ -217,20 +218,20 @@ def rewrite_fixpoint(t):
 def rewrite_caches(t):
     """Calls that go through a local after the cache edits."""
     s = scripts(t("supplier"))
-    made = E.rewrite(s, E.edits_of(extract(s), ("cache",)))
+    made = E.rewrite(s, E.edits_of(stored_facts(s), ("cache",)))
     return made.filter("applied > 0").select("path", F.lit("cached").alias("kind"), (F.size(F.split("text", r"c_math_floor\(")) - 1).cast("long").alias("calls"))
 
 
 @query(f"SELECT path, 'potential_nil_access' AS pattern, 'YELLOW' AS severity, 24 AS line, 'level.object_by_id' AS source, b = 0 AS safe FROM {_S} WHERE b IN (0, 2)")
 def rule_nil_accesses(t):
     d = F.col("detail")
-    return R.RULES["nil_accesses"](extract(scripts(t("supplier")))).select("path", "pattern", "severity", "line", d["source"].alias("source"), (d["safe"] == "true").alias("safe"))
+    return R.RULES["nil_accesses"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", d["source"].alias("source"), (d["safe"] == "true").alias("safe"))
 
 
 @query(f"SELECT path, '  if o then o:go() end' AS line, 1 AS applied FROM {_S} WHERE b = 0")
 def rewrite_guards(t):
     s = scripts(t("supplier"))
-    made = E.rewrite(s, E.edits_of(extract(s), ("guard",)))
+    made = E.rewrite(s, E.edits_of(stored_facts(s), ("guard",)))
     return made.filter("applied > 0").select("path", F.split("text", "\n")[23].alias("line"), "applied")
 
 
@@ -238,11 +239,20 @@ def rewrite_guards(t):
 def rewrite_cleanups(t):
     """Debug calls become comments, dead code goes, lines stay."""
     s = scripts(t("supplier"))
-    made = E.rewrite(s, E.edits_of(extract(s), ("debug", "dead")))
+    made = E.rewrite(s, E.edits_of(stored_facts(s), ("debug", "dead")))
     commented = (F.size(F.split("text", r"--\[==\[")) - 1).alias("commented")
     return made.select("path", F.size(F.split("text", "\n")).alias("n_lines"), commented, (F.col("applied") - commented).cast("int").alias("gone"))
 
 
+_ALL = [name for name in ORACLE_SQL if name.startswith("rule_")]
+
+
+@query(" UNION ALL ".join(f"SELECT path, pattern, severity, line FROM ({ORACLE_SQL[name]})" for name in _ALL))
+def all_findings(t):
+    """Every rule over every script, from facts that are parsed and written once."""
+    return R.findings(stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line")
+
+
 @query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_size % 3 = 0 THEN '<[' || upper(p_name) || ']>' WHEN p_size % 3 = 1 THEN 'f(' || upper(p_name) || ')+' ELSE '<[' || upper(p_name) || ']>' END AS text,
     CASE WHEN p_size % 3 = 0 THEN 2 WHEN p_size % 3 = 1 THEN 2 ELSE 1 END AS applied, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 3 = 1 THEN 1 ELSE 3 END AS dropped FROM part""")
 def edit_admission(t):

@@ -14,7 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .syntax import Node, SyntaxFault, parse
 
 SCHEMA = (
@@ -460,8 +462,23 @@ def facts_of(text: str) -> list[tuple]:
         return [("failure", None, None, None, None, None, None, what, [], [], [], None, [("message", str(e))])]
 
 
+#: Characters of scripts that one task reads: a core parses about 150 KB a second.
+TASK_CHARACTERS = 4 << 20
+
+
+def spread_out(files: DataFrame, text: str = "text") -> DataFrame:
+    """The files dealt to tasks of about TASK_CHARACTERS, and to as many as run at a time at least: few splits of input hold many scripts."""
+    total = files.agg(F.sum(F.length(text)).alias("n")).first().n or 0
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_CHARACTERS)))
+
+
+def stored_facts(files: DataFrame) -> DataFrame:
+    """Facts of all scripts, parsed once and written to the shared folder; sorted by kind in each file, so that a reader of one kind skips the others' row groups."""
+    return stored(extract(spread_out(files)).sortWithinPartitions("kind", "path"))
+
+
 def extract(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Facts of all scripts (path, text); a null text is an empty one."""
+    """Facts of all scripts (path, text); a null text is an empty one. What reads them more than once should take `stored_facts`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
