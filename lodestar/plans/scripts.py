@@ -153,7 +153,7 @@ def rule_distances(t):
     return R.RULES["distances"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["squared"].alias("squared"))
 
 
-@query(f"SELECT path, 'jit_mode' AS pattern, 'RED' AS severity, 18 AS line, CASE WHEN b = 0 THEN 'interpreted' ELSE 'mixed' END AS mode FROM {_S} WHERE b < 2")
+@query(f"SELECT path, 'jit_mode' AS pattern, 'RED' AS severity, 18 AS line, 'interpreted' AS mode FROM {_S}")
 def rule_trace_modes(t):
     return R.RULES["trace_modes"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["mode"].alias("mode"))
 
@@ -168,8 +168,7 @@ def rule_appends(t):
     return _rows(t, "appends")
 
 
-@query(f"""SELECT path, unnest(['M.measure', 'M.look']) AS function, 'interpreted' AS mode FROM {_S}
-    UNION ALL SELECT path, 'M:update', CASE b WHEN 0 THEN 'interpreted' WHEN 1 THEN 'mixed' ELSE 'compiled' END FROM {_S}""")
+@query(f"""SELECT path, unnest(['M.measure', 'M.look', 'M:update']) AS function, 'interpreted' AS mode FROM {_S}""")
 def body_modes(t):
     return R.body_modes(stored_facts(scripts(t("supplier")))).select("path", "function", "mode")
 

@@ -52,6 +52,15 @@ ENGINE_GLOBALS = (
     "time_global", "alife", "get_console", "get_hud", "device", "level_object_by_id", "system_ini", "game_ini", "create_ini_file", "alife_object",
     "alife_create", "alife_release", "get_safe_sound_object", "sound_object", "vector", "vector2", "CScriptXmlInit", "GetARGB", "GetFontLetterica16Russian",
 )
+#: Methods that call into the engine.
+ENGINE_METHODS = (
+    "position", "direction", "health", "set_health", "id", "section", "section_name", "profile_name", "clsid", "name", "alive", "parent", "level_vertex_id",
+    "game_vertex_id", "object", "best_enemy", "best_danger", "best_item", "active_item", "active_detector", "active_slot", "item_in_slot", "get_enemy",
+    "get_current_outfit", "character_community", "character_rank", "inventory_for_each", "iterate_inventory", "give_info_portion", "has_info",
+    "disable_info_portion", "transfer_item", "transfer_money", "r_string", "r_float", "r_u32", "r_s32", "r_bool", "r_line", "line_count", "section_exists",
+    "line_exists", "distance_to", "distance_to_sqr", "distance_to_xz", "distance_to_center", "set", "add", "sub", "mul", "div", "normalize", "magnitude",
+    "execute", "get_float", "get_integer", "get_bool", "story_object", "story_id", "clear_abuse", "accessible",
+)
 PATTERN_MARKS = r"[\^$().%\[\]*+\-?]"
 EMPTY_TEXTS = ('""', "''", "[[]]")
 BREAK_EVEN = 30
@@ -271,7 +280,7 @@ def distances(facts):
 
 
 def aborting_sites(facts: DataFrame) -> DataFrame:
-    """path, func, line, chain, reason: what ends a compiled trace, by exact name, by name and arguments, by namespace, by global; and concatenations, and closures made in loops."""
+    """path, func, line, chain, reason: what ends a compiled trace, by exact name, by name and arguments, by namespace, by global, by method; and concatenations, and closures made in loops."""
     calls = of(facts, "call").filter(more("bound").isNull() & more("method").isNull())
     many = F.lit(False)
     for name, least in ABORTING_FROM.items():
@@ -283,7 +292,8 @@ def aborting_sites(facts: DataFrame) -> DataFrame:
     )
     named = calls.select("path", "func", "line", "chain", reason.alias("reason")).filter("reason IS NOT NULL")
     other = facts.filter(F.col("kind").isin("join", "closure")).select("path", "func", "line", "chain", F.when(F.col("kind") == "join", "concatenation").otherwise("closure in a loop").alias("reason"))
-    return named.unionByName(other).filter("func >= 0")
+    methods = of(facts, "call").filter(more("method").isNotNull() & (more("func").isin(*ENGINE_METHODS) | more("module").isin(*ENGINE_SPACES))).select("path", "func", "line", "chain", F.concat(F.lit("engine: :"), more("func")).alias("reason"))
+    return named.unionByName(other).unionByName(methods).filter("func >= 0")
 
 
 def body_modes(facts: DataFrame) -> DataFrame:
