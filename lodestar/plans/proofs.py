@@ -10,6 +10,8 @@ from ..scripts import proofs as P
 from ..scripts.bindings import stored_bindings
 from ..scripts.edits import rewrite
 from ..scripts.facts import stored_facts
+from ..scripts.gate import captures
+from ..scripts.program import call_edges, frame_reach, unused_exports
 from .catalog import query
 
 
@@ -84,3 +86,73 @@ def proven_fixpoint(t):
     """What was rewritten is at rest: no edits in a second pass."""
     once = stored(_proven(scripts(t("supplier"))).select("path", "text"))
     return _proven(once).select("path", F.col("applied").alias("edits"), F.sha2("text", 256).alias("digest"))
+
+
+_EDITED = "(SELECT 'script_' || s_suppkey AS path, s_suppkey % 5 AS c FROM supplier) s"
+
+
+@query(f"""SELECT path, ['actor', 'fresh', 'n', 'shared', 'late'][c + 1] AS name, [4, 0, 3, 5, 0][c + 1]::INT AS line FROM {_EDITED} WHERE c IN (0, 2, 3)""")
+def planted_captures(t):
+    """A local put in at the start of a body: over a parameter, a new name, over a name in a replaced call, over a global, over what is declared later only."""
+    c = F.col("s_suppkey") % 5
+    text = "function f(actor, n)\n  go(n)\n  local x = actor\n  x = shared\n  local late = 1\n  return late\nend"
+    files = t("supplier").select(F.concat(F.lit("script_"), F.col("s_suppkey").cast("string")).alias("path"), F.lit(text).alias("text"))
+    name = F.element_at(F.array(*map(F.lit, ("actor", "fresh", "n", "shared", "late"))), c.cast("int") + 1)
+    place, call = text.index("  go(n)"), text.index("go(n)")
+    both = F.array(F.struct(F.lit(place).alias("start"), F.lit(place).alias("end"), F.concat(F.lit("  local "), name, F.lit(" = 0\n")).alias("text")), F.struct(F.lit(call).alias("start"), F.lit(call + 5).alias("end"), F.lit("run(n)").alias("text")))
+    made = t("supplier").select(F.concat(F.lit("script_"), F.col("s_suppkey").cast("string")).alias("path"), F.explode(both).alias("e"))
+    edits = made.select("path", "e.start", "e.end", "e.text", F.lit(0).alias("priority"), F.lit(None).cast("string").alias("grp"), F.lit(False).alias("enabler"), F.lit(False).alias("atomic"))
+    return captures(files, stored(rewrite(files, edits))).select("path", "name", "line")
+
+
+@query(f"SELECT path, 0::BIGINT AS captures FROM {_S}")
+def own_captures(t):
+    """Names that the proven rewritings capture, a script (none)."""
+    s = scripts(t("supplier"))
+    found = captures(s, stored(_proven(s))).groupBy("path").agg(F.count(F.lit(1)).alias("captures"))
+    return s.select("path").join(found, "path", "left").fillna(0, ["captures"])
+
+
+def program(t) -> DataFrame:
+    """path, text: a module a supplier that calls the next one, and two special modules with a function a nation."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    path = lambda m: F.concat(F.lit("gamedata/scripts/"), m, F.lit(".script"))
+    lines = F.array(
+        F.lit("local function own() return 1 end"),
+        F.concat(F.lit("function start() own(); Mod_"), (k + 1).cast("string"), F.lit(".start(); shared_"), n, F.lit("(); missing(); obj:go(); shared_"), n, F.lit("() end")),
+        F.lit("function spare() end"), F.when(k % 10 == 0, "function actor_on_update() start() end").otherwise("local kept = spare"))
+    mods = t("supplier").select(path(F.concat(F.lit("mod_"), k.cast("string"))).alias("path"), F.array_join(lines, "\n").alias("text"))
+    key = F.col("n_nationkey").cast("string")
+    one = t("nation").select(F.concat(F.lit("function shared_"), key, F.lit("() end")).alias("line"), "n_nationkey")
+    special = one.withColumn("path", path(F.lit("_g"))).unionByName(one.filter("n_nationkey < 5").withColumn("path", path(F.lit("_g_patches"))))
+    return mods.unionByName(special.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")))  # a line a nation
+
+
+_P = "(SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey - 1 IN (SELECT s_suppkey FROM supplier) AS below, s_suppkey - 2 IN (SELECT s_suppkey FROM supplier) AS below2, s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) AS next, 'gamedata/scripts/mod_' || s_suppkey || '.script' AS path FROM supplier) s"
+
+
+@query(f"""SELECT kind, count(*) AS edges, sum(n)::BIGINT AS calls, count(*) FILTER (ambiguous) AS ambiguous FROM (
+    SELECT 'same-file' AS kind, 1 AS n, false AS ambiguous FROM {_P} UNION ALL SELECT 'same-file', 1, false FROM {_P} WHERE k % 10 = 0
+    UNION ALL SELECT CASE WHEN next THEN 'module' ELSE 'unresolved' END, 1, false FROM {_P} UNION ALL SELECT 'global', 2, n < 5 FROM {_P}
+    UNION ALL SELECT 'unresolved', 1, false FROM {_P} UNION ALL SELECT 'method', 1, false FROM {_P}) GROUP BY kind""")
+def program_calls(t):
+    """How the calls of all scripts are resolved."""
+    edges = call_edges(stored_bindings(program(t)))
+    return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("calls"), F.count_if("ambiguous").alias("ambiguous"))
+
+
+@query(f"""WITH p AS (FROM {_P}), g AS (SELECT 'g' || n AS node, min(hop) AS hop FROM (SELECT n, 2 AS hop FROM p WHERE k % 10 = 0 UNION ALL SELECT n, 3 FROM p WHERE k % 10 = 1 AND below) GROUP BY 1),
+    r AS (SELECT 'u' || k AS node, 0 AS hop FROM p WHERE k % 10 = 0 UNION ALL SELECT 's' || k, 1 FROM p WHERE k % 10 = 0 UNION ALL SELECT 'o' || k, 2 FROM p WHERE k % 10 = 0
+        UNION ALL SELECT 's' || k, 2 FROM p WHERE k % 10 = 1 AND below UNION ALL SELECT 'o' || k, 3 FROM p WHERE k % 10 = 1 AND below UNION ALL SELECT 's' || k, 3 FROM p WHERE k % 10 = 2 AND below2 UNION ALL FROM g)
+    SELECT hop, count(*) AS nodes FROM r GROUP BY hop""")
+def program_reach(t):
+    """What runs every frame, by hops over the calls of all scripts."""
+    return frame_reach(stored_bindings(program(t)), 3).groupBy("hop").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"""SELECT path, 'spare' AS name FROM {_P} WHERE k % 10 = 0 UNION ALL SELECT path, 'start' FROM {_P} WHERE k % 10 <> 0 AND NOT below
+    UNION ALL SELECT 'gamedata/scripts/_g.script', 'shared_' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'gamedata/scripts/_g_patches.script', 'shared_' || n_nationkey FROM nation WHERE n_nationkey < 5 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def unused_functions(t):
+    """Functions that no script names."""
+    return unused_exports(stored_bindings(program(t))).select("path", "name")

@@ -268,4 +268,4 @@ def edit_admission(t):
     group = F.array(e(2, 2 + n, F.upper(name), 5, "g", False, True), e(2 + n - 1, 3 + n, F.lit("!"), 4, "g", False, True), wrap, e(0, F.lit(0), F.lit("local x "), 9, "g", True, False))
     edits = F.when(kind == 0, wrapped).when(kind == 1, partly).otherwise(group)
     rows = t("part").select(F.col("p_partkey").cast("string").alias("path"), F.explode(edits).alias("e")).select("path", "e.*")
-    return E.rewrite(files, rows)
+    return E.rewrite(files, rows).drop("pieces")

@@ -4,8 +4,8 @@ A declaration is told by the place of its name, so rows of one script can be joi
 global. Functions are told by their own place (-1 the script's top). Proofs about a variable are
 aggregations and anti joins over its mentions.
 
-Kinds: declare (use says local, parameter, loop, function, self), use, loop, if, call, invoke, alloc
-(a `vector()`), failure. Uses: read (of an element or field), stored (an element written), append
+Kinds: declare (use says local, parameter, loop, function, self), use, field (`a.b` of a global a), loop,
+if, function, call, invoke, register, alloc (a `vector()`), failure. Uses: read (of an element or field), stored (an element written), append
 (`t[#t + 1] = v`), insert (`table.insert(t, v)`), length, iterated (`pairs(t)`), called, receiver
 (`t:m()`), passed (to a function), handed (to a method), written, grown (`s = s .. x`), plain.
 """
@@ -127,7 +127,9 @@ class Binder:
 
     def on_local(self, s: Node) -> None:
         for v in s.values:
-            if self.scratch(v):
+            if v.kind == "function":
+                self.function(v, s.names[0].id if len(s.names) == 1 else None, True)
+            elif self.scratch(v):
                 self.vector(v, "local", s.names[0].lo if len(s.names) == 1 and len(s.values) == 1 else None)
             else:
                 self.expression(v)
@@ -151,7 +153,10 @@ class Binder:
             self.chain(value, skip=True)
             return
         for v in s.values:
-            self.expression(v)
+            if v.kind == "function" and single:
+                self.function(v, self.of(target), target.kind == "name" and self.find(target.id) is not None)
+            else:
+                self.expression(v)
         for i, t in enumerate(s.targets):
             own = s.values[i] if i < len(s.values) else None
             if t.kind == "name":
@@ -271,7 +276,10 @@ class Binder:
         for v in s.values:
             self.expression(v)
 
-    def function(self, s: Node) -> None:
+    def function(self, s: Node, given: str | None = None, private: bool = False) -> None:
+        own = given or (None if s.target is None else self.of(s.target) + (f":{s.method.id}" if s.method else ""))
+        bound = s.target is not None and s.target.kind == "name" and not s.local and self.find(s.target.id) is not None
+        self.add("function", s, own, "local" if s.local or private or bound else "open")
         if s.local:
             self.declare(s.target, "function")
         elif s.target is not None and s.target.kind == "name":
@@ -297,6 +305,9 @@ class Binder:
         if kind == "name":
             self.mention(e, "plain")
         elif kind == "index":
+            full = self.full(e)
+            if full and self.of(e) == full:
+                self.add("field", e, full)
             self.some(e.of, "read")
             if not e.dotted:
                 self.expression(e.key)
@@ -330,7 +341,10 @@ class Binder:
         if full == "vector" and not args:
             self.vector(e, None)
             return
-        self.add("call", e, full)
+        own = e.of.id if full is None and e.of.kind == "name" else None  # a local that is called
+        self.add("call", e, full or own, "local" if own else None)
+        if full == "RegisterScriptCallback" and len(args) > 1:
+            self.add("register", e, self.of(args[1]), args[0].value if args[0].kind == "string" else self.of(args[0]))
         direct = self.of(e.of) == full
         self.some(e.of, "called")
         for i, a in enumerate(args):

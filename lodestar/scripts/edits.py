@@ -7,6 +7,7 @@ replacements), atomic (the group is applied as a whole or not at all).
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -154,8 +155,10 @@ class Edit:
         self.inner: list[Edit] = []
 
 
-def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int]:
-    """The text with the edits that fit together, and how many were applied and dropped.
+def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int, list[tuple[int, int, int, int]]]:
+    """The text with the edits that fit together, how many were applied and dropped, and the pieces put in.
+
+    A piece is (start, end) in the source and (to_start, to_end) in the text.
 
     Replacements come by falling priority, then from the end. One that overlaps nothing held is held;
     one that wraps held ones takes them in if its text has the wrapped source exactly once; what
@@ -166,10 +169,12 @@ def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int]:
     """
     by_rank = sorted(edits, key=lambda e: (-e.priority, -e.start))
     replacements = [e for e in by_rank if e.end > e.start]
-    held: list[Edit] = []
+    held: list[Edit] = []  # apart from each other, in the order of the source
     landed: set[int] = set()
     for e in replacements:
-        met = sorted((h for h in held if h.start < e.end and e.start < h.end), key=lambda h: h.start)
+        first_after = bisect_right(held, e.start, key=lambda h: h.end)
+        behind = bisect_left(held, e.end, key=lambda h: h.start)
+        met = held[first_after:behind]
         if met:
             first, last = met[0].start, met[-1].end
             wrapped = source[first:last]
@@ -180,13 +185,12 @@ def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int]:
                 parts += [source[at : h.start], h.text]
                 at = h.end
             e.text, e.inner = e.text.replace(wrapped, "".join(parts)), met
-            held = [h for h in held if h not in met]
-        held.append(e)
+        held[first_after:behind] = [e]
         landed.add(id(e))
     lost = {e.grp for e in replacements if e.atomic and e.grp is not None and id(e) not in landed}
     for e in [h for h in held if h.atomic and h.grp in lost]:
-        held.remove(e)
-        held += e.inner
+        at = held.index(e)
+        held[at : at + 1] = e.inner
         landed.discard(id(e))
     landed -= {id(e) for e in replacements if e.atomic and e.grp in lost}
     live = {e.grp for e in replacements if id(e) in landed and e.grp is not None}
@@ -196,7 +200,8 @@ def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int]:
         if e.end > e.start or (e.start, e.text) in seen:
             continue
         seen.add((e.start, e.text))
-        around = next((h for h in held if h.start < e.start < h.end), None)
+        at = bisect_left(held, e.start, key=lambda h: h.start) - 1  # the last that starts before
+        around = held[at] if at >= 0 and held[at].end > e.start else None
         if around is None:
             if not (e.enabler and e.grp is not None and e.grp not in live):
                 placed.append(e)
@@ -209,18 +214,21 @@ def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int]:
                 around.text = around.text[:at] + e.text + around.text[at:]
                 landed.add(id(e))
                 break
-    out, at = [], 0
+    out, at, to, pieces = [], 0, 0, []
     for e in sorted([*held, *placed], key=lambda e: (e.start, e.end)):
         out += [source[at : e.start], e.text]
-        at = e.end
-    return "".join([*out, source[at:]]), len(landed), len(edits) - len(landed)
+        to += e.start - at
+        pieces.append((e.start, e.end, to, to + len(e.text)))
+        at, to = e.end, to + len(e.text)
+    return "".join([*out, source[at:]]), len(landed), len(edits) - len(landed), pieces
 
 
-REWRITTEN = "path string, text string, applied int, dropped int"
+_PIECE = pa.struct([(c, pa.int32()) for c in ("start", "end", "to_start", "to_end")])
+REWRITTEN = "path string, text string, applied int, dropped int, pieces array<struct<start:int,end:int,to_start:int,to_end:int>>"
 
 
 def rewrite(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """path, text, applied, dropped: each script (path, text) with its edits; a script's edits are bounded by its length."""
+    """path, text, applied, dropped, pieces (what was put in, and where): each script (path, text) with its edits; a script's edits are bounded by its length."""
     ordered = F.struct("start", "end", "text", "priority", "grp", "enabler", "atomic")
     by_path = edits.groupBy("path").agg(F.sort_array(F.collect_list(ordered)).alias("edits"))
 
@@ -229,8 +237,8 @@ def rewrite(files: DataFrame, edits: DataFrame) -> DataFrame:
             rows = []
             for path, text, es in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 made = resolve(text or "", [Edit(**e) for e in es or ()])
-                rows.append((path, *made))
+                rows.append((path, *made[:3], [dict(zip(("start", "end", "to_start", "to_end"), x, strict=True)) for x in made[3]]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["path", "text", "applied", "dropped"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(_PIECE)), strict=True)], names=["path", "text", "applied", "dropped", "pieces"])
 
     return files.join(by_path, "path", "left").select("path", "text", "edits").mapInArrow(run, REWRITTEN)

@@ -95,7 +95,7 @@ def walked_sequences(b: DataFrame) -> DataFrame:
 def undecidable(b: DataFrame) -> DataFrame:
     """path, func of bodies with a call that no list knows, so that what it does to a trace is open."""
     known = F.col("name").isin(*TRANSPARENT, *R.ABORTING, *R.ABORTING_FROM, *R.ENGINE_GLOBALS) | F.substring_index("name", ".", 1).isin(*R.ENGINE_SPACES) & F.col("name").contains(".")
-    calls = of(b, "call").filter(~F.coalesce(known, F.lit(False)))
+    calls = of(b, "call").filter(~F.coalesce(known & F.col("use").isNull(), F.lit(False)))
     return calls.select("path", "func").unionByName(of(b, "invoke").filter(~F.col("name").isin(*R.ENGINE_METHODS)).select("path", "func")).distinct()
 
 
