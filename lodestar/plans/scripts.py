@@ -30,7 +30,7 @@ def scripts(suppliers: DataFrame) -> DataFrame:
         F.concat(F.lit("seen = "), pick("total", "1", "1", "1")),
         F.lit("function M.measure(list, pos, s)"),
         F.lit("  local n = table.getn(list) + string.len(s)"),
-        F.concat(F.lit("  "), _times("alife():go(); ", a)),
+        F.concat(F.lit("  "), F.when(b == 3, _times("alife():go(); ", a)).otherwise(_times("alife():object(n); ", a))),
         F.lit("  if n > 3 then alife() else alife(); alife() end"),
         F.concat(F.lit('  if string.find(s, "'), pick("w", "a.b", "w", "w"), n, F.lit('") then return n end')),
         F.concat(F.lit("  local p = math.pow(n, "), pick("2", "0.5", "5", "3"), F.lit(") + n ^ "), F.when(a < 3, "2").otherwise("7")),
@@ -103,7 +103,7 @@ def rule_uncached_globals(t):
     return R.RULES["uncached_globals"](stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line", F.col("detail")["globals"].alias("globals"))
 
 
-@query(f"""SELECT path, 'repeated_alife' AS pattern, 'GREEN' AS severity, CASE WHEN a = 0 THEN 7 ELSE 6 END AS line, a + 3 AS calls, a + 2 AS worst FROM {_S} WHERE a >= 2
+@query(f"""SELECT path, 'repeated_alife' AS pattern, 'GREEN' AS severity, CASE WHEN a = 0 THEN 7 ELSE 6 END AS line, a + 3 AS calls, a + 2 AS worst FROM {_S} WHERE a >= 2 AND b <> 3
     UNION ALL SELECT path, 'repeated_self_object_id()', 'GREEN', 19, 4, 4 FROM {_S} WHERE b = 2 UNION ALL SELECT path, 'repeated_time_global', 'GREEN', 25, 2, 2 FROM {_S} WHERE a < 3 AND b <> 3""")
 def rule_repeated(t):
     d = F.col("detail")
@@ -125,7 +125,7 @@ def rule_debug_output(t):
 
 @query(_hits(("'module_global_write'", "RED", 3, "true"), ("'global_write'", "RED", 13, "true")))
 def rule_global_writes(t):
-    return _rows(t, "global_writes")
+    return R.global_writes(stored_facts(scripts(t("supplier"))), module_level=True).select("path", "pattern", "severity", "line")
 
 
 @query(_hits(("'dead_code_while_false'", "GREEN", 12, "b = 2"), ("'dead_code_after_break'", "GREEN", 20, "b = 0")))
@@ -187,7 +187,7 @@ def script_failures(t):
 
 
 _FIXED = r"""concat_ws(chr(10), 'local M = {}', 'local total = ' || n, 'seen = ' || CASE b WHEN 0 THEN 'total' ELSE '1' END, 'function M.measure(list, pos, s)',
-    '  local n = #list + #s', '  ' || repeat('alife():go(); ', a::INT), '  if n > 3 then alife() else alife(); alife() end',
+    '  local n = #list + #s', '  ' || repeat(CASE WHEN b = 3 THEN 'alife():go(); ' ELSE 'alife():object(n); ' END, a::INT), '  if n > 3 then alife() else alife(); alife() end',
     '  if string.find(s, "' || CASE b WHEN 1 THEN 'a.b' ELSE 'w' END || n || '"' || CASE b WHEN 1 THEN '' ELSE ', 1, true' END || ') then return n end',
     '  local p = ' || CASE b WHEN 0 THEN '(n*n)' WHEN 1 THEN 'math.sqrt(n)' WHEN 2 THEN 'math.pow(n, 5)' ELSE '(n*n*n)' END || ' + ' || CASE WHEN a < 3 THEN '(n*n)' ELSE 'n ^ 7' END,
     '  if pos:distance_to_sqr(list[1]) < ' || (n * n + n) || '.25 then print(n) else return "ab" end', '  if n ~= p then return p else n = 0 end',
@@ -246,7 +246,7 @@ def rewrite_cleanups(t):
 _ALL = [name for name in ORACLE_SQL if name.startswith("rule_")]
 
 
-@query(" UNION ALL ".join(f"SELECT path, pattern, severity, line FROM ({ORACLE_SQL[name]})" for name in _ALL))
+@query(" UNION ALL ".join(f"SELECT path, pattern, severity, line FROM ({ORACLE_SQL[name]}) WHERE pattern <> 'module_global_write'" for name in _ALL))
 def all_findings(t):
     """Every rule over every script, from facts that are parsed and written once."""
     return R.findings(stored_facts(scripts(t("supplier")))).select("path", "pattern", "severity", "line")

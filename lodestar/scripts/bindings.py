@@ -62,6 +62,8 @@ class Binder:
         self.text, self.rows = text, []
         self.scopes: list[dict[str, _Variable]] = [{}]
         self.func, self.block_at, self.loops, self.blocked, self.test = -1, -1, (), False, None
+        self.nest: tuple[str, ...] = ()  # block:statement from the function's body to here
+        self.again = False  # in a test that is read in every round
         self.at: Node | None = None
 
     def read(self) -> list[tuple]:
@@ -73,6 +75,8 @@ class Binder:
 
     def add(self, kind: str, node: Node, name: str | None, use: str | None = None, decl: int = -1, home: int = -1, **more) -> None:
         at = self.at or node
+        if kind in ("call", "invoke", "field"):
+            more |= {"nest": " ".join(self.nest), "again": "1" if self.again else None}
         pairs = [(k, str(v)) for k, v in more.items() if v is not None]
         self.rows.append((kind, name, decl, self.func, home, use, node.line, node.last, node.lo, node.hi, self.block_at, at.lo, at.hi, list(self.loops), pairs))
 
@@ -118,9 +122,9 @@ class Binder:
         self.block_at = outer
 
     def statement(self, s: Node) -> None:
-        outer, self.at = self.at, s
+        outer, self.at, self.nest = (self.at, self.nest), s, (*self.nest, f"{self.block_at}:{s.lo}")
         getattr(self, f"on_{s.kind}", self.others)(s)
-        self.at = outer
+        self.at, self.nest = outer
 
     def others(self, s: Node) -> None:
         pass
@@ -228,7 +232,9 @@ class Binder:
 
     def on_while(self, s: Node) -> None:
         self.loop_row(s, "while")
+        outer, self.again = self.again, True
         self.expression(s.test)
+        self.again = outer
         self.inside(s, lambda: self.block(s.body))
 
     def on_repeat(self, s: Node) -> None:
@@ -239,7 +245,9 @@ class Binder:
             self.scopes.append({})
             for x in s.body.body:
                 self.statement(x)
+            before, self.again = self.again, True
             self.expression(s.test)  # the test sees the body's names
+            self.again = before
             self.scopes.pop()
             self.block_at = outer
 
@@ -286,8 +294,8 @@ class Binder:
             self.mention(s.target, "written" if s.method is None else "stored", value="function")
         elif s.target is not None:
             self.some(s.target.of, "stored")
-        outer = self.func, self.loops, self.blocked, self.test
-        self.func, self.blocked, self.loops, self.test = s.lo, self.blocked or bool(self.loops), (), None
+        outer = self.func, self.loops, self.blocked, self.test, self.nest, self.again
+        self.func, self.blocked, self.loops, self.test, self.nest, self.again = s.lo, self.blocked or bool(self.loops), (), None, (), False
         self.scopes.append({})
         if s.method:
             self.declare(s, "self", "self")
@@ -296,7 +304,7 @@ class Binder:
                 self.declare(n, "parameter")
         self.block(s.body)
         self.scopes.pop()
-        self.func, self.loops, self.blocked, self.test = outer
+        self.func, self.loops, self.blocked, self.test, self.nest, self.again = outer
 
     # -- expressions
 
@@ -314,7 +322,7 @@ class Binder:
         elif kind == "call":
             self.on_call(e, statement, header)
         elif kind == "invoke":
-            self.add("invoke", e, e.key.id)
+            self.add("invoke", e, e.key.id, receiver=self.of(e.of), args=len(e.args))
             self.some(e.of, "receiver", method=e.key.id)
             for a in e.args:
                 if self.scratch(a):
@@ -342,7 +350,7 @@ class Binder:
             self.vector(e, None)
             return
         own = e.of.id if full is None and e.of.kind == "name" else None  # a local that is called
-        self.add("call", e, full or own, "local" if own else None)
+        self.add("call", e, full or own, "local" if own else None, args=len(args), direct="1" if self.of(e.of) == full else None)
         if full == "RegisterScriptCallback" and len(args) > 1:
             self.add("register", e, self.of(args[1]), args[0].value if args[0].kind == "string" else self.of(args[0]))
         direct = self.of(e.of) == full

@@ -297,6 +297,81 @@ def parts_edits(files: DataFrame, b: DataFrame) -> DataFrame:
     return head.unionByName(each).unionByName(tail)
 
 
+# -- reads that one local can hold
+
+#: Names of the locals that hold repeated reads.
+HELD_NAMES = {
+    "time_global": "tg", "alife": "sim", "system_ini": "ini", "device": "dev", "get_console": "console", "get_hud": "hud", "game_ini": "g_ini", "getFS": "fs",
+    "level.name": "level_name", "db.actor": "actor", "db.storage": "db_storage", "db.offline_objects": "db_offline_objects", "db.OnlineStalkers": "db_online_stalkers",
+    "db.zone_by_name": "db_zone_by_name", "db.actor_binder": "db_actor_binder", "db.script_ids": "db_script_ids",
+}
+HELD_SUFFIXES = {"section": "sec", "id": "id", "clsid": "cls", "story_id": "sid", "name": "name", "section_name": "secname", "character_community": "comm", "profile_name": "profile"}
+
+
+def read_sites(b: DataFrame) -> DataFrame:
+    """path, func, name (as in `rules.repeated_reads`), getter, lo, hi, nest (block:statement from the body down), again."""
+    rows = b.filter("func >= 0")
+    calls = of(rows, "call").filter((more("args") == "0") & more("direct").isNotNull() & F.col("name").isin(*R.REPEATED_CALLS)).select("*", F.lit(False).alias("getter"))
+    fields = of(rows, "field").filter(F.col("name").isin(*R.REPEATED_INDEXES)).select("*", F.lit(False).alias("getter"))
+    getters = of(rows, "invoke").filter((more("args") == "0") & F.col("name").isin(*R.REPEATED_METHODS)).select("*", F.lit(True).alias("getter"))
+    getters = getters.withColumn("name", F.concat(more("receiver"), F.lit(":"), "name", F.lit("()")))
+    every = calls.unionByName(fields).unionByName(getters)
+    return every.select("path", "func", "name", "getter", "lo", "hi", F.split(more("nest"), " ").alias("nest"), more("again").isNotNull().alias("again"))
+
+
+def dominators(sites: DataFrame) -> DataFrame:
+    """path, func, name, getter, at, direct, first, first_hi: the statement before which one read dominates all of a body's sites of a name.
+
+    In a language of blocks, a statement dominates what comes after it in its block and below. The
+    sites' nests agree down to the innermost block that holds them all; the first statement of that
+    block with a site in it is the place. `direct`: the first site is evaluated by that statement
+    itself, not by a block below it. Sites in tests that are read every round have no such place.
+    """
+    key = ["path", "func", "name"]
+    blocks = F.transform("nest", lambda x: F.substring_index(x, ":", 1))
+    by = sites.groupBy(*key).agg(
+        F.min(F.size("nest")).alias("least"), F.array_sort(F.collect_list(F.struct("lo", "hi", "nest", blocks.alias("blocks")))).alias("sites"), F.bool_or("again").alias("again"), F.bool_or("getter").alias("getter"))  # of one body
+    first = F.col("sites")[0]
+    agree = F.filter(F.sequence(F.lit(0), F.col("least") - 1), lambda d: F.forall("sites", lambda s: F.slice(s["blocks"], 1, d + 1) == F.slice(first["blocks"], 1, d + 1)))
+    deep = by.filter("NOT again AND least > 0").withColumn("level", F.array_max(agree)).filter("level IS NOT NULL")
+    at = F.substring_index(F.get(first["nest"], F.col("level")), ":", -1).cast("int")
+    return deep.select(*key, "getter", at.alias("at"), (F.size(first["nest"]) == F.col("level") + 1).alias("direct"), first["lo"].alias("first"), first["hi"].alias("first_hi"))
+
+
+def held_reads(files: DataFrame, facts: DataFrame, b: DataFrame, severities: tuple[str, ...] = ("GREEN",)) -> DataFrame:
+    """path, func, name, held (a free name), place, indent: repeated reads and where the local that holds them goes.
+
+    Where the first read is only made on some way through its statement, a plain read goes to the start
+    of the body, which dominates everything; a getter is left alone, as its receiver may be nil there.
+    So is one behind `receiver and`, and one of a computed receiver. The place has to begin its line.
+    """
+    ids = of(facts, "scope").select("path", F.col("func").alias("id"), F.col("lo").alias("func"), more("body").cast("int").alias("body"))
+    asked = R.repeated_reads(facts).filter(F.col("severity").isin(*severities)).select("path", F.col("func").alias("id"), "name").join(ids, ["path", "id"]).drop("id")
+    found = asked.join(dominators(read_sites(b)), ["path", "func", "name"]).join(files.select("path", F.col("text").alias("source")), "path")
+    receiver = F.substring_index("name", ":", 1)
+    before = F.substr("source", F.col("at") + 1, F.col("first") - F.col("at"))
+    guarded = F.regexp_replace(before, r"\s+", " ").contains(F.concat(receiver, F.lit(" and ")))
+    found = found.filter(~F.col("getter") | F.col("direct") & ~guarded & ~receiver.rlike(r"[()\[\]]"))
+    found = found.withColumn("at", F.when(F.col("direct"), F.col("at")).otherwise(F.col("body")))
+    upto = F.substr("source", F.lit(1), "at")
+    found = found.filter(upto.rlike(r"(^|\n)[ \t]*$")).withColumn("indent", F.regexp_extract(upto, r"(?:^|\n)([ \t]*)$", 1))
+    plain = F.create_map(*[F.lit(x) for kv in HELD_NAMES.items() for x in kv])[F.col("name")]
+    suffix = F.create_map(*[F.lit(x) for kv in HELD_SUFFIXES.items() for x in kv])[F.regexp_extract("name", r":(\w+)\(", 1)]
+    base = F.when(F.col("getter"), F.concat(F.replace(receiver, F.lit("."), F.lit("_")), F.lit("_"), suffix)).otherwise(plain)
+    named = found.join(names_taken(b), "path").withColumn("held", free_name(base, F.col("taken"))).filter("held IS NOT NULL")
+    return named.select("path", "func", "name", "getter", "held", (F.col("at") - F.length("indent")).alias("place"), "indent")
+
+
+def hold_edits(files: DataFrame, facts: DataFrame, b: DataFrame, severities: tuple[str, ...] = ("GREEN",)) -> DataFrame:
+    """A local for each repeated read, put where it dominates all of them, and the reads through it."""
+    held = stored(held_reads(files, facts, b, severities))
+    grp = F.concat_ws(":", F.lit("hold"), "func", "name")
+    value = F.when(F.col("getter") | F.col("name").isin(*R.REPEATED_INDEXES), F.col("name")).otherwise(F.concat("name", F.lit("()")))
+    head = edit(held, "hold", "place", "place", F.concat("indent", F.lit("local "), "held", F.lit(" = "), value, F.lit("\n")), 100, grp, enabler=True)
+    sites = read_sites(b).select("path", "func", "name", "lo", "hi").join(held.select("path", "func", "name", "held"), ["path", "func", "name"])
+    return head.unionByName(edit(sites, "hold", "lo", "hi", F.col("held"), 0, grp))
+
+
 PROVEN = {"pairs_to_ipairs": pairs_to_ipairs, "append_loop_counter": append_loop_counter, "vectors_in_loops": vectors_in_loops, "local_latches": local_latches}
 
 
@@ -312,6 +387,6 @@ def proven_findings(facts: DataFrame, b: DataFrame, rules: list[str] | None = No
 def proven_edits(files: DataFrame, facts: DataFrame, b: DataFrame, yellow: bool = False) -> DataFrame:
     """All edits that are safe; with `yellow` also counters, scratch vectors and parts, each claim with one winner."""
     if not yellow:
-        return edits_of(facts).unionByName(ipairs_edits(facts, b))
-    plain = edits_of(facts, tuple(k for k in SAFE if k != "append")).unionByName(ipairs_edits(facts, b))
+        return edits_of(facts).unionByName(ipairs_edits(facts, b)).unionByName(hold_edits(files, facts, b))
+    plain = edits_of(facts, tuple(k for k in SAFE if k != "append")).unionByName(ipairs_edits(facts, b)).unionByName(hold_edits(files, facts, b, ("GREEN", "YELLOW")))
     return plain.unionByName(arbitrated(facts, files, b)).unionByName(scratch_edits(b)).unionByName(parts_edits(files, b))

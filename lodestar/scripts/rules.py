@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sequences import max_path
-from .facts import HOT, PER_FRAME
+from .facts import HOT, MAY_BE_NIL, PER_FRAME
 
 FINDING = ["path", "pattern", "severity", "line", "message", "detail", "lo", "hi"]
 THRESHOLD = 4
@@ -160,9 +160,17 @@ def uncached_globals(facts):
     return finding(by, "uncached_globals_summary", "GREEN", F.format_string("cache %d globals in %s", F.size("calls"), "function"), {"globals": F.to_json("calls"), "hot": F.col("hot")})
 
 
-@rule
-def repeated(facts):
-    """Engine calls without arguments, getters and properties that a body repeats, unless what they are read from is rebound."""
+def unwarned_chains(facts: DataFrame) -> DataFrame:
+    """path, func, name of calls that may give nil and are used through a chain that nothing warns of.
+
+    Held in a local, the chain would be warned of; so such calls stay as they are.
+    """
+    chains = of(facts, "call").filter(more("method").isNotNull() & more("module").endswith("()")).withColumn("held", F.expr("substr(more['module'], 1, length(more['module']) - 2)"))
+    return chains.filter(F.col("held").isin(*MAY_BE_NIL) & ~F.col("name").isin(*MAY_BE_NIL)).select("path", "func", F.col("held").alias("name")).distinct()
+
+
+def repeated_reads(facts: DataFrame) -> DataFrame:
+    """path, func, name, flat, worst, line, severity, function, hot: engine calls without arguments, getters and properties that a body repeats often enough, unless what they are read from is rebound."""
     calls = of(facts, "call").filter((F.size("args") == 0) & (F.col("func") >= 0))
     plain = calls.filter(F.col("name").isin(*REPEATED_CALLS) & more("bound").isNull()).select("path", "func", "name", "line", "chain", F.lit("GREEN").alias("severity"))
     grade = F.create_map(*[F.lit(x) for kv in REPEATED_METHODS.items() for x in kv])[more("func")]
@@ -178,7 +186,13 @@ def repeated(facts):
     stale = named.select(*key, "line", F.explode("ends").alias("end")).join(writes, ["path", "func", "end"]).filter("at >= line").select(*key).distinct()
     least = F.when(F.col("name") == "time_global", CLOCK_THRESHOLD).otherwise(F.when(F.col("hot"), THRESHOLD - 1).otherwise(THRESHOLD))
     kept = named.join(stale, key, "left_anti").join(functions(facts), ["path", "func"]).filter(F.col("worst") >= least)
-    kept = kept.join(unheld_clocks(facts), key, "left_anti")
+    return kept.join(unheld_clocks(facts), key, "left_anti").join(unwarned_chains(facts), key, "left_anti")
+
+
+@rule
+def repeated(facts):
+    """Reads that a body repeats and one local could hold."""
+    kept = repeated_reads(facts)
     pattern = F.concat(F.lit("repeated_"), F.regexp_replace("name", "[.:]", "_"))
     return finding(kept, pattern, F.col("severity"), F.format_string("%s read %dx in %s", "name", "flat", "function"), {"count": F.col("flat"), "worst": F.col("worst")})
 
@@ -194,8 +208,9 @@ def unheld_clocks(facts: DataFrame) -> DataFrame:
     yields = of(facts, "call").filter(F.col("name").startswith("coroutine.")).select(*key)
     loops = of(facts, "loop").filter(F.col("name").isin("while", "repeat")).select(*key)
     early = of(facts, "leave").filter(F.size("chain") > 0).select(*key, "lo").join(reads, key).filter(F.col("lo") < F.coalesce("sure", "first")).select(*key)
-    held = of(facts, "assign").filter(more("value") == "time_global()").select(*key, "name")
-    timed = of(facts, "elapsed").select(*key, "name").join(held, [*key, "name"], "left_semi").select(*key)
+    # Only a stamp that was taken before the difference measures the body's own time; one taken after it is a throttle.
+    held = of(facts, "assign").filter(more("value") == "time_global()").select(*key, "name", F.col("lo").alias("taken"))
+    timed = of(facts, "elapsed").select(*key, "name", "lo").join(held, [*key, "name"]).filter("taken < lo").select(*key)
     some = reads.filter("sure IS NULL").select(*key)
     bad = yields.unionByName(loops).unionByName(early).unionByName(timed).unionByName(some).distinct()
     return bad.select(*key, F.lit("time_global").alias("name"))
@@ -230,12 +245,14 @@ def debug_output(facts):
 
 
 @rule
-def global_writes(facts):
-    """A name's writes in a script, grouped: in functions without a definition at the script's top (a forgotten local?), or of the script's own globals."""
+def global_writes(facts, module_level: bool = False):
+    """A name's writes in a script, grouped: in functions without a definition at the script's top (a forgotten local?); with `module_level` also those of the script's own globals."""
     own = of(facts, "module_name").select("path", "name").distinct().withColumn("own", F.lit(True))
     writes = of(facts, "global_write").filter(~F.col("name").startswith("_") & (F.upper("name") != F.col("name"))).join(own, ["path", "name"], "left")
     accidental = (F.col("func") >= 0) & F.col("own").isNull()
     grouped = writes.withColumn("accidental", accidental).groupBy("path", "name", "accidental").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("line")).alias("lines"))
+    if not module_level:
+        grouped = grouped.filter("accidental")
     pattern = F.when(F.col("accidental"), "global_write").otherwise("module_global_write")
     shown = F.concat_ws(", ", F.slice("lines", 1, 8))
     return finding(grouped, pattern, "RED", F.concat("name", F.lit(" written on lines "), shown), {"count": F.col("n"), "lines": F.to_json("lines")})
