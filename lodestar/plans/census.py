@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.time import micros
 from ..operators import census as C
+from ..operators import documents as D
+from ..operators import tallies as T
+from ..sources import captures as C
+from ..sources import json_files as J
 from .catalog import query
 
 
@@ -133,46 +137,42 @@ def new_and_gone(t):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lineitem GROUP BY 1, 2")
 def counter_merge(t):
-    n = t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("l_returnflag", "l_linestatus", "n", F.round(100 * F.col("n") / F.col("all"), 6).alias("pct"))  # one row joined
+    return T.counter_shares(t("lineitem"), ["l_returnflag", "l_linestatus"])
 
 
 @query("SELECT o_custkey, sum(o_orderkey % 9)::BIGINT AS total, array_to_string(list_sort(list(o_orderkey)), ',') AS items, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
 def scan_merge(t):
-    return t("orders").groupBy("o_custkey").agg(F.sum(F.col("o_orderkey") % 9).alias("total"), F.array_join(F.sort_array(F.flatten(F.collect_list(F.array("o_orderkey")))), ",").alias("items"), F.count_distinct("o_orderstatus").alias("kinds"))
+    rows = t("orders").select("o_custkey", (F.col("o_orderkey") % 9).alias("total"), F.array("o_orderkey").alias("items"), F.col("o_orderstatus").alias("kinds"))
+    return T.merged_scans(rows, "o_custkey", ["total"], "items", "kinds").withColumn("items", F.array_join("items", ","))
 
 
 @query("""SELECT l_suppkey, count(*) AS sites, count(DISTINCT l_orderkey) AS bodies, count(*) FILTER (l_quantity > 30) AS in_loop FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
 def reachable_reads(t):
     reachable = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t("lineitem").join(reachable, "l_orderkey", "left_semi").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("l_orderkey").alias("bodies"), F.count_if(F.col("l_quantity") > 30).alias("in_loop"))
+    return T.reachable_reads(t("lineitem"), "l_orderkey", reachable, "l_suppkey", F.col("l_quantity") > 30)
 
 
 @query("SELECT p_type, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_brand))[1:5], ',') AS examples FROM part GROUP BY 1")
 def functor_census(t):
-    return t("part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set("p_brand")), 1, 5), ",").alias("examples"))
+    return T.with_examples(t("part"), "p_type", "p_brand").withColumn("examples", F.array_join("examples", ","))
 
 
 @query("""SELECT l_partkey, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS hit, count(*) FILTER (l_returnflag = 'A' AND l_linestatus <> 'F') AS missed, count(*) FILTER (l_returnflag <> 'A') AS unresolved FROM lineitem GROUP BY 1""")
 def registration_crosstab(t):
-    a, f = F.col("l_returnflag") == "A", F.col("l_linestatus") == "F"
-    return t("lineitem").groupBy("l_partkey").agg(F.count_if(a & f).alias("hit"), F.count_if(a & ~f).alias("missed"), F.count_if(~a).alias("unresolved"))
+    return T.registration_table(t("lineitem"), "l_partkey", F.col("l_returnflag") == "A", F.col("l_linestatus") == "F")
 
 
 @query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS early, count(*) FILTER (event_type = 'purchase') AS late, count(*) FILTER (value > 300) AS slow FROM events GROUP BY 1)
     SELECT user_id, CASE WHEN early + late = 0 THEN 'unknown' WHEN late < 0.05 * (early + late) THEN 'at load' WHEN slow > 0 THEN 'in play' ELSE 'by windows' END AS mode FROM c""")
 def burst_modes(t):
     kind = F.col("event_type")
-    c = t("events").groupBy("user_id").agg(F.count_if(kind == "signup").alias("early"), F.count_if(kind == "purchase").alias("late"), F.count_if(F.col("value") > 300).alias("slow"))
-    both = F.col("early") + F.col("late")
-    return c.select("user_id", F.when(both == 0, "unknown").when(F.col("late") < 0.05 * both, "at load").when(F.col("slow") > 0, "in play").otherwise("by windows").alias("mode"))
+    return T.burst_modes(t("events"), "user_id", kind == "signup", kind == "purchase", F.col("value") > 300)
 
 
 @query("""WITH s AS (SELECT l_partkey, l_linestatus, max(l_discount) >= 0.09 AS stopped, bool_or(l_quantity > 48) AS hard, count(*) FILTER (l_tax > 0.06) AS aborts FROM lineitem GROUP BY 1, 2)
     SELECT l_partkey, l_linestatus, CASE WHEN hard THEN 'interpreted' WHEN stopped THEN 'compiled' WHEN aborts > 0 THEN 'mixed' ELSE 'no-trace' END AS mode FROM s""")
 def trace_classes(t):
-    s = t("lineitem").groupBy("l_partkey", "l_linestatus").agg(F.bool_or(F.col("l_quantity") > 48).alias("hard"), F.bool_or(F.col("l_discount") >= 0.09).alias("stopped"), F.count_if(F.col("l_tax") > 0.06).alias("aborts"))
-    return s.select("l_partkey", "l_linestatus", F.when(F.col("hard"), "interpreted").when(F.col("stopped"), "compiled").when(F.col("aborts") > 0, "mixed").otherwise("no-trace").alias("mode"))
+    return T.trace_classes(t("lineitem"), ["l_partkey", "l_linestatus"], F.col("l_quantity") > 48, F.col("l_discount") >= 0.09, F.col("l_tax") > 0.06)
 
 
 @query("""WITH p AS (SELECT l_orderkey AS line, bool_or(l_returnflag = 'R') AS predicted FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS line, o_orderstatus = 'F' AS observed FROM orders WHERE o_totalprice > 50000)
@@ -180,13 +180,13 @@ def trace_classes(t):
 def prediction_agreement(t):
     predicted = t("lineitem").groupBy(F.col("l_orderkey").alias("line")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("predicted"))
     observed = t("orders").filter("o_totalprice > 50000").select(F.col("o_orderkey").alias("line"), (F.col("o_orderstatus") == "F").alias("observed"))
-    return predicted.join(observed, "line").agg(F.count(F.lit(1)).alias("covered"), F.round(F.avg((F.col("predicted") == F.col("observed")).cast("int")), 6).alias("agreement"))
+    return T.agreement(predicted, observed, "line")
 
 
 @query("""SELECT event_id, (event_type IN ('click', 'view') AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS known FROM events WHERE event_type IN ('click', 'view') AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def used_symbols(t):
     used = t("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
-    return t("events").filter(F.col("event_type").isin("click", "view")).join(used, "user_id", "left_semi").select("event_id", F.lit(True).alias("known"))
+    return T.used_among(t("events").filter(F.col("event_type").isin("click", "view")), "user_id", used).select("event_id", F.lit(True).alias("known"))
 
 
 @query("SELECT p_partkey, split_part(n, ':', 1) AS receiver, CASE WHEN contains(n, ':') THEN split_part(n, ':', 2) ELSE split_part(n, '.', 2) END AS member FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || ':' || p_size ELSE 'x.' || p_size END AS n FROM part)")
@@ -196,11 +196,18 @@ def split_names(t):
     return n.select("p_partkey", F.split_part("n", F.lit(":"), F.lit(1)).alias("receiver"), F.when(F.contains("n", F.lit(":")), F.split_part("n", F.lit(":"), F.lit(2))).otherwise(F.split_part("n", F.lit("."), F.lit(2))).alias("member"))
 
 
-@query("""SELECT c_custkey, 'theme' AS key, CASE WHEN c_acctbal < 0 THEN 'dark' ELSE 'light' END AS value FROM customer UNION ALL SELECT c_custkey, 'size', '12' FROM customer UNION ALL SELECT c_custkey, 'own', c_name FROM customer WHERE c_acctbal < 0""")
+@query("""SELECT c_custkey, 'theme.name' AS key, CASE WHEN c_acctbal < 0 THEN '"' || c_name || '"' ELSE '"light"' END AS value FROM customer
+    UNION ALL SELECT c_custkey, 'tags', CASE WHEN c_acctbal < 0 THEN '[]' ELSE '[1,2]' END FROM customer
+    UNION ALL SELECT c_custkey, unnest(['theme.font.size', 'theme.font.bold']), unnest(['12', 'false']) FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_mktsegment IS NULL
+    UNION ALL SELECT c_custkey, 'theme.font', '"plain"' FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def merged_settings(t):
-    default = F.create_map(F.lit("theme"), F.lit("light"), F.lit("size"), F.lit("12"))
-    own = F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("theme"), F.lit("dark"), F.lit("own"), F.col("c_name"))).otherwise(F.create_map().cast("map<string,string>"))
-    return t("customer").select("c_custkey", F.explode(F.map_concat(F.map_filter(default, lambda k, v: ~F.coalesce(F.array_contains(F.map_keys(own), k), F.lit(False))), own)).alias("key", "value"))
+    """Three layers with nested settings: everybody's, an account's, and a segment's that replaces an object by a text."""
+    default = F.lit('{"theme": {"name": "light", "font": {"size": 12, "bold": false}}, "tags": [1, 2]}')
+    own = F.when(F.col("c_acctbal") < 0, F.concat(F.lit('{"theme": {"name": "'), "c_name", F.lit('"}, "tags": []}')))
+    last = F.when(F.col("c_mktsegment") == "BUILDING", F.lit('{"theme": {"font": "plain"}}'))
+    layers = t("customer").select("c_custkey", F.posexplode(F.array(default, own, last)).alias("layer", "document"))
+    merged = D.merged_layers(layers, "c_custkey", "layer", "document")
+    return merged.select("c_custkey", F.array_join("path", ".").alias("key"), "value")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey > 20 THEN 0 WHEN s_nationkey % 2 = 0 THEN 2 ELSE 1 END AS ideas FROM supplier""")
@@ -208,28 +215,21 @@ def idea_documents(t):
     """Ideas as an object with a list, or a bare list; entries without an id, and texts that are no documents, are left out."""
     name = F.concat(F.lit('{"id": "'), "s_name", F.lit('", "score": 1.5}'))
     text = F.when(F.col("s_nationkey") > 20, "not json").when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('{"ideas": ['), name, F.lit(","), name, F.lit(', {"title": "x"}]}'))).otherwise(F.concat(F.lit("["), name, F.lit(", 7]")))
-    v = F.try_parse_json(text)
-    listed = F.coalesce(F.try_variant_get(v, "$.ideas", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    ids = F.filter(F.transform(listed, lambda x: F.try_variant_get(x, "$.id", "string")), lambda x: x.isNotNull())
-    return t("supplier").select("s_suppkey", F.size(ids).alias("ideas"))
+    ideas = J.ideas(t("supplier").select("s_suppkey", text.alias("text")), "s_suppkey", "text")
+    return t("supplier").join(ideas.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n")), "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).cast("int").alias("ideas"))
 
 
 @query("""SELECT s_suppkey, f.file AS file, f.n AS findings FROM supplier, (VALUES ('a.script', 2), ('b.script', 1)) f(file, n) WHERE s_acctbal > 0 UNION ALL SELECT s_suppkey, 'c.script', 1 FROM supplier WHERE s_acctbal <= 0""")
 def report_findings(t):
-    """Nested reports (mod, file, findings) back to rows."""
+    """Nested reports (mod, file, findings) back to rows, then counted."""
     some = '{"mods": {"m": {"a.script": [{"line": 1}, {"line": 2}]}, "n": {"b.script": [{"line": 3}]}}}'
     text = F.when(F.col("s_acctbal") > 0, some).otherwise('{"mods": {"m": {"c.script": [{"line": 1}]}}}')
-    doc = F.from_json(text, "mods map<string, map<string, array<struct<line:int>>>>")
-    files = t("supplier").select("s_suppkey", F.explode(doc["mods"]).alias("mod", "files")).select("s_suppkey", F.explode("files").alias("file", "found"))
-    return files.select("s_suppkey", "file", F.size("found").alias("findings"))
+    rows = J.report_rows(t("supplier").select("s_suppkey", text.alias("text")), "s_suppkey", "text")
+    return rows.groupBy("s_suppkey", "file").agg(F.count(F.lit(1)).cast("int").alias("findings"))
 
 
 @query("""SELECT seq, sum(n)::BIGINT AS n, max(m) AS worst FROM (SELECT user_id AS seq, count(*) AS n, max(value) AS m FROM events GROUP BY 1) GROUP BY 1""")
 def burst_log(t):
-    """Tagged lines with a list of values; of each the largest, of a number all lines."""
+    """Tagged lines with a list of values; of each number all lines' values and the largest."""
     lines = t("events").groupBy("user_id", "event_type").agg(F.collect_list("value").alias("values")).select(F.concat_ws("|", F.lit("BURST"), F.concat(F.lit("seq="), F.col("user_id")), F.concat(F.lit("v="), F.array_join(F.transform("values", lambda v: v.cast("string")), ","))).alias("line"))
-    from ..functions.text import kv_bag
-
-    bag = lines.filter(F.col("line").startswith("BURST|")).select(kv_bag(F.col("line")).alias("m"))
-    values = bag.select(F.col("m")["seq"].cast("long").alias("seq"), F.transform(F.split(F.col("m")["v"], ","), lambda x: x.try_cast("double")).alias("v"))
-    return values.groupBy("seq").agg(F.sum(F.size("v")).cast("long").alias("n"), F.max(F.array_max("v")).alias("worst"))
+    return C.burst_values(lines, "line", "BURST")

@@ -90,3 +90,13 @@ def hitches(records: DataFrame) -> DataFrame:
     buckets = F.transform(F.filter(F.split(F.coalesce(F.col("kv")["b"], F.lit("")), ","), lambda x: x != ""), lambda x: x.try_cast("long"))
     value = F.struct(_num("max", 0).alias("max_units"), _num("above", 0).cast("long").alias("above"), _num("first_t", 0).alias("first_t"), F.when(F.forall(buckets, lambda x: x.isNotNull()), buckets).otherwise(F.array().cast("array<bigint>")).alias("buckets"))
     return records.filter("kind = 'hit'").filter(_num("seq").isNotNull()).groupBy("path", F.coalesce(F.col("kv")["scope"], F.lit("cb")).alias("scope"), F.coalesce(F.col("kv")["name"], F.lit("?")).alias("name")).agg(F.max_by(value, "line_no").alias("v")).select("path", "scope", "name", "v.*")
+
+
+def burst_values(lines: DataFrame, raw: str, tag: str) -> DataFrame:
+    """seq, n, worst: lines `tag|seq=...|v=a,b,...`: the number of values of a sequence in all its lines, and the largest.
+
+    Other lines and those without a number of the sequence are left out; what isn't a number counts as a value but is no largest.
+    """
+    bag = lines.filter(F.col(raw).startswith(f"{tag}|")).select(kv_bag(F.col(raw)).alias("m"))
+    values = bag.select(number(F.col("m")["seq"]).cast("long").alias("seq"), F.transform(F.split(F.coalesce(F.col("m")["v"], F.lit("")), ","), lambda x: x.try_cast("double")).alias("v")).filter("seq IS NOT NULL")
+    return values.groupBy("seq").agg(F.sum(F.size("v")).cast("long").alias("n"), F.max(F.array_max("v")).alias("worst"))
