@@ -1,5 +1,5 @@
 """Registered queries and the SQL that says the same."""
 
-from . import catalog, census, proofs, runs, scripts
+from . import catalog, census, proofs, readers, runs, scripts
 
-__all__ = ["catalog", "census", "proofs", "runs", "scripts"]
+__all__ = ["catalog", "census", "proofs", "readers", "runs", "scripts"]

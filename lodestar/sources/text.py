@@ -8,20 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Encodings in the order they are tried; the last takes any bytes.
-ENCODINGS = ["utf-8-sig", "utf-8", "cp1251", "latin-1"]
-
+from .mods import encoding_of
 
 def decode(content: bytes) -> tuple[str, str]:
-    """(encoding, text) by the first encoding that takes all bytes; `utf-8-sig` only where there is a mark."""
-    for encoding in ENCODINGS:
-        if encoding == "utf-8-sig" and not content.startswith(b"\xef\xbb\xbf"):
-            continue
-        try:
-            return encoding, content.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    raise AssertionError("latin-1 takes any bytes")
+    """(encoding, text) by the rule for scripts (`mods.encoding_of`): cp1251 only where it gives Cyrillic letters."""
+    encoding = encoding_of(content)
+    return encoding, content.decode(encoding)
 
 
 def decoded(files: DataFrame) -> DataFrame:
