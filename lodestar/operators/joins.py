@@ -19,9 +19,15 @@ def changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def winners(rows: DataFrame, key: str, rank: list[Column], keep_losers: bool = False) -> DataFrame:
-    """The row that wins each key in load order; with the losers, every row and its `place`."""
+    """The row that wins each key in load order (`rank` ascending, nulls first, then by all columns); with the losers, every row and its `place`.
+
+    A winner alone is an aggregate, made where the rows are before they meet; places need a key's rows in order.
+    """
+    if not keep_losers:
+        best = F.min(F.struct(F.struct(*rank).alias("__rank"), F.struct(*rows.columns).alias("__row")))["__row"]
+        return rows.groupBy(key).agg(best.alias("__row")).select("__row.*")
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*rank)))
-    return placed if keep_losers else placed.filter("place = 1").drop("place")
+    return placed
 
 
 def unused(defined: DataFrame, key: str, *uses: DataFrame) -> DataFrame:

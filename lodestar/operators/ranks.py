@@ -45,8 +45,9 @@ def numbered(rows: DataFrame, key: str, order: list[str], into: str) -> DataFram
     return placed.withColumn(into, F.col("__start") + F.col("__in")).select(*rows.columns, into)
 
 
-def top(rows: DataFrame, key: str, order: list[Column], limit: int, spread: Column, salts: int = 64) -> DataFrame:
+def top(rows: DataFrame, key: str | list[str], order: list[Column], limit: int, spread: Column, salts: int = 64) -> DataFrame:
     """The first `limit` rows of each key by `order`, `place` from 1: first of each of a key's `salts` parts, then of those."""
+    key = [key] if isinstance(key, str) else key
     first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    parts = rows.withColumn("__salt", F.pmod(spread, F.lit(salts))).withColumn("place", first([key, "__salt"])).filter(F.col("place") <= limit)
-    return parts.withColumn("place", first([key])).filter(F.col("place") <= limit).drop("__salt")
+    parts = rows.withColumn("__salt", F.pmod(spread, F.lit(salts))).withColumn("place", first([*key, "__salt"])).filter(F.col("place") <= limit)
+    return parts.withColumn("place", first(key)).filter(F.col("place") <= limit).drop("__salt")

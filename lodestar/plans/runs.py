@@ -417,7 +417,8 @@ def scraped_counters(t):
     return t("part").select("p_partkey", bag["files"].alias("files"), bag["errors"].alias("errors"))
 
 
-@query("SELECT p_brand, sha256(string_agg(p_partkey || ' ' || sha256(p_name), chr(10) ORDER BY p_partkey::VARCHAR)) AS digest, count(*) AS files FROM part GROUP BY 1")
+@query("""WITH p AS (SELECT p_brand, sha256(p_partkey::VARCHAR)[1:3] AS part, sha256(string_agg(p_partkey || ' ' || sha256(p_name), chr(10) ORDER BY p_partkey::VARCHAR)) AS digest, count(*) AS files FROM part GROUP BY 1, 2)
+    SELECT p_brand, sha256(string_agg(part || ' ' || digest, chr(10) ORDER BY part)) AS digest, sum(files)::BIGINT AS files FROM p GROUP BY 1""")
 def tree_digests(t):
     return D.tree_digest(t("part").select("p_brand", F.col("p_partkey").cast("string").alias("path"), F.sha2("p_name", 256).alias("sha256")), ["p_brand"])
 
@@ -446,10 +447,27 @@ def severity_counts(t):
 
 @query(f"SELECT mod, count(DISTINCT path) AS files, count(*) AS findings, count(*) FILTER (severity = 'RED') AS red FROM {_FINDINGS} GROUP BY 1")
 def nested_rollup(t):
-    tree = K.nested(_findings(t))
-    total = F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + F.size(f["findings"]))
-    red = F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + F.size(F.filter(f["findings"], lambda x: x["severity"] == "RED")))
-    return tree.select("mod", F.size("files").cast("long").alias("files"), total.alias("findings"), red.alias("red"))
+    red = F.size(F.filter("findings", lambda x: x["severity"] == "RED")).cast("long")
+    return K.nested(_findings(t)).groupBy("mod").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("findings").cast("long")).alias("findings"), F.sum(red).alias("red"))
+
+
+@query(f"""SELECT mod, count(DISTINCT path) AS files, count(*) AS findings, count(*) FILTER (severity = 'RED') AS red, count(*) FILTER (pattern = 'p1') AS high, count(*) FILTER (pattern <> 'p1') AS low FROM {_FINDINGS} GROUP BY 1""")
+def mod_rollup(t):
+    """Totals of each mod with those of each impact."""
+    impacts = t("region").sparkSession.createDataFrame([("p1", "high")], "pattern string, impact string")
+    rows = K.rollup(_findings(t), impacts, "low")
+    bag = lambda c, k: F.coalesce(F.col(c)[k], F.lit(0))
+    return rows.select("mod", "files", "findings", bag("by_severity", "RED").alias("red"), bag("by_impact", "high").alias("high"), bag("by_impact", "low").alias("low"))
+
+
+@query(f"""SELECT (SELECT count(*) FROM {_FINDINGS}) AS findings, (SELECT count(*) FROM {_FINDINGS} WHERE severity = 'RED') AS red, (SELECT count(*) FROM {_FINDINGS} WHERE pattern = 'p1') AS p1,
+    (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS failures, (SELECT sum(o_orderkey % 5)::BIGINT FROM orders) AS applied, (SELECT count(*) FROM orders WHERE o_orderkey % 5 > 0) AS modified""")
+def report_summary(t):
+    """What a whole report says first."""
+    failures = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("path"), F.lit("parse").alias("what"))
+    rewritten = t("orders").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 5).alias("applied"), F.lit(0).alias("dropped"))
+    s = K.summary(_findings(t), failures, rewritten)
+    return s.select("findings", F.col("by_severity")["RED"].alias("red"), F.col("by_pattern")["p1"].alias("p1"), "failures", "applied", "modified")
 
 
 @query(f"SELECT mod, sha256('{{\"mod\":\"' || mod || '\",\"total\":' || count(*) || ',\"by_severity\":{{\"DEBUG\":' || count(*) FILTER (severity = 'DEBUG') || ',\"GREEN\":' || count(*) FILTER (severity = 'GREEN') || ',\"RED\":' || count(*) FILTER (severity = 'RED') || ',\"YELLOW\":' || count(*) FILTER (severity = 'YELLOW') || '}}}}') AS digest FROM {_FINDINGS} GROUP BY 1")

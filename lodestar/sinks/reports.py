@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered, top
+
 
 def pattern_counts(findings: DataFrame) -> DataFrame:
     """Findings a pattern, most first (of equals by name)."""
@@ -25,9 +27,44 @@ def severity_counts(findings: DataFrame, known: list[str]) -> DataFrame:
 
 
 def nested(findings: DataFrame) -> DataFrame:
-    """mod, files: an array of (path, findings); a mod's list is one row of the report, so it meets in one row."""
-    by_file = findings.groupBy("mod", "path").agg(F.sort_array(F.collect_list(F.struct("line", "pattern", "severity"))).alias("findings"))
-    return by_file.groupBy("mod").agg(F.sort_array(F.collect_list(F.struct("path", "findings"))).alias("files"))
+    """mod, path, findings: a row a file of the report, its findings in order of line; a file's findings are bounded by its length, a mod's are not."""
+    return findings.groupBy("mod", "path").agg(F.sort_array(F.collect_list(F.struct("line", "pattern", "severity"))).alias("findings"))
+
+
+def rollup(findings: DataFrame, impacts: DataFrame | None = None, default: str = "unknown") -> DataFrame:
+    """mod, files, findings, by_severity, by_impact: totals of each mod, counted where the findings are.
+
+    `impacts` (pattern, impact) names each pattern's impact, others have the default; without it by_impact is empty.
+    """
+    rows = findings.withColumn("__impact", F.lit(None).cast("string")) if impacts is None else findings.join(impacts.select("pattern", F.col("impact").alias("__impact")), "pattern", "left").fillna(default, ["__impact"])
+    counted = rows.groupBy("mod", "path", "severity", "__impact").agg(F.count(F.lit(1)).alias("__n"))
+    bag = lambda key: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "__n"))))
+    by = lambda key, into: counted.filter(F.col(key).isNotNull()).groupBy("mod", key).agg(F.sum("__n").alias("__n")).groupBy("mod").agg(bag(key).alias(into))
+    totals = counted.groupBy("mod", "path").agg(F.sum("__n").alias("__n")).groupBy("mod").agg(F.count(F.lit(1)).alias("files"), F.sum("__n").alias("findings"))
+    return totals.join(by("severity", "by_severity"), "mod", "left").join(by("__impact", "by_impact"), "mod", "left")
+
+
+def summary(findings: DataFrame, failures: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """One row: what the report says first: findings, by_severity, by_pattern, failures by kind, and the edits applied, dropped and the scripts they changed.
+
+    failures (path, what); rewritten (path, applied, dropped). Empty tables give zeros.
+    """
+    count = lambda rows, key: rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias("by"))
+    severity, pattern, failed = count(findings, "severity"), count(findings, "pattern"), count(failures, "what")
+    edits = rewritten.agg(F.coalesce(F.sum("applied"), F.lit(0)).alias("applied"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"), F.count_if(F.col("applied") > 0).alias("modified"))
+    one = severity.select(F.coalesce("n", F.lit(0)).alias("findings"), F.col("by").alias("by_severity"))
+    rows = [pattern.select(F.col("by").alias("by_pattern")), failed.select(F.coalesce("n", F.lit(0)).alias("failures"), F.col("by").alias("by_failure")), edits]
+    for r in rows:
+        one = one.join(F.broadcast(r))  # one row each
+    return one
+
+
+def write_report(findings: DataFrame, failures: DataFrame, rewritten: DataFrame, path: str, impacts: DataFrame | None = None) -> None:
+    """The whole report as JSON lines below a folder: `summary` (one document), `mods` (one a mod), `files` (one a file, in order of mod and path), `failures`."""
+    summary(findings, failures, rewritten).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    rollup(findings, impacts).write.mode("overwrite").json(f"{path}/mods")
+    nested(findings).repartitionByRange("mod", "path").sortWithinPartitions("mod", "path").write.mode("overwrite").json(f"{path}/files")
+    failures.write.mode("overwrite").json(f"{path}/failures")
 
 
 def json_documents(findings: DataFrame) -> DataFrame:
@@ -38,35 +75,39 @@ def json_documents(findings: DataFrame) -> DataFrame:
 
 
 def write_json(findings: DataFrame, path: str) -> None:
-    """The nested report, a JSON document a line, a mod each."""
+    """The nested report, a JSON document a line, a file each."""
     nested(findings).write.mode("overwrite").json(path)
 
 
-def markdown(rows: DataFrame) -> str:
-    """A small table in Markdown (its rows come to the driver: pass an aggregate)."""
+#: Rows of a table that comes to the driver to be printed.
+SHOWN = 1000
+
+
+def markdown(rows: DataFrame, most: int = SHOWN) -> str:
+    """A small table in Markdown: its first `most` rows come to the driver, so pass an aggregate."""
     head = [f"| {' | '.join(rows.columns)} |", "|" + "---|" * len(rows.columns)]
-    return "\n".join([*head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows.collect())])
+    return "\n".join([*head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows.take(most))])
 
 
-def plain_text(rows: DataFrame) -> str:
+def plain_text(rows: DataFrame, most: int = SHOWN) -> str:
     """The same as aligned columns."""
-    cells = [rows.columns, *[["" if v is None else str(v) for v in r] for r in rows.collect()]]
+    cells = [rows.columns, *[["" if v is None else str(v) for v in r] for r in rows.take(most)]]
     widths = [max(len(r[i]) for r in cells) for i in range(len(rows.columns))]
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells)
 
 
-def html(rows: DataFrame, title: str) -> str:
+def html(rows: DataFrame, title: str, most: int = SHOWN) -> str:
     """The same as a page."""
     from html import escape
 
     row = lambda r, tag: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in r) + "</tr>"
-    body = "".join([row(rows.columns, "th"), *(row(r, "td") for r in rows.collect())])
+    body = "".join([row(rows.columns, "th"), *(row(r, "td") for r in rows.take(most))])
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{body}</table></body></html>'
 
 
 def examples(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """The first `most` rows a key, for a report's lists."""
-    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__place") <= most).drop("__place")
+    """The first `most` rows a key, for a report's lists; first of each of a key's parts, then of those, so that no task sorts a whole key."""
+    return top(rows, keys, [F.col(c) for c in order], most, F.xxhash64(*order)).drop("place")
 
 
 def fixable(findings: DataFrame, severities: list[str], opted: Column) -> DataFrame:
@@ -104,8 +145,9 @@ def unified_diff(pairs: DataFrame, keys: list[str], context: int = 3) -> DataFra
 
 
 def chunks(names: DataFrame, name: str, size: int) -> DataFrame:
-    """Names in order, dealt to chunks of `size` (for archives; a row a name)."""
-    return names.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(name)) - 1) / size).cast("int"))
+    """Names in order, dealt to chunks of `size` (for archives; a row a name); places are counted by ranges of names."""
+    placed = numbered(names.withColumn("__all", F.lit(0)), "__all", [name], "__i")
+    return placed.withColumn("chunk", F.floor(F.col("__i") / size).cast("int")).drop("__all", "__i")
 
 
 def natural(column: str) -> list[Column]:

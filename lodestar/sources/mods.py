@@ -137,6 +137,11 @@ def snapshot(files: DataFrame) -> DataFrame:
 
 
 def tree_digest(entries: DataFrame, by: list[str]) -> DataFrame:
-    """One digest a tree over its files' paths and digests in order of path (a tree's list of files meets in a row)."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws(" ", x["path"], x["sha256"])), "\n")
-    return entries.groupBy(*by).agg(F.sha2(joined, 256).alias("digest"), F.count(F.lit(1)).alias("files"))
+    """One digest a tree: of the digests of its files dealt to 4,096 parts by the first three digits of the path's SHA-256, each over its paths and digests in order.
+
+    So a tree of any number of files brings at most 4,096 digests to its row.
+    """
+    part = F.substring(F.sha2("path", 256), 1, 3)
+    joined = lambda a, b: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(a, b))), lambda x: F.concat_ws(" ", x[a], x[b])), "\n")
+    parts = entries.groupBy(*by, part.alias("__part")).agg(F.sha2(joined("path", "sha256"), 256).alias("__digest"), F.count(F.lit(1)).alias("__files"))
+    return parts.groupBy(*by).agg(F.sha2(joined("__part", "__digest"), 256).alias("digest"), F.sum("__files").alias("files"))
