@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +52,18 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python at most `rows` rows at a time, as rows that hold whole sets or texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """The named columns plus `row`, a number that stays with each input row (also with repeated rows)."""
     return materialize(docs.select(*[c.alias(n) for n, c in columns.items()]).withColumn("row", F.monotonically_increasing_id()))

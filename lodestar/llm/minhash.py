@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, free, keep_rows, materialize, with_rows
+from .common import arrow_batches, drop_table, free, keep_rows, materialize, with_rows
 from .components import components
 from .hashing import mixed, shingle_sets, some_texts, texts_of
 
 MEMBERS, DEPTH = 8, 2
+#: Rows with a text or two whole shingle sets that a Python worker holds at a time.
+BATCH = 500
 SIGNED = "row long, doc_id long, n long, h1 long, h2 long, sig binary"
 
 
@@ -304,6 +306,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if rows is None:
         rows = with_rows(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
+    with arrow_batches(rows.sparkSession, BATCH):
+        return _near_components(rows, words, percent, members, depth, rounds)
+
+
+def _near_components(rows: DataFrame, words: int, percent: int, members: int, depth: int, rounds: int) -> DataFrame:
     signed = materialize(signatures(rows, words, members, depth), "lz4")
     same = ["h1", "h2", "n"]
     # One node for each distinct set, found in two steps, so that a set of many documents is dealt.
