@@ -52,10 +52,12 @@ def trip_count(start: Column, stop: Column, step: int) -> Column:
 
 
 def typed_number(text: Column) -> Column:
-    """A struct of `whole` (numbers without a point) and `real` (the others); both null for `nil` and what isn't a number."""
+    """A struct of `whole` (whole numbers without a point, also in the form 1e3) and `real` (the others); both null for `nil` and what isn't a number."""
     t = F.trim(text)
-    is_whole = t.rlike(r"^[+-]?\d+$")
-    return F.struct(F.when(is_whole, t.try_cast("long")).alias("whole"), F.when(~is_whole, F.nullif(t, F.lit("nil")).try_cast("double")).alias("real"))
+    digits, value = t.rlike(r"^[+-]?\d+$"), F.nullif(t, F.lit("nil")).try_cast("double")
+    is_whole = digits | ~t.contains(".") & (value == F.floor(value)) & (F.abs(value) < 1e18)
+    whole = F.when(digits, t.try_cast("long")).when(is_whole, value.cast("long"))
+    return F.struct(whole.alias("whole"), F.when(~F.coalesce(is_whole, F.lit(False)), value).alias("real"))
 
 
 def rates(ft: Column, fps: Column) -> tuple[Column, Column]:
