@@ -67,6 +67,15 @@ def reference_kind(line: Column, name: str) -> Column:
     return F.when(at > 0, F.when(tail.startswith("("), "called").when(bound & (F.length(head) > 0), "bound").otherwise("other"))
 
 
+def reference_uses(lines: DataFrame, line: str, name: str) -> DataFrame:
+    """The rows with `kind`, once for each use of a whole name in their line: called, bound (after = , ( or [) or other."""
+    quoted = "\\Q" + name + "\\E"
+    hit = F.regexp_extract_all(line, F.lit(rf"([=,(\[])?\s*(?<![\w.:]){quoted}(?!\w)\s*(\()?"), F.lit(0))
+    each = lines.select("*", F.explode(hit).alias("__use"))
+    kind = F.when(F.col("__use").endswith("("), "called").when(F.substring("__use", 1, 1).isin("=", ",", "(", "["), "bound").otherwise("other")
+    return each.withColumn("kind", kind).drop("__use")
+
+
 def two_arms(calls: DataFrame, name: str, arm: str, frames: dict[str, int]) -> DataFrame:
     """name and its calls a frame in either arm (0 where it has none), of names that differ."""
     (a, n_a), (b, n_b) = frames.items()
@@ -78,6 +87,7 @@ def metric_document(samples: DataFrame, run: str) -> DataFrame:
     """A run's document of samples (t_s, frametime_ms, fps, cpu_pct, rss_mb): null, 0, NaN and infinity are no measurement.
 
     Without frame times they come from the rates. fps_avg is the rate of the mean frame time. Values are rounded half to even.
+    `crashed` and `load_time_s` of a run come from its log: join `engine_log.summaries` by run.
     """
     measured = lambda c: F.when((F.col(c) != 0) & (F.abs(F.col(c)) < float("inf")), F.col(c))
     ft, fps = measured("frametime_ms"), measured("fps")
@@ -88,11 +98,12 @@ def metric_document(samples: DataFrame, run: str) -> DataFrame:
         F.count(F.lit(1)).alias("samples"), F.count("__ft").alias("frames"), F.bround(1000 / F.avg("__ft"), 3).alias("fps_avg"), F.bround(F.max("t_s") - F.min("t_s"), 3).alias("duration_s"),
         F.bround(F.avg("cpu_pct"), 2).alias("cpu_avg"), F.bround(F.max("cpu_pct"), 2).alias("cpu_peak"), F.bround(F.max("rss_mb"), 3).alias("ram_peak_mb"), F.bround(F.min("__fps"), 3).alias("fps_min"), F.bround(F.max("__fps"), 3).alias("fps_max"),
     )
-    k = (F.col("frames") - 1) * 0.99
-    wanted = base.filter("frames > 0").select(run, F.explode(F.array_distinct(F.array(F.floor(k), F.ceil(k)))).alias("__rank"))
+    k = lambda p: (F.col("frames") - 1) * F.lit(p)
+    at = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    wanted = base.filter("frames > 0").select(run, F.explode(F.array_distinct(F.array(*[f(k(p)) for p in at.values() for f in (F.floor, F.ceil)]))).alias("__rank"))
     values = ranked_values(rows, [run], "__ft", wanted).groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__bag"))
-    p99 = F.col("__bag")[F.floor(k)] + (k - F.floor(k)) * (F.col("__bag")[F.ceil(k)] - F.col("__bag")[F.floor(k)])
-    return base.join(values, run, "left").withColumn("p99_ms", F.bround(p99, 3)).drop("__bag")
+    between = lambda p: F.col("__bag")[F.floor(k(p))] + (k(p) - F.floor(k(p))) * (F.col("__bag")[F.ceil(k(p))] - F.col("__bag")[F.floor(k(p))])
+    return base.join(values, run, "left").withColumns({n: F.bround(between(p), 3) for n, p in at.items()}).drop("__bag")
 
 
 def guarded_between(accesses: DataFrame, lines: DataFrame) -> DataFrame:

@@ -44,6 +44,27 @@ def run_rows(manifests: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def overall_gate(rows: DataFrame) -> DataFrame:
+    """runs, clean, failed, unknown, passed: over rows of `run_rows`: passed if every run has results and none failed; null without runs."""
+    n = lambda h: F.count_if(F.col("health").isin(*h))
+    out = rows.agg(F.count(F.lit(1)).alias("runs"), n(["ok", "warn"]).alias("clean"), n(["fail"]).alias("failed"), n(["unknown"]).alias("unknown"))
+    return out.withColumn("passed", F.when(F.col("runs") > 0, (F.col("failed") == 0) & (F.col("unknown") == 0)))
+
+
+def latest_and_trend(runs: DataFrame, group: str, order: list[str], value: str, last: int = 5) -> DataFrame:
+    """group, latest, before, change, trend: the newest value, the one before it, their difference, and the last values from old to new (`last` at most; nulls are no values)."""
+    newest = Window.partitionBy(group).orderBy(*[F.col(c).desc() for c in order])
+    few = runs.filter(F.col(value).isNotNull()).withColumn("__place", F.row_number().over(newest)).filter(F.col("__place") <= last)
+    by = few.groupBy(group).agg(F.max(F.when(F.col("__place") == 1, F.col(value))).alias("latest"), F.max(F.when(F.col("__place") == 2, F.col(value))).alias("before"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__place")).alias("p"), F.col(value).alias("v")))), lambda x: x["v"]).alias("trend"))
+    return by.select(group, "latest", "before", (F.col("latest") - F.col("before")).alias("change"), "trend")
+
+
+def failure_kinds(rows: DataFrame) -> DataFrame:
+    """run_id, kinds: which kinds of failure and warning a run has, in order of name."""
+    names = sorted((*FAILURES, *WARNINGS))
+    return rows.select("run_id", F.filter(F.array(*[F.when(F.col(n) > 0, n) for n in names]), lambda x: x.isNotNull()).alias("kinds"))
+
+
 def failure_files(items: Column) -> Column:
     """File names of a list whose entries are texts or objects with a `file`; other entries are left out."""
     one = lambda v: F.coalesce(F.try_variant_get(v, "$.file", "string"), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
@@ -87,6 +108,14 @@ def arm_means(runs: DataFrame, arm: str, values: list[str], capped: str) -> Data
     return runs.groupBy(arm).agg(F.when(n > 0, n).otherwise(F.count(F.lit(1))).alias("n"), F.count(F.lit(1)).alias("n_all"), *[mean(v).alias(v) for v in values], F.count_if(~free).alias("capped"))
 
 
+def arms_compared(means: DataFrame, arm: str, values: list[str], base: str) -> DataFrame:
+    """arm, and of each value delta and pct against the arm `base` (pct null where that is 0); the base itself is left out, without it there are no rows."""
+    b = F.broadcast(means.filter(F.col(arm) == base).select(*[F.col(v).alias(f"__{v}") for v in values]).limit(1))  # one row
+    delta = lambda v: F.col(v) - F.col(f"__{v}")
+    shown = [x for v in values for x in (F.bround(delta(v), 3).alias(f"{v}_delta"), F.when(F.col(f"__{v}") != 0, F.bround(100 * delta(v) / F.col(f"__{v}"), 2)).alias(f"{v}_pct"))]
+    return means.filter(F.col(arm) != base).join(b).select(arm, *shown)
+
+
 def speedups(timings: DataFrame, keys: list[str], arm: str, seconds: str) -> DataFrame:
     """Best and median times of the arms `original` and `rewrite`, their ratios, and the jitter (the worse median over its best)."""
     by = lambda f, a: f(F.when(F.col(arm) == a, F.col(seconds)))
@@ -103,14 +132,17 @@ def gate(points: DataFrame, keys: list[str], mode: str, modes: list[str], least:
 
 
 def bucket_verdicts(buckets: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """Buckets (key, lo, hi, sites) with the verdict of the measured points (key, k, ok) inside them; buckets without a point are left out."""
+    """Buckets (key, lo, hi, sites, and what else they have) with the verdict of the measured points (key, k, ok) inside them; buckets without a point are left out."""
     met = buckets.join(points, key).filter(F.col("k").between(F.col("lo"), F.col("hi")))
     verdict = F.when(F.bool_and("ok"), "pass").when(~F.bool_or("ok"), "fail").otherwise("mixed")
-    return met.groupBy(key, "lo", "hi", "sites").agg(verdict.alias("verdict"), F.count(F.lit(1)).alias("points"))
+    return met.groupBy(*buckets.columns).agg(verdict.alias("verdict"), F.count(F.lit(1)).alias("points"))
 
 
 def weighted_verdict(verdicts: DataFrame, key: str) -> DataFrame:
-    """Sites a key that pass, fail, or lie in mixed buckets."""
+    """Sites a key that pass, fail, or lie in mixed buckets; with a column `estimated` also how many of them are only estimated."""
+    if "estimated" in verdicts.columns:
+        guessed = verdicts.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("estimated"), F.col("sites"))), F.lit(0)).alias("estimated_sites"))
+        return weighted_verdict(verdicts.drop("estimated"), key).join(guessed, key)
     return verdicts.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("sites"))), F.lit(0)).alias(f"{v}_sites") for v in ("pass", "fail", "mixed")], F.sum("sites").alias("sites"))
 
 

@@ -9,7 +9,7 @@ from ..functions.time import micros
 from ..operators import census as C
 from ..operators import documents as D
 from ..operators import tallies as T
-from ..sources import captures as C
+from ..sources import captures as cap
 from ..sources import json_files as J
 from .catalog import query
 
@@ -76,6 +76,13 @@ def reference_scan(t):
     return t("part").select(C.reference_kind(line, "find").alias("kind")).filter("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT kind, sum(n)::BIGINT AS n FROM (SELECT unnest(['called', 'bound', 'other']) AS kind, unnest([1, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END, 1]) AS n FROM part) GROUP BY 1")
+def reference_uses(t):
+    """Every use of a name in a line; a longer name, a field and a method of that name are none."""
+    line = F.concat(F.lit("find (y) x = find "), F.when(F.col("p_size") % 2 == 0, F.lit("f(a, find)")).otherwise(F.lit("finder()")), F.lit(" o.find o:find() -- find"), F.col("p_size").cast("string").substr(1, 0))
+    return C.reference_uses(t("part").select(line.alias("line")), "line", "find").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT l_partkey, round(count(*) FILTER (l_returnflag = 'A') / 50.0, 6) AS base, round(count(*) FILTER (l_returnflag = 'R') / 40.0, 6) AS patched FROM lineitem GROUP BY 1
     HAVING abs(count(*) FILTER (l_returnflag = 'A') / 50.0 - count(*) FILTER (l_returnflag = 'R') / 40.0) >= 1e-9""")
 def call_histogram(t):
@@ -87,7 +94,7 @@ _SAMPLES = """(SELECT user_id, epoch_us(ts) / 1e6 AS t, CASE WHEN user_id % 3 =
 
 
 @query(f"""WITH s AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 1000 / fps ELSE nullif(ft, 0) END AS f FROM {_SAMPLES})
-    SELECT user_id, count(*) AS samples, count(f) AS frames, round_even(1000 / avg(f), 3) AS fps_avg, round_even(quantile_cont(f, 0.99), 3) AS p99_ms, round_even(avg(cpu), 2) AS cpu_avg, max(cpu) AS cpu_peak, round_even(min(fps), 3) AS fps_min FROM s GROUP BY 1""")
+    SELECT user_id, count(*) AS samples, count(f) AS frames, round_even(1000 / avg(f), 3) AS fps_avg, round_even(quantile_cont(f, 0.5), 3) AS median_ms, round_even(quantile_cont(f, 0.99), 3) AS p99_ms, round_even(avg(cpu), 2) AS cpu_avg, max(cpu) AS cpu_peak, round_even(min(fps), 3) AS fps_min FROM s GROUP BY 1""")
 def metric_documents(t):
     by_rate = F.col("user_id") % 3 == 0
     samples = t("events").select(
@@ -95,7 +102,7 @@ def metric_documents(t):
         F.when(by_rate, F.col("value")).alias("fps"), F.get_json_object("props", "$.k").cast("double").alias("cpu_pct"), F.lit(None).cast("double").alias("rss_mb"),
     )
     got = C.metric_document(samples, "user_id")
-    return got.select("user_id", "samples", "frames", "fps_avg", "p99_ms", "cpu_avg", "cpu_peak", "fps_min")
+    return got.select("user_id", "samples", "frames", "fps_avg", "median_ms", "p99_ms", "cpu_avg", "cpu_peak", "fps_min")
 
 
 @query("""SELECT c_custkey, true AS open FROM customer WHERE c_nationkey < 12 OR c_acctbal < 0""")
@@ -232,4 +239,4 @@ def report_findings(t):
 def burst_log(t):
     """Tagged lines with a list of values; of each number all lines' values and the largest."""
     lines = t("events").groupBy("user_id", "event_type").agg(F.collect_list("value").alias("values")).select(F.concat_ws("|", F.lit("BURST"), F.concat(F.lit("seq="), F.col("user_id")), F.concat(F.lit("v="), F.array_join(F.transform("values", lambda v: v.cast("string")), ","))).alias("line"))
-    return C.burst_values(lines, "line", "BURST")
+    return cap.burst_values(lines, "line", "BURST")

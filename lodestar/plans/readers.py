@@ -127,6 +127,48 @@ def profile_calls(t):
     return C.profile_calls(C.profile_records(_profile(t), "PROF")).select("path", "name", "calls", "units")
 
 
+def _instrument(t) -> DataFrame:
+    o = F.col("o_orderkey")
+    line = lambda *parts: F.concat_ws("|", F.lit("~ PROF"), F.lit("4"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    num = lambda k, v: F.concat(F.lit(f"{k}="), _str(v))
+    lines = F.array(
+        line("hdr", "timer=qpc", "units_per_ms=1", "make_callback=false"), line("hdr", "timer= rdtsc ", num("units_per_ms", o % 9), "overhead_ns=nil", "make_callback=true", "hitch_buckets=12"),
+        line("wdr", "walkout=on", "pending=2", num("ver", o % 3)), line("bnx", "target=a", num("wrapped", o % 2)), line("bnx", "target=b", "wrapped=0", "why=no method"),
+        line("nst", "n=1", num("units", o), "scope=actor", "top=0", F.concat(F.lit("in=x~y~"), _str(o % 5), F.lit(",bad,z~1.5"))), line("trace", "n=1", "name=go", num("units", o), F.concat(F.lit("pre=hp="), _str(o % 4), F.lit(", hp = 7,mode=a=b")), "post="), line("err", " out of | room "))
+    return t("orders").select(F.concat(F.lit("run_"), _str("o_orderkey")).alias("path"), F.posexplode(lines).alias("line_no", "raw"))
+
+
+@query("""SELECT 'run_' || o_orderkey AS path, 'rdtsc' AS timer, (o_orderkey % 9)::DOUBLE AS units_per_ms, NULL::DOUBLE AS overhead_ns, true AS make_callback, 'off' AS binders, 12 AS hitch_buckets,
+    'on' AS walkout, (o_orderkey % 3)::DOUBLE AS ver, 2::BIGINT AS pending, 2::BIGINT AS probes, (o_orderkey % 2)::BIGINT AS wrapped FROM orders""")
+def profile_headers(t):
+    """Of several headers the last; the second header with what came of its probes."""
+    r = C.profile_records(_instrument(t), "PROF")
+    return C.headers(r).join(C.walkout_headers(r), "path").select("path", "timer", "units_per_ms", "overhead_ns", "make_callback", "binders", "hitch_buckets", "walkout", "ver", "pending", "probes", "wrapped")
+
+
+@query("""SELECT 'run_' || o_orderkey AS path, 'nested' AS kind, 'actor' AS name, o_orderkey::DOUBLE AS units, 'x~y:' || (o_orderkey % 5) || '.0 z:1.5' AS inner FROM orders
+    UNION ALL SELECT 'run_' || o_orderkey, 'trace', 'go', o_orderkey::DOUBLE, 'hp:7 mode:a=b' FROM orders UNION ALL SELECT 'run_' || o_orderkey, 'error', 'out of | room', NULL, NULL FROM orders""")
+def profile_details(t):
+    """Slow calls taken apart, traced calls with their state before, and complaints."""
+    r = C.profile_records(_instrument(t), "PROF")
+    pairs = F.array_join(F.transform("inside", lambda x: F.concat_ws(":", x["label"], x["units"].cast("string"))), " ")
+    nested = C.nested_calls(r).filter("NOT top").select("path", F.lit("nested").alias("kind"), F.col("scope").alias("name"), "units", pairs.alias("inner"))
+    state = F.array_join(F.transform(F.array_sort(F.map_entries("pre")), lambda x: F.concat_ws(":", x["key"], x["value"])), " ")
+    traced = C.trace_calls(r).filter(F.size("post") == 0).select("path", F.lit("trace").alias("kind"), "name", "units", state.alias("inner"))
+    errors = C.profile_errors(r).select("path", F.lit("error").alias("kind"), F.col("message").alias("name"), F.lit(None).cast("double").alias("units"), F.lit(None).cast("string").alias("inner"))
+    return nested.unionByName(traced).unionByName(errors)
+
+
+@query("""SELECT user_id, count(*) AS samples, round(sum(CASE WHEN event_id % 3 = 0 THEN value WHEN value <> 0 THEN 1000 / value END), 4) AS frame_ms, max(p)::DOUBLE AS last
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events) GROUP BY 1""")
+def tolerant_samples(t):
+    """Samples without a time, some with a frame time and some with a rate only, blanks between."""
+    some = F.col("event_id") % 3 == 0
+    rows = t("events").select("user_id", "event_id", F.when(some, _str("value")).otherwise("").alias("FrameTime_ms"), F.when(~some, _str("value")).alias(" fps "), F.lit("n/a").alias("cpu_pct"))
+    out = C.tolerant_samples(rows, ["user_id", "event_id"])
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("frametime_ms"), 4).alias("frame_ms"), F.max("t_s").alias("last"))
+
+
 @query("SELECT 'run_' || o_orderkey AS path, (o_orderkey % 40)::DOUBLE AS ms, unnest(['a~b', 'x']) AS label, unnest([(o_orderkey % 7)::DOUBLE, 2.0]) AS units FROM orders")
 def slow_frame_labels(t):
     """Pairs of a label (which may hold the sign itself) and a number; parts that are none are left out."""

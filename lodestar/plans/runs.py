@@ -99,6 +99,20 @@ def arm_means(t):
     return R.arm_means(runs, "arm", ["fps"], "capped").withColumn("fps", F.round("fps"))
 
 
+@query("""WITH r AS (SELECT c_mktsegment AS arm, avg(c_acctbal) AS fps FROM customer GROUP BY 1), b AS (SELECT fps AS base FROM r WHERE arm = 'BUILDING')
+    SELECT arm, round(fps - base, 1) AS fps_delta, round(100 * (fps - base) / base, 1) AS fps_pct FROM r, b WHERE arm <> 'BUILDING'""")
+def arms_against_base(t):
+    means = t("customer").groupBy(F.col("c_mktsegment").alias("arm")).agg(F.avg("c_acctbal").alias("fps"))
+    return R.arms_compared(means, "arm", ["fps"], "BUILDING").select("arm", F.round("fps_delta", 1).alias("fps_delta"), F.round("fps_pct", 1).alias("fps_pct"))
+
+
+@query("""SELECT o_custkey, max(v) FILTER (p = 1) AS latest, max(v) FILTER (p = 2) AS before, max(v) FILTER (p = 1) - max(v) FILTER (p = 2) AS change, string_agg(v, ',' ORDER BY p DESC) AS trend
+    FROM (SELECT o_custkey, o_orderkey % 100 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders) WHERE p <= 5 GROUP BY 1""")
+def latest_and_trends(t):
+    rows = t("orders").withColumn("v", F.col("o_orderkey") % 100)
+    return R.latest_and_trend(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "v").withColumn("trend", F.array_join(F.col("trend").cast("array<string>"), ","))
+
+
 _TIMES = """(SELECT l_suppkey, l_linestatus AS mode, min(l_extendedprice) FILTER (l_returnflag = 'A') AS ba, median(l_extendedprice) FILTER (l_returnflag = 'A') AS ma,
     min(l_extendedprice) FILTER (l_returnflag = 'R') AS br, median(l_extendedprice) FILTER (l_returnflag = 'R') AS mr FROM lineitem GROUP BY 1, 2)"""
 
@@ -129,7 +143,7 @@ def bucket_specs(t):
 
 
 _POINTS = "(SELECT p_brand, p_size AS k, avg(p_retailprice) >= 1400 AS ok FROM part GROUP BY 1, 2)"
-_VERDICTS = f"(SELECT p_brand, lo, hi, sites, CASE WHEN bool_and(ok) THEN 'pass' WHEN NOT bool_or(ok) THEN 'fail' ELSE 'mixed' END AS verdict, count(*) AS points FROM {_POINTS}, {_BUCKETS} WHERE k BETWEEN lo AND hi GROUP BY ALL)"
+_VERDICTS = f"(SELECT p_brand, lo, hi, sites, estimated, CASE WHEN bool_and(ok) THEN 'pass' WHEN NOT bool_or(ok) THEN 'fail' ELSE 'mixed' END AS verdict, count(*) AS points FROM {_POINTS}, {_BUCKETS} WHERE k BETWEEN lo AND hi GROUP BY ALL)"
 
 
 def _verdicts(t) -> DataFrame:
@@ -143,7 +157,7 @@ def site_buckets(t):
 
 
 @query(f"""SELECT p_brand, coalesce(sum(sites) FILTER (verdict = 'pass'), 0)::BIGINT AS pass_sites, coalesce(sum(sites) FILTER (verdict = 'fail'), 0)::BIGINT AS fail_sites,
-    coalesce(sum(sites) FILTER (verdict = 'mixed'), 0)::BIGINT AS mixed_sites, sum(sites)::BIGINT AS sites FROM {_VERDICTS} GROUP BY 1""")
+    coalesce(sum(sites) FILTER (verdict = 'mixed'), 0)::BIGINT AS mixed_sites, sum(sites)::BIGINT AS sites, coalesce(sum(sites) FILTER (estimated), 0)::BIGINT AS estimated_sites FROM {_VERDICTS} GROUP BY 1""")
 def weighted_verdicts(t):
     return R.weighted_verdict(_verdicts(t), "p_brand")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import kv_bag, number
+from ..functions.text import kv_bag, number, rates
 
 # Names of columns in the order they are tried.
 FRAME_COLUMNS = ["msbetweenpresents", "frametime", "mspresenttime", "msinpresentapi"]
@@ -79,10 +79,9 @@ def profile_calls(records: DataFrame) -> DataFrame:
 
 
 def slow_frames(records: DataFrame) -> DataFrame:
-    """path, n, frame, t, ms, dt_dev, top (label, units): slow frames with their dearest labels."""
-    parts = F.filter(F.split(F.coalesce(F.col("kv")["top"], F.lit("")), ","), lambda p: p.rlike(r"^.*~[^~]*$") & F.regexp_extract(p, r"~([^~]*)$", 1).try_cast("double").isNotNull())
-    top = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(.*)~[^~]*$", 1).alias("label"), F.regexp_extract(p, r"~([^~]*)$", 1).cast("double").alias("units")))
-    return records.filter("kind = 'frm'").select("path", _num("n", 0).cast("long").alias("n"), _num("frame", 0).cast("long").alias("frame"), _num("t", 0).alias("t"), _num("ms", 0).alias("ms"), _num("dt_dev").alias("dt_dev"), top.alias("top"))
+    """path, n, frame, t, ms, dt_dev, u_top, u_cb, u_bnd, u_eng, u_evt, gc0, gc1, n_top, spawn, destroy, after_log, top (label, units): slow frames with their dearest labels."""
+    parts = [*[_num(c, 0).alias(c) for c in ("u_top", "u_cb", "u_bnd", "u_eng", "u_evt", "gc0", "gc1")], *[_num(c, 0).cast("long").alias(c) for c in ("n_top", "spawn", "destroy", "after_log")]]
+    return records.filter("kind = 'frm'").select("path", _num("n", 0).cast("long").alias("n"), _num("frame", 0).cast("long").alias("frame"), _num("t", 0).alias("t"), _num("ms", 0).alias("ms"), _num("dt_dev").alias("dt_dev"), *parts, _pairs("top").alias("top"))
 
 
 def hitches(records: DataFrame) -> DataFrame:
@@ -100,3 +99,79 @@ def burst_values(lines: DataFrame, raw: str, tag: str) -> DataFrame:
     bag = lines.filter(F.col(raw).startswith(f"{tag}|")).select(kv_bag(F.col(raw)).alias("m"))
     values = bag.select(number(F.col("m")["seq"]).cast("long").alias("seq"), F.transform(F.split(F.coalesce(F.col("m")["v"], F.lit("")), ","), lambda x: x.try_cast("double")).alias("v")).filter("seq IS NOT NULL")
     return values.groupBy("seq").agg(F.sum(F.size("v")).cast("long").alias("n"), F.max(F.array_max("v")).alias("worst"))
+
+
+def _text(name: str, default: str | None = None) -> Column:
+    got = F.col("kv")[name]
+    return got if default is None else F.coalesce(got, F.lit(default))
+
+
+def _last(rows: DataFrame, value: Column) -> DataFrame:
+    return rows.groupBy("path").agg(F.max_by(value, "line_no").alias("v")).select("path", "v.*")
+
+
+def headers(records: DataFrame) -> DataFrame:
+    """path and what the last header of a log says: timer, units_per_ms, overhead_ns, calib_ms, calib_units, make_callback, binders, listeners, hitch, hitch_floor_ms, hitch_buckets, dump_ms, ts."""
+    numbers = [_num(c).alias(c) for c in ("units_per_ms", "overhead_ns", "calib_ms", "calib_units", "hitch_floor_ms", "dump_ms", "ts")]
+    value = F.struct(
+        _text("timer", "").alias("timer"), *numbers, F.coalesce(_text("make_callback") == "true", F.lit(False)).alias("make_callback"), *[_text(c, "off").alias(c) for c in ("binders", "listeners", "hitch")], _num("hitch_buckets").cast("int").alias("hitch_buckets")
+    )
+    return _last(records.filter("kind = 'hdr'"), value)
+
+
+def walkout_headers(records: DataFrame) -> DataFrame:
+    """path and what the last second header says (off and null without one), and probes: how many targets were tried and how many of them were wrapped."""
+    value = F.struct(
+        _text("walkout", "off").alias("walkout"), F.coalesce(_text("binder_update") == "true", F.lit(False)).alias("binder_update"), _text("frames", "off").alias("frames"),
+        *[_num(c).alias(c) for c in ("frame_floor_ms", "frame_max", "rescan_every", "ver", "ts")], _num("pending", 0).cast("long").alias("pending"), _text("selfcheck", "").alias("selfcheck"), _text("misses", "").alias("misses"))
+    probes = probe_rows(records).groupBy("path").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("wrapped") > 0).alias("wrapped"))
+    heads = _last(records.filter("kind = 'wdr'"), value)
+    both = heads.join(probes, "path", "full")
+    return both.withColumn("walkout", F.coalesce("walkout", F.lit("off"))).fillna(0, ["probes", "wrapped"])
+
+
+def probe_rows(records: DataFrame) -> DataFrame:
+    """path, line_no, target, wrapped, mod, cls, via, why: what came of each target that was to be wrapped."""
+    return records.filter("kind = 'bnx'").select("path", "line_no", _text("target", "?").alias("target"), _num("wrapped", 0).cast("long").alias("wrapped"), *[_text(c, "").alias(c) for c in ("mod", "cls", "via", "why")])
+
+
+def _pairs(name: str) -> Column:
+    """label~number pairs; parts without a number at their end are left out."""
+    parts = F.filter(F.split(_text(name, ""), ","), lambda p: F.regexp_extract(p, r"~([^~]*)$", 1).try_cast("double").isNotNull())
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(.*)~[^~]*$", 1).alias("label"), F.regexp_extract(p, r"~([^~]*)$", 1).cast("double").alias("units")))
+
+
+def nested_calls(records: DataFrame) -> DataFrame:
+    """path, n, frame, t, axis, scope, units, top, inside (label, units): slow calls with what they were made of."""
+    return records.filter("kind = 'nst'").select(
+        "path", *[_num(c, 0).cast("long").alias(c) for c in ("n", "frame")], _num("t", 0).alias("t"), _text("axis", "").alias("axis"), _text("scope", "?").alias("scope"), _num("units", 0).alias("units"), (_text("top", "1") == "1").alias("top"), _pairs("in").alias("inside"))
+
+
+def trace_calls(records: DataFrame) -> DataFrame:
+    """path, n, name, units, frame, t, pre, post: single calls of a named listener; pre and post are maps of `k=v,k=v` before and after it."""
+    return records.filter("kind = 'trace'").select(
+        "path", _num("n", 0).cast("long").alias("n"), _text("name", "?").alias("name"), _num("units", 0).alias("units"), _num("frame", 0).cast("long").alias("frame"), _num("t", 0).alias("t"), *[kv_bag(_text(c, ""), ",").alias(c) for c in ("pre", "post")])
+
+
+def profile_errors(records: DataFrame) -> DataFrame:
+    """path, line_no, message: what the instrument itself complained of."""
+    return records.filter("kind = 'err'").select("path", "line_no", F.btrim("rest").alias("message"))
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """path, at, t_s, frametime_ms, fps, cpu_pct, rss_mb of sample files as `write_samples` and others write them.
+
+    Blank and what isn't a number is null, a missing column too; of frame time and rate the one gives
+    the other; without a time the row's place stands for it.
+    """
+    rows = spark.read.option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+    return tolerant_samples(rows, ["path", "at"])
+
+
+def tolerant_samples(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of `read_samples` of rows as read (texts), after the keys; the last key is the row's place."""
+    lower = {c.lower().strip(): c for c in rows.columns}
+    get = lambda name: F.col(f"`{lower[name]}`").cast("string").try_cast("double") if name in lower else F.lit(None).cast("double")
+    ft, fps = rates(get("frametime_ms"), get("fps"))
+    place = F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - 1 if "t_s" not in lower else F.lit(None)
+    return rows.select(*keys, F.coalesce(get("t_s"), place.cast("double")).alias("t_s"), ft.alias("frametime_ms"), fps.alias("fps"), get("cpu_pct").alias("cpu_pct"), get("rss_mb").alias("rss_mb"))
