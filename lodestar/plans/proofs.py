@@ -75,6 +75,14 @@ def _proven(s: DataFrame) -> DataFrame:
     return rewrite(s, P.proven_edits(s, stored_facts(s), stored_bindings(s), yellow=True))
 
 
+@query(f"SELECT path, 35 AS line, 'text' AS variable, {_PARTS} AS safe FROM {_S}")
+def safe_concatenations(t):
+    """Texts that grow in a loop, with those that may be put together after it."""
+    s = scripts(t("supplier"))
+    d = F.col("detail")
+    return P.concatenation_in_loops(stored_facts(s), stored_bindings(s)).select("path", "line", d["variable"].alias("variable"), (d["safe"] == "true").alias("safe"))
+
+
 @query(f"SELECT path, {_FIXED} AS text, 0 AS dropped FROM {_S}")
 def proven_rewrites(t):
     """Counters, scratch vectors, parts of texts and ipairs where they are proven, everything else as it was."""

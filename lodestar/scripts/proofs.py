@@ -372,6 +372,16 @@ def hold_edits(files: DataFrame, facts: DataFrame, b: DataFrame, severities: tup
     return head.unionByName(edit(sites, "hold", "lo", "hi", F.col("held"), 0, grp))
 
 
+def concatenation_in_loops(facts: DataFrame, b: DataFrame) -> DataFrame:
+    """The findings of `rules.concatenation_in_loops`, safe only where nothing reads the text before the loop is done and the loop pays."""
+    found = R.concatenation_in_loops(facts).withColumn("__loop", F.col("detail")["loop_line"].cast("int")).withColumn("__name", F.col("detail")["variable"])
+    good = grown_texts(b).groupBy("path", F.col("name").alias("__name"), F.col("loop_line").alias("__loop")).agg(F.bool_or("pays").alias("__pays"))
+    rows = found.join(good, ["path", "__name", "__loop"], "left")
+    safe = F.map_from_arrays(F.array(F.lit("safe"), F.lit("pays")), F.array(F.col("__pays").isNotNull() & F.coalesce("__pays", F.lit(False)), F.coalesce("__pays", F.lit(False))).cast("array<string>"))
+    detail = F.map_concat(F.map_filter("detail", lambda k, _: k != "safe"), safe)
+    return rows.withColumn("detail", detail).select(*R.FINDING)
+
+
 PROVEN = {"pairs_to_ipairs": pairs_to_ipairs, "append_loop_counter": append_loop_counter, "vectors_in_loops": vectors_in_loops, "local_latches": local_latches}
 
 

@@ -212,6 +212,15 @@ def test_texts(read):
         assert got.get(f"text/{k}") == want, k
 
 
+def test_concatenations_are_safe_only_by_proof(read):
+    _, facts, b = read
+    got = {r.path: r.detail["safe"] for r in P.concatenation_in_loops(facts, b).collect()}
+    for k, (_, want) in TEXTS.items():
+        if f"text/{k}" in got:
+            assert (got[f"text/{k}"] == "true") == bool(want), k
+    assert sum(v == "true" for v in got.values()) == sum(bool(w) for _, w in TEXTS.values())
+
+
 def test_rewrites(spark, read):
     files, facts, b = read
     once = {r.path: r for r in rewrite(files, P.proven_edits(files, facts, b, yellow=True)).collect()}
