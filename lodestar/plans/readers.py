@@ -10,6 +10,7 @@ from ..operators import tallies as T
 from ..scripts import censuses as S
 from ..scripts.bindings import stored_bindings
 from ..scripts.facts import stored_facts
+from ..sinks import runs as O
 from ..sources import captures as C
 from ..sources import config as K
 from ..sources import engine_log as E
@@ -239,3 +240,20 @@ def debug_risks(t):
     unnest(['printf', 'printf', 'call', CASE WHEN s_suppkey % 2 = 0 THEN 'literal' ELSE 'join' END, 'statement', 'statement', 'other', 'other']) AS value, 1 AS n FROM supplier) GROUP BY 1, 2""")
 def debug_census(t):
     return S.debug_census(stored_facts(_listeners(t)))
+
+
+@query("""SELECT 'm' || p_size || '/' || p_partkey AS rel, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 5 = 1 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 5 IN (0, 1, 2)""")
+def overlay_changes(t):
+    """Two trees of files by their digests: what the later one adds, takes away and changes."""
+    rel = F.concat(F.lit("m"), _str("p_size"), F.lit("/"), _str("p_partkey"))
+    k = F.col("p_partkey") % 5
+    before = t("part").filter(k != 0).select(rel.alias("rel"), F.sha2("p_name", 256).alias("sha256"))
+    after = t("part").filter(k != 1).select(rel.alias("rel"), F.sha2(F.concat("p_name", F.when(k == 2, "!").otherwise("")), 256).alias("sha256"))
+    return O.added_only(before, after)
+
+
+@query("SELECT 'run_' || c_custkey || '/metrics.json' AS path, '{\"fps_avg\":' || c_custkey || ',\"crashed\":' || (c_custkey % 2 = 0)::VARCHAR || '}' AS document FROM customer")
+def run_documents(t):
+    """A run's metrics as the document that is written for it."""
+    rows = t("customer").select(F.concat(F.lit("run_"), _str("c_custkey")).alias("run"), F.col("c_custkey").alias("fps_avg"), (F.col("c_custkey") % 2 == 0).alias("crashed"), F.lit(None).cast("string").alias("notes"))
+    return O.documents(rows, "run", "metrics.json")

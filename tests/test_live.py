@@ -140,3 +140,21 @@ def test_whole_report(spark, tmp_path):
     assert (s.findings, s.by_severity.RED, s.failures, s.applied, s.dropped, s.modified) == (3, 2, 1, 2, 1, 1)
     assert {r.mod: (r.files, r.by_impact.high) for r in spark.read.json(str(tmp_path / "mods")).collect()} == {"m": (2, 1), "n": (1, 1)}
     assert spark.read.json(str(tmp_path / "files")).count() == 3 and K.summary(found.limit(0), failures.limit(0), edits.limit(0)).first().findings == 0
+
+
+def test_documents_and_overlays(spark, tmp_path):
+    from lodestar.sinks import runs as D
+
+    rows = spark.createDataFrame([("r1", 1.5, None), ("r2", 2.0, "x"), ("r2", 2.0, "x"), (None, 1.0, "y")], "run string, fps double, notes string")
+    done = D.write_documents(D.documents(rows, "run", "metrics.json"), str(tmp_path / "runs")).collect()
+    assert sorted((r.path, r.status) for r in done) == [("r1/metrics.json", "written"), ("r2/metrics.json", "written")]
+    assert (tmp_path / "runs/r1/metrics.json").read_text() == '{"fps":1.5}' and (tmp_path / "runs/r2/metrics.json").read_text() == '{"fps":2.0,"notes":"x"}'
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a").write_bytes(b"\x00one")
+    winners = spark.createDataFrame([("scripts/a", str(tmp_path / "m/a"), "m"), ("scripts/b", str(tmp_path / "m/b"), "m")], "rel string, source string, mod string")
+    assert sorted((r.path, r.status, r.bytes) for r in D.overlay(winners, str(tmp_path / "out")).collect()) == [("scripts/a", "copied", 4), ("scripts/b", "missing", 0)]
+    assert (tmp_path / "out/scripts/a").read_bytes() == b"\x00one"
+    D.write_manifest(winners, str(tmp_path / "manifest"))
+    assert [r.rel for r in spark.read.json(str(tmp_path / "manifest")).orderBy("rel").collect()] == ["scripts/a", "scripts/b"]
+    old, new = (spark.createDataFrame(x, "rel string, sha256 string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9"), ("d", "4")]))
+    assert {r.rel: r.change for r in D.added_only(old, new).collect()} == {"b": "changed", "c": "removed", "d": "added"}
