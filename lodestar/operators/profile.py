@@ -96,3 +96,9 @@ def trains(frames: DataFrame, key: str, t: str, lo: int, hi: int, rows: int) ->
         gap = F.col(t) - F.lag(t, back).over(order)
         hit = hit | F.coalesce(gap.between(lo, hi), F.lit(False))
     return frames.withColumn("in_train", hit)
+
+
+def slow_start(frames: DataFrame, run: str, t: str, ms: str, floor: float = 12.0, first: float = 90.0) -> DataFrame:
+    """run, slow, worst, lost_ms: frames of `floor` or more in a run's first seconds, the worst, and what they took beyond the floor; runs without one are left out."""
+    early = frames.filter((F.col(ms) >= floor) & (F.col(t) <= first))
+    return early.groupBy(run).agg(F.count(F.lit(1)).alias("slow"), F.max(ms).alias("worst"), F.round(F.sum(F.col(ms) - floor), 6).alias("lost_ms"))

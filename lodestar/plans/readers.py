@@ -10,10 +10,13 @@ from ..operators import tallies as T
 from ..scripts import censuses as S
 from ..scripts.bindings import stored_bindings
 from ..scripts.facts import stored_facts
+from ..operators import profile
+from ..sinks import reports as R
 from ..sinks import runs as O
 from ..sources import captures as C
 from ..sources import config as K
 from ..sources import engine_log as E
+from ..sources import mods
 from ..sources import text as X
 from .catalog import query
 
@@ -257,3 +260,36 @@ def run_documents(t):
     """A run's metrics as the document that is written for it."""
     rows = t("customer").select(F.concat(F.lit("run_"), _str("c_custkey")).alias("run"), F.col("c_custkey").alias("fps_avg"), (F.col("c_custkey") % 2 == 0).alias("crashed"), F.lit(None).cast("string").alias("notes"))
     return O.documents(rows, "run", "metrics.json")
+
+
+@query("""SELECT c_nationkey, string_agg(v, ' ' ORDER BY a, n, z) AS ordered FROM (SELECT c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'Mod ' ELSE 'arm' END || CASE WHEN c_custkey % 3 = 0 THEN '0' ELSE '' END || c_custkey AS v,
+    CASE WHEN c_custkey % 2 = 0 THEN 'mod ' ELSE 'arm' END AS a, c_custkey AS n, c_custkey % 3 = 0 AS z FROM customer) GROUP BY 1""")
+def natural_names(t):
+    """Names with numbers in them in the order people read them."""
+    k = F.col("c_custkey")
+    v = F.concat(F.when(k % 2 == 0, "Mod ").otherwise("arm"), F.when(k % 3 == 0, "0").otherwise(""), _str(k))
+    rows = t("customer").select("c_nationkey", v.alias("v"), R.natural_key(v).alias("key"))
+    return rows.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "v"))), lambda x: x["v"]), " ").alias("ordered"))
+
+
+@query("""SELECT user_id, count(*) AS slow, max(value) AS worst, round(sum(value - 12), 6) AS lost_ms FROM (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS s FROM events) WHERE value >= 12 AND s <= 900000 GROUP BY 1""")
+def slow_starts(t):
+    """Slow frames of a run's beginning."""
+    e = t("events").withColumn("__us", micros("ts"))
+    first = e.groupBy("user_id").agg(F.min("__us").alias("__from"))
+    rows = e.join(first, "user_id").withColumn("s", (F.col("__us") - F.col("__from")) / 1e6)
+    return profile.slow_start(rows, "user_id", "s", "value", 12.0, 900_000.0)
+
+
+@query("""SELECT 'p' || p_size AS path, kind, taken FROM (SELECT p_size, ['script', 'config', 'other'][p_partkey % 3 + 1] AS kind, p_partkey AS taken, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) AS r FROM part WHERE p_partkey % 3 < 2) WHERE r = 1""")
+def restored_entries(t):
+    """What of a snapshot is brought back: the newest entry of each path among two kinds."""
+    kind = F.element_at(F.array(*map(F.lit, ("script", "config", "other"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    manifest = t("part").select(F.concat(F.lit("p"), _str("p_size")).alias("path"), kind.alias("kind"), F.col("p_partkey").alias("taken"))
+    return mods.restored(manifest, ["script", "config"])
+
+
+@query("SELECT p_partkey::VARCHAR AS path, length(p_name)::BIGINT AS bytes, sha256(p_name) AS sha256 FROM part")
+def snapshots(t):
+    """Size and digest of each file's bytes."""
+    return mods.snapshot(t("part").select(_str("p_partkey").alias("path"), F.col("p_name").cast("binary").alias("content")))

@@ -129,8 +129,10 @@ def with_impact(rows: DataFrame, table: DataFrame, prefixes: list[tuple[str, str
     return rows.join(table, "pattern", "left").withColumn("impact", F.coalesce("impact", by_prefix, F.lit(default)))
 
 
-def unified_diff(pairs: DataFrame, keys: list[str], context: int = 3) -> DataFrame:
-    """keys, diff: the unified diff of two texts (old, new), empty for equal ones."""
+def unified_diff(pairs: DataFrame, keys: list[str], context: int = 3, most: int | None = None) -> DataFrame:
+    """keys, diff: the unified diff of two texts (old, new), empty for equal ones; with `most` only the first so many by keys whose texts differ."""
+    if most is not None:
+        pairs = pairs.filter(~F.col("old").eqNullSafe(F.col("new"))).orderBy(*keys).limit(most)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema), "diff string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +159,14 @@ def natural(column: str) -> list[Column]:
     return [F.when(is_number, 0).otherwise(1), F.when(is_number, c.cast("long")), c.asc_nulls_last()]
 
 
+def natural_key(column: Column) -> Column:
+    """A sort key of mixed texts as people read them: runs of digits by their value, the rest without regard to case; of runs alike, the one with fewer zeros before it is first. Null for null."""
+    pieces = F.regexp_extract_all(column, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    # A number's key begins with how many digits it has, so longer ones come after.
+    return F.transform(pieces, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(digits(x)).cast("string"), 6, "0"), digits(x), F.lit(" "), F.lpad((F.length(x) - F.length(digits(x))).cast("string"), 6, "0"))).otherwise(F.concat(F.lit("1"), F.lower(x))))
+
+
 def seen_before(rows: DataFrame, key: str, order: list[str], mark: Column, back: int, into: str) -> DataFrame:
     """How many of the `back` rows before this one are marked; null for none."""
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(-back, -1)

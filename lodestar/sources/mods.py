@@ -93,7 +93,7 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
 def bench_cases(files: DataFrame) -> DataFrame:
     """(path, meta, sections, fault) of bench files (path, text) whose lines `-- @name rest` set a value or open a section.
 
-    Several notes add up. Faults: an unknown name, a missing section, a missing pattern or title.
+    Several notes add up. Faults: an unknown name, another one given twice, a missing section, a missing pattern or title.
     """
     #: Fixed values of the format.
     sections, metas = ("setup", "original", "rewrite", "sink"), ("pattern", "title", "status", "n", "doc", "notes", "iters", "doc_at", "corpus_k", "corpus_src")
@@ -111,10 +111,11 @@ def bench_cases(files: DataFrame) -> DataFrame:
     value = F.when(F.col("name") == "notes", F.array_join(F.transform("v", lambda x: x["rest"]), " ")).otherwise(F.element_at("v", -1)["rest"])
     meta = values.groupBy("path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", value.alias("value"))))).alias("meta"))
     strange = placed.filter(F.col("name").isNotNull() & ~F.col("name").isin(*sections, *metas)).groupBy("path").agg(F.min_by("name", "at").alias("strange"))
-    joined = files.select("path").join(meta, "path", "left").join(bodies, "path", "left").join(strange, "path", "left")
+    again = placed.filter(F.col("name").isin(*sections, *metas) & (F.col("name") != "notes")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("path").agg(F.min("name").alias("again"))
+    joined = files.select("path").join(meta, "path", "left").join(bodies, "path", "left").join(strange, "path", "left").join(again, "path", "left")
     lacking = lambda names, bag: F.array_join(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: ~F.coalesce(F.array_contains(F.map_keys(bag), n), F.lit(False))), ", ")
     no_section, no_meta = lacking(sections[1:], "sections"), lacking(("pattern", "title"), "meta")
-    fault = F.when(F.col("strange").isNotNull(), F.concat(F.lit("unknown directive @"), "strange")).when(no_section != "", F.concat(F.lit("missing section "), no_section)).when(no_meta != "", F.concat(F.lit("missing @"), no_meta))
+    fault = F.when(F.col("strange").isNotNull(), F.concat(F.lit("unknown directive @"), "strange")).when(F.col("again").isNotNull(), F.concat(F.lit("directive given twice @"), "again")).when(no_section != "", F.concat(F.lit("missing section "), no_section)).when(no_meta != "", F.concat(F.lit("missing @"), no_meta))
     return joined.select("path", "meta", "sections", fault.alias("fault"))
 
 
@@ -136,6 +137,14 @@ def snapshot(files: DataFrame) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def restored(manifest: DataFrame, kinds: list[str] | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """The entries of a snapshot (path, kind, ...) to bring back: those of the kinds (null: all), of the paths asked for, if any; of a path that comes twice the one of the newest `taken`."""
+    rows = manifest if kinds is None else manifest.filter(F.col("kind").isin(*kinds))
+    rows = rows if paths is None else rows.join(paths.select("path").distinct(), "path", "left_semi")
+    others = [c for c in rows.columns if c != "path"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*others), F.struct("taken", *[c for c in others if c != "taken"])).alias("e")).select("path", "e.*")
+
+
 def tree_digest(entries: DataFrame, by: list[str]) -> DataFrame:
     """One digest a tree: of the digests of its files dealt to 4,096 parts by the first three digits of the path's SHA-256, each over its paths and digests in order.
 

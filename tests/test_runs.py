@@ -114,9 +114,9 @@ def test_encodings_need_letters(raw, name):
 
 def test_bench_faults(spark):
     good = "-- @pattern p\n-- @title t\n-- @original\na\n-- @rewrite\nb\n-- @sink\nc"
-    rows = [("a", good), ("b", good.replace("@title", "@tilte")), ("c", good.replace("-- @sink\n", "")), ("d", "")]
+    rows = [("a", good), ("b", good.replace("@title", "@tilte")), ("c", good.replace("-- @sink\n", "")), ("d", ""), ("e", good + "\n-- @title u"), ("f", good + "\n-- @notes x\n-- @notes y")]
     got = {r.path: r for r in D.bench_cases(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got["a"].fault is None and got["a"].sections == {"original": "a", "rewrite": "b", "sink": "c"} and got["b"].fault == "unknown directive @tilte" and got["c"].fault == "missing section sink" and got["d"].fault.startswith("missing section")
+    assert got["a"].fault is None and got["a"].sections == {"original": "a", "rewrite": "b", "sink": "c"} and got["b"].fault == "unknown directive @tilte" and got["c"].fault == "missing section sink" and got["d"].fault.startswith("missing section") and got["e"].fault == "directive given twice @title" and got["f"].fault is None and got["f"].meta["notes"] == "x y"
 
 
 def test_reports(spark, tmp_path):
