@@ -69,9 +69,28 @@ def with_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     return materialize(docs.select(*[c.alias(n) for n, c in columns.items()]).withColumn("row", F.monotonically_increasing_id()))
 
 
+#: Bitmaps of 4 KB that are broadcast at most: 32 MB, up to 268 million rows.
+MOST_BITMAPS = 8192
+
+
+def only_rows(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a table with large columns whose `row` is in `wanted`, without a shuffle of the table.
+
+    The wanted numbers are a bit each, in bitmaps of 32,768 that are counted before they are broadcast;
+    of more than MOST_BITMAPS both tables are shuffled instead.
+    """
+    number, bit = F.bitmap_bucket_number("row"), F.bitmap_bit_position("row")
+    bitmaps = materialize(wanted.select("row").groupBy(number.alias("__n")).agg(F.bitmap_construct_agg(bit).alias("__bits")), "lz4")
+    if bitmaps.count() > MOST_BITMAPS:
+        return table.join(wanted.select("row"), "row", "left_semi")
+    byte = F.conv(F.hex(F.substr("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = table.withColumn("__n", number).join(F.broadcast(bitmaps), "__n")
+    return met.filter(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).select(*table.columns)
+
+
 def keep_rows(stored: DataFrame, kept: DataFrame) -> DataFrame:
-    """Documents of a stored table (struct column `doc`, `row`) whose row is in `kept`; one shuffle of the texts."""
-    return stored.join(kept.select("row"), "row", "left_semi").select("doc.*")
+    """Documents of a stored table (struct column `doc`, `row`) whose row is in `kept`; texts are not shuffled."""
+    return only_rows(stored, kept).select("doc.*")
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[Column], size: Column, into: str, buckets: int = 512, spread: Column | None = None) -> DataFrame:

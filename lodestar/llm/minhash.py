@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, drop_table, free, keep_rows, materialize, with_rows
+from .common import arrow_batches, drop_table, free, keep_rows, materialize, only_rows, with_rows
 from .components import components
 from .hashing import mixed, shingle_sets, some_texts, texts_of
 
@@ -86,7 +86,7 @@ def full_sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.binary())], names=["row", "set"])
 
     named = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    return rows.select("row", "text").join(named, "row", "left_semi").mapInArrow(sets, "row long, set binary")
+    return only_rows(rows.select("row", "text"), named).mapInArrow(sets, "row long, set binary")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
