@@ -151,3 +151,16 @@ def test_last_stages_meet_their_targets(spark):
     for r in packed:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 1024 and len(used) <= -(-sum(used.values()) // 1024) * 1.02 + 1
+
+
+def test_rows_by_bitmaps(spark, monkeypatch):
+    """The same rows through bitmaps and through a shuffle, over several partitions and none."""
+    from lodestar.llm import common
+
+    rows = common.materialize(spark.range(0, 90_000, 1, 5).select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("text")))
+    wanted = rows.filter(F.pmod(F.xxhash64("text"), F.lit(3)) == 0).select("row")
+    some = {r.text for r in rows.join(wanted, "row", "left_semi").collect()}
+    assert {r.text for r in common.only_rows(rows, wanted).collect()} == some and common.only_rows(rows, wanted).columns == ["row", "text"]
+    assert common.only_rows(rows, wanted.union(wanted)).count() == len(some) and common.only_rows(rows, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(common, "MOST_BITMAPS", 0)
+    assert {r.text for r in common.only_rows(rows, wanted).collect()} == some
