@@ -155,7 +155,7 @@ class Edit:
         self.inner: list[Edit] = []
 
 
-def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int, list[tuple[int, int, int, int]]]:
+def spliced(source: str, edits: list[Edit]) -> tuple[str, int, int, list[tuple[int, int, int, int]]]:
     """The text with the edits that fit together, how many were applied and dropped, and the pieces put in.
 
     A piece is (start, end) in the source and (to_start, to_end) in the text.
@@ -223,6 +223,11 @@ def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int, list[tuple[i
     return "".join([*out, source[at:]]), len(landed), len(edits) - len(landed), pieces
 
 
+def resolve(source: str, edits: list[Edit]) -> tuple[str, int, int]:
+    """`spliced` without the pieces."""
+    return spliced(source, edits)[:3]
+
+
 _PIECE = pa.struct([(c, pa.int32()) for c in ("start", "end", "to_start", "to_end")])
 REWRITTEN = "path string, text string, applied int, dropped int, pieces array<struct<start:int,end:int,to_start:int,to_end:int>>"
 
@@ -236,7 +241,7 @@ def rewrite(files: DataFrame, edits: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, text, es in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                made = resolve(text or "", [Edit(**e) for e in es or ()])
+                made = spliced(text or "", [Edit(**e) for e in es or ()])
                 rows.append((path, *made[:3], [dict(zip(("start", "end", "to_start", "to_end"), x, strict=True)) for x in made[3]]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(_PIECE)), strict=True)], names=["path", "text", "applied", "dropped", "pieces"])

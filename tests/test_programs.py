@@ -140,7 +140,7 @@ def test_admission_against_a_plain_search(seed):
         z = min(300, a + rng.choice([0, 1, 2, 5, 30]))
         text = rng.choice(["X", source[a:z] + "!", f"<{source[a:z]}>"])
         edits.append((a, z, text, rng.choice([0, 0, 5]), rng.choice([None, None, f"g{k % 7}"]), a == z and rng.random() < 0.3, rng.random() < 0.3))
-    text, applied, dropped, pieces = E.resolve(source, [E.Edit(*e) for e in edits])
+    text, applied, dropped, pieces = E.spliced(source, [E.Edit(*e) for e in edits])
     assert applied + dropped == len(edits)
     # What is between the pieces is the source, shifted.
     at = to = 0
