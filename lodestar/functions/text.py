@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,21 @@ def kv_bag(line: Column, separator: str = "|") -> Column:
     Parts without a `=` are left out. Of equal keys the last holds, whatever the session's policy for
     repeated keys: earlier ones are taken out before the map is made. A null line gives null.
     """
-    parts = F.filter(F.split(line, f"[{separator}]"), lambda p: F.instr(p, "=") > 0)
+    parts = F.filter(F.split(line, "\\" + separator), lambda p: F.instr(p, "=") > 0)
     strip = lambda c: F.btrim(c, F.lit(BLANKS))
     pair = lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("key"), strip(F.substr(p, F.instr(p, "=") + 1)).alias("value"))
-    pairs = F.transform(parts, pair)
-    later = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
-    return F.map_from_entries(F.filter(pairs, lambda p, i: ~later(p, i)))
+    keys = lambda pairs: F.transform(pairs, lambda p: p["key"])
+    # By key and place; the last of each key stays.
+    placed = lambda pairs: F.sort_array(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+    last = lambda by_key: F.filter(by_key, lambda p, i: F.coalesce(F.get(by_key, i + 1)["key"] != p["key"], F.lit(True)))
+    without_place = lambda kept: F.transform(kept, lambda p: F.struct(p["key"], p["value"]))
+    bag = lambda pairs: F.map_from_entries(F.when(F.size(F.array_distinct(keys(pairs))) == F.size(pairs), pairs).otherwise(without_place(_once(placed(pairs), last))))
+    return _once(F.transform(parts, pair), bag)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def number(text: Column) -> Column:

@@ -54,7 +54,8 @@ def profile_records(lines: DataFrame, tag: str) -> DataFrame:
     """path, line_no, kind, rest, kv: lines (path, line_no, raw) with `tag|version|kind|k=v|k=v` anywhere in them."""
     pattern = rf"{tag}\|(\w+)\|(\w+)\|?(.*)$"
     rows = lines.filter(F.col("raw").rlike(pattern)).select("path", "line_no", F.regexp_extract("raw", pattern, 2).alias("kind"), F.regexp_extract("raw", pattern, 3).alias("rest"))
-    return rows.withColumn("kv", F.when(F.col("kind") != "err", kv_bag(F.col("rest"))))
+    # A generated column: what reads it or filters by it does not take the line apart again.
+    return rows.select("*", F.explode(F.array(F.when(F.col("kind") != "err", kv_bag(F.col("rest"))))).alias("kv"))
 
 
 def _num(name: str, default: float | None = None) -> Column:
