@@ -38,14 +38,14 @@ def unused(defined: DataFrame, key: str, *uses: DataFrame) -> DataFrame:
     return out
 
 
-def innermost(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, on: list[str], point_id: str, cell: int) -> DataFrame:
-    """Each point with the shortest span of its group that holds it (lo <= at <= hi).
+def innermost(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, on: list[str], point_id: str, cell: int, span_id: str | None = None) -> DataFrame:
+    """Each point with the shortest span of its group that holds it (lo <= at <= hi); of equals the one that begins last, then the one of least `span_id`.
 
     Spans are dealt to cells of the axis, so the join is an equi-join on group and cell.
     """
     celled = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
     met = points.withColumn("__cell", F.floor(F.col(at) / cell)).join(celled, [*on, "__cell"]).filter((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi)))
-    nearest = Window.partitionBy(point_id).orderBy(F.col(hi) - F.col(lo), F.col(lo).desc())
+    nearest = Window.partitionBy(point_id).orderBy(F.col(hi) - F.col(lo), F.col(lo).desc(), *([F.col(span_id)] if span_id else []))
     return met.withColumn("__place", F.row_number().over(nearest)).filter("__place = 1").drop("__place", "__cell")
 
 

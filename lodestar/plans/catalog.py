@@ -151,7 +151,7 @@ def live_copies(t):
     SELECT event_id, o_orderkey FROM (SELECT event_id, o_orderkey, row_number() OVER (PARTITION BY event_id ORDER BY hi - lo, lo DESC, o_orderkey) AS r FROM p JOIN s USING (user_id) WHERE pos BETWEEN lo AND hi) WHERE r = 1""")
 def innermost_interval(t):
     spans = t("orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", (F.col("o_orderkey") % 1000).alias("lo"), (F.col("o_orderkey") % 1000 + 50 + F.col("o_orderkey") % 97).alias("hi"))
-    return J.innermost(t("events").select("event_id", "user_id", (F.col("event_id") % 1100).alias("pos")), "pos", spans, "lo", "hi", ["user_id"], "event_id", 64).select("event_id", "o_orderkey")
+    return J.innermost(t("events").select("event_id", "user_id", (F.col("event_id") % 1100).alias("pos")), "pos", spans, "lo", "hi", ["user_id"], "event_id", 64, "o_orderkey").select("event_id", "o_orderkey")
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) // 86400000000 AS lo, epoch_us(o_orderdate) // 86400000000 + 30 AS hi FROM orders)
@@ -320,7 +320,7 @@ def kv_parse(t):
     """Lines with a part that is no pair, a pair with a second `=`, a key that comes twice, and `nil`."""
     ms = F.when(F.col("event_id") % 4 == 0, "nil").otherwise(F.col("value").cast("string"))
     line = F.concat_ws("|", F.lit("PROF"), F.concat(F.lit("kind="), "event_type"), F.lit("ms=1"), F.lit("x=a=b"), F.concat(F.lit("ms="), ms))
-    bag = t("events").select("event_id", T.kv_bag(line).alias("m"))
+    bag = t("events").select("event_id", F.explode(F.array(T.kv_bag(line))).alias("m"))
     return bag.filter(F.col("m")["x"] == "a=b").select("event_id", F.col("m")["kind"].alias("kind"), T.number(F.col("m")["ms"]).alias("ms"))
 
 
