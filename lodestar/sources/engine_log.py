@@ -13,6 +13,8 @@ LOADED, CREATED = "is successfully loaded", "new game is successfully created"
 TIMES = ("load time", "loading time", "loadtime")
 SIMULATION = ("alife", "a-life")
 MODULES = (".dll", ".exe")
+#: A time in brackets comes first, then a sign, then a tag in brackets with a colon, then the text; each of the three may be missing.
+HEAD = r"(?s)^(?: *\[([:. \t]*[0-9][0-9:. \t]*)\] *)?(?:([" + SIGNS + r"]) *)?(?:\[([^\]]+)\]: *)?(.*)$"
 
 
 def _after(text: Column, phrase: str) -> Column:
@@ -37,31 +39,16 @@ def _has(text: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
-def _brackets(text: Column) -> tuple[Column, Column]:
-    """What the brackets at the start of a text hold, and what follows them; null without any."""
-    closes = F.instr(text, "]")
-    some = text.startswith("[") & (closes > 2)
-    return F.when(some, F.substr(text, F.lit(2), closes - 2)), F.when(some, F.substr(text, closes + 1, F.length(text)))
-
-
 def entries(lines: DataFrame) -> DataFrame:
     """path, index, raw, sigil, tag, text, timestamp, t_s, part of lines (path, line_no, raw); blank ones are left out.
 
     `part`: `fatal`, `marker` (a stack trace begins), `stack`, `detail` (of a crash) or `plain`. A
     stack lasts while lines are indented or name a module; details are bracketed lines after a crash.
     """
-    rows = lines.withColumn("line", F.regexp_replace("raw", r"\s+$", "")).filter("line != ''").withColumn("body", F.col("line"))
-    # A time in brackets comes first, then a sign, then a tag in brackets with a colon; each may be missing.
-    held, rest = _brackets(F.ltrim("body"))
-    timed = held.isNotNull() & (F.translate(held, "0123456789:. \t", "") == "") & (F.regexp_count(held, F.lit("[0-9]")) > 0)
-    rows = rows.withColumn("stamp", F.when(timed, held).otherwise("")).withColumn("body", F.when(timed, F.ltrim(rest)).otherwise(F.col("body")))
-    signed = F.instr(F.lit(SIGNS), F.substring("body", 1, 1)) > 0
-    signed = signed & (F.length("body") > 0)
-    rows = rows.withColumn("sigil", F.when(signed, F.substring("body", 1, 1)).otherwise("")).withColumn("body", F.when(signed, F.ltrim(F.expr("substring(body, 2)"))).otherwise(F.col("body")))
-    held, rest = _brackets(F.col("body"))
-    tagged = held.isNotNull() & rest.startswith(":")
-    rows = rows.withColumn("tag", F.when(tagged, held).otherwise("")).withColumn("body", F.when(tagged, F.ltrim(F.substr(rest, F.lit(2), F.length(rest)))).otherwise(F.col("body")))
-    stamp = F.nullif(F.trim("stamp"), F.lit(""))
+    rows = lines.withColumn("line", F.regexp_replace("raw", r"\s+$", "")).filter("line != ''")
+    piece = lambda i: F.regexp_extract("line", HEAD, i)
+    rows = rows.withColumns({"stamp": F.nullif(F.trim(piece(1)), F.lit("")), "sigil": piece(2), "tag": piece(3), "body": piece(4)})
+    stamp = F.col("stamp")
     clock = F.split(stamp, ":")
     part = lambda i, by: F.get(clock, F.lit(i)).try_cast("double") * by
     seconds = F.coalesce(stamp.try_cast("double"), F.when(F.size(clock) == 3, part(0, 3600) + part(1, 60) + part(2, 1)))
