@@ -27,3 +27,10 @@ def test_profile_pairs_of_equal_keys(spark):
     lines = [("f", 0, "~ PROF|1|win|seq=1| seq = 2 |frames=3|x|frames=|y=a=b"), ("f", 1, "PROF|1|err|a=b"), ("f", 2, "PROF|1|eow")]
     got = captures.profile_records(spark.createDataFrame(lines, "path string, line_no int, raw string"), "PROF").orderBy("line_no").collect()
     assert [(r.kind, r.kv) for r in got] == [("win", {"seq": "2", "frames": "", "y": "a=b"}), ("err", None), ("eow", {})]
+
+
+def test_innermost_of_equal_spans(spark):
+    points = spark.createDataFrame([(1, "u", 5)], "p int, u string, at int")
+    for order in ([3, 1, 2], [2, 3, 1], [1, 2, 3]):
+        spans = spark.createDataFrame([(s, "u", 0, 9) for s in order], "s int, u string, lo int, hi int")
+        assert joins.innermost(points, "at", spans, "lo", "hi", ["u"], "p", 4, "s").first().s == 1
