@@ -34,3 +34,12 @@ def test_innermost_of_equal_spans(spark):
     for order in ([3, 1, 2], [2, 3, 1], [1, 2, 3]):
         spans = spark.createDataFrame([(s, "u", 0, 9) for s in order], "s int, u string, lo int, hi int")
         assert joins.innermost(points, "at", spans, "lo", "hi", ["u"], "p", 4, "s").first().s == 1
+
+
+def test_head_of_a_log_line(spark):
+    assert "translate(" not in plan(QUERIES["log_times"](spark, SMALL))
+    raws = [" [ 1:02:03 ]  *  [tag]:  text ", "[] x", "[:] x", "!!", "  [a]: b", "[a]: b", "[1][b]: c", "[1]b] d", "~[x]y", "[7"]
+    rows = engine_log.entries(spark.createDataFrame([("f", i, r) for i, r in enumerate(raws)], "path string, line_no int, raw string")).orderBy("index").collect()
+    assert [(r.timestamp, r.sigil, r.tag, r.text) for r in rows] == [
+        ("1:02:03", "*", "tag", "text"), (None, "", "", "[] x"), (None, "", "", "[:] x"), (None, "!", "", "!"), (None, "", "", "[a]: b"),
+        (None, "", "a", "b"), ("1", "", "b", "c"), ("1", "", "", "b] d"), (None, "~", "", "[x]y"), (None, "", "", "[7")]
