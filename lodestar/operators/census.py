@@ -83,27 +83,56 @@ def two_arms(calls: DataFrame, name: str, arm: str, frames: dict[str, int]) -> D
     return by.filter(F.abs(F.col("base") - F.col("patched")) >= 1e-9)
 
 
-def metric_document(samples: DataFrame, run: str) -> DataFrame:
+def _rounded(x: Column, digits: int) -> Column:
+    """Half to even of the scaled double, as DuckDB's round_even does (`bround` goes by the decimal digits that are shown)."""
+    scale = F.lit(10.0**digits)
+    scaled = F.rint(x * scale) / scale
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(x)
+
+
+def _between(lo: Column, hi: Column, d: Column) -> Column:
+    """lo * (1 - d) + hi * d with the first product unrounded (a fused multiply-add), so that ties round as with quantile_cont."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        big = x * 134217729.0
+        top = big - (big - x)
+        return top, x - top
+
+    e = 1 - d
+    (a, b), (c, f) = halves(lo), halves(e)
+    first, second = lo * e, hi * d
+    lost = ((a * c - first) + a * f + b * c) + b * f  # of the product
+    total = first + second
+    part = total - first
+    lost = lost + ((first - (total - part)) + (second - part))  # and of the sum
+    return F.when((d == 0) | (lo == hi), lo).when(F.abs(lost) < float("inf"), total + lost).otherwise(total)
+
+
+def metric_document(samples: DataFrame, run: str, still: bool = False) -> DataFrame:
     """A run's document of samples (t_s, frametime_ms, fps, cpu_pct, rss_mb): null, 0, NaN and infinity are no measurement.
 
-    Without frame times they come from the rates. fps_avg is the rate of the mean frame time. Values are rounded half to even.
+    With `still` a rate of 0 is one: its frame takes for ever. Without frame times they come from the
+    rates. fps_avg is the rate of the mean frame time. Values are rounded half to even.
     `crashed` and `load_time_s` of a run come from its log: join `engine_log.summaries` by run.
     """
     measured = lambda c: F.when((F.col(c) != 0) & (F.abs(F.col(c)) < float("inf")), F.col(c))
     ft, fps = measured("frametime_ms"), measured("fps")
+    frame = F.when(F.col("__fps") > 0, 1000 / F.col("__fps"))
+    if still:
+        fps, frame = F.coalesce(fps, F.when(F.col("fps") == 0, 0.0)), frame.when(F.col("__fps") == 0, float("inf"))
     own = samples.withColumn("__ft", ft).withColumn("__fps", fps)
     timed = own.groupBy(run).agg((F.count("__ft") > 0).alias("__timed"))
-    rows = own.join(timed, run).withColumn("__ft", F.when(F.col("__timed"), F.col("__ft")).otherwise(F.when(F.col("__fps") > 0, 1000 / F.col("__fps"))))
+    rows = own.join(timed, run).withColumn("__ft", F.when(F.col("__timed"), F.col("__ft")).otherwise(frame))
     base = rows.groupBy(run).agg(
-        F.count(F.lit(1)).alias("samples"), F.count("__ft").alias("frames"), F.bround(1000 / F.avg("__ft"), 3).alias("fps_avg"), F.bround(F.max("t_s") - F.min("t_s"), 3).alias("duration_s"),
-        F.bround(F.avg("cpu_pct"), 2).alias("cpu_avg"), F.bround(F.max("cpu_pct"), 2).alias("cpu_peak"), F.bround(F.max("rss_mb"), 3).alias("ram_peak_mb"), F.bround(F.min("__fps"), 3).alias("fps_min"), F.bround(F.max("__fps"), 3).alias("fps_max"),
+        F.count(F.lit(1)).alias("samples"), F.count("__ft").alias("frames"), _rounded(1000 / F.avg("__ft"), 3).alias("fps_avg"), _rounded(F.max("t_s") - F.min("t_s"), 3).alias("duration_s"),
+        _rounded(F.avg("cpu_pct"), 2).alias("cpu_avg"), _rounded(F.max("cpu_pct"), 2).alias("cpu_peak"), _rounded(F.max("rss_mb"), 3).alias("ram_peak_mb"), _rounded(F.min("__fps"), 3).alias("fps_min"), _rounded(F.max("__fps"), 3).alias("fps_max"),
     )
     k = lambda p: (F.col("frames") - 1) * F.lit(p)
     at = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
     wanted = base.filter("frames > 0").select(run, F.explode(F.array_distinct(F.array(*[f(k(p)) for p in at.values() for f in (F.floor, F.ceil)]))).alias("__rank"))
     values = ranked_values(rows, [run], "__ft", wanted).groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__bag"))
-    between = lambda p: F.col("__bag")[F.floor(k(p))] + (k(p) - F.floor(k(p))) * (F.col("__bag")[F.ceil(k(p))] - F.col("__bag")[F.floor(k(p))])
-    return base.join(values, run, "left").withColumns({n: F.bround(between(p), 3) for n, p in at.items()}).drop("__bag")
+    at_rank = lambda p: _between(F.col("__bag")[F.floor(k(p))], F.col("__bag")[F.ceil(k(p))], k(p) - F.floor(k(p)))
+    return base.join(values, run, "left").withColumns({n: _rounded(at_rank(p), 3) for n, p in at.items()}).drop("__bag")
 
 
 def guarded_between(accesses: DataFrame, lines: DataFrame) -> DataFrame:

@@ -43,3 +43,13 @@ def test_head_of_a_log_line(spark):
     assert [(r.timestamp, r.sigil, r.tag, r.text) for r in rows] == [
         ("1:02:03", "*", "tag", "text"), (None, "", "", "[] x"), (None, "", "", "[:] x"), (None, "!", "", "!"), (None, "", "", "[a]: b"),
         (None, "", "a", "b"), ("1", "", "b", "c"), ("1", "", "", "b] d"), (None, "~", "", "[x]y"), (None, "", "", "[7")]
+
+
+def test_metric_document_ties_and_rates_of_zero(spark):
+    rows = spark.createDataFrame([("r", float(i), None, f, 1.0, None) for i, f in enumerate((50.0, 0.0))], "run string, t_s double, frametime_ms double, fps double, cpu_pct double, rss_mb double")
+    assert (census.metric_document(rows, "run").first().frames, census.metric_document(rows, "run").first().fps_min) == (1, 50.0)
+    still = census.metric_document(rows, "run", still=True).first()
+    assert (still.frames, still.fps_avg, still.fps_min, still.p99_ms) == (2, 0.0, 0.0, math.inf)
+    lo, hi, d = 0.1, 0.7, 0.61
+    got = spark.createDataFrame([(lo, hi, d)], "lo double, hi double, d double").select(census._between(F.col("lo"), F.col("hi"), F.col("d"))).first()[0]
+    assert got == math.fma(lo, 1 - d, hi * d)
