@@ -53,3 +53,17 @@ def test_metric_document_ties_and_rates_of_zero(spark):
     lo, hi, d = 0.1, 0.7, 0.61
     got = spark.createDataFrame([(lo, hi, d)], "lo double, hi double, d double").select(census._between(F.col("lo"), F.col("hi"), F.col("d"))).first()[0]
     assert got == math.fma(lo, 1 - d, hi * d)
+
+
+def test_equal_scripts_are_parsed_once_a_task(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def read(text):
+        with open(seen, "a") as f:
+            f.write("x")
+        return [(text, 1)] * len(text)
+
+    files = spark.createDataFrame([("a", "ab"), ("b", "ab"), ("c", None), ("d", "abc")], "path string, text string").coalesce(1)
+    schema = pa.schema([("path", pa.string()), ("t", pa.string()), ("n", pa.int32())])
+    rows = facts.parsed(files, read, schema, "path string, t string, n int").collect()
+    assert sorted((r.path, r.t) for r in rows) == [("a", "ab")] * 2 + [("b", "ab")] * 2 + [("d", "abc")] * 3 and seen.read_text() == "xxx"
