@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,11 +241,19 @@ def rewrite(files: DataFrame, edits: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, text, es in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                made = spliced(text or "", [Edit(**e) for e in es or ()])
-                rows.append((path, *made[:3], [dict(zip(("start", "end", "to_start", "to_end"), x, strict=True)) for x in made[3]]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(_PIECE)), strict=True)], names=["path", "text", "applied", "dropped", "pieces"])
-
-    return files.join(by_path, "path", "left").select("path", "text", "edits").mapInArrow(run, REWRITTEN)
+            lists = batch.column(2)
+            fields = [c.to_pylist() for c in lists.flatten().flatten()]
+            each = map(Edit, *fields)
+            done, places, ends = [], [], [0]
+            for text, n in zip(batch.column(1).to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
+                made = spliced(text or "", list(islice(each, n or 0)))
+                done.append(made[:3])
+                places += made[3]
+                ends.append(len(places))
+            if done:
+                pieces = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else [()] * 4)], fields=list(_PIECE))
+                columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)], names=["path", "text", "applied", "dropped", "pieces"])
+
+    # Dealt by path: a join that broadcasts would leave all scripts to the few tasks that read their table.
+    return files.join(by_path, "path", "left").select("path", "text", "edits").repartition("path").mapInArrow(run, REWRITTEN)

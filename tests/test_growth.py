@@ -67,3 +67,12 @@ def test_equal_scripts_are_parsed_once_a_task(spark, tmp_path):
     schema = pa.schema([("path", pa.string()), ("t", pa.string()), ("n", pa.int32())])
     rows = facts.parsed(files, read, schema, "path string, t string, n int").collect()
     assert sorted((r.path, r.t) for r in rows) == [("a", "ab")] * 2 + [("b", "ab")] * 2 + [("d", "abc")] * 3 and seen.read_text() == "xxx"
+
+
+def test_scripts_are_dealt_before_they_are_rewritten(spark):
+    files = spark.createDataFrame([("a", "xy"), ("b", None), ("c", "z")], "path string, text string").coalesce(1)
+    made = spark.createDataFrame([("a", 0, 1, "X", 0, None, False, False), ("a", 1, 1, "-", 0, None, False, False)], "path string, start int, end int, text string, priority int, grp string, enabler boolean, atomic boolean")
+    out = edits.rewrite(files, made)
+    assert "RepartitionByExpression [path" in plan(out)
+    got = {r.path: (r.text, r.applied, r.dropped, [tuple(p) for p in r.pieces]) for r in out.collect()}
+    assert got == {"a": ("X-y", 2, 0, [(0, 1, 0, 1), (1, 1, 1, 2)]), "b": ("", 0, 0, []), "c": ("z", 0, 0, [])}
