@@ -91,8 +91,12 @@ def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return len(keys).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
+def _length(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
+
+
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
+    n = _length(blob)
     planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=16 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(2, 8, n)
     steps, counts = [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes]
     return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
@@ -323,7 +327,7 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), float(k)) if k else 0.0 for k, d in enumerate(out)]
 
 
-def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", word_shards: int = 16, bigrams_per_shard: int = 4_000_000, order: int = 2) -> str:
+def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", word_shards: int = 16, bigrams_per_shard: int = 2_000_000, order: int = 2) -> str:
     """Count the texts of the rows where `chosen` holds (null text: no words) and write the model to `path`."""
     if order < 2:
         raise ValueError("the order has to be 2 at least")
@@ -378,8 +382,14 @@ def train(docs: DataFrame, chosen: Column, path: str, text_col: str = "text", wo
             for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(s, []).append(blob)
         for s in list(held):
-            parts = [_unpacked(x) for x in held.pop(s)]
-            yield s, *_counted(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+            blobs = held.pop(s)
+            keys = np.empty(sum(_length(x) for x in blobs), dtype=np.uint64)
+            counts, at = np.empty(len(keys), dtype=np.int64), 0
+            while blobs:  # no second copy of the parts
+                k, c = _unpacked(blobs.pop())
+                keys[at : at + len(k)], counts[at : at + len(k)] = k, c
+                at += len(k)
+            yield s, *_counted(keys, counts)
 
     def hot_flags(m: int, s: int, keys: np.ndarray, bits: int) -> np.ndarray:
         """Whether the last word but one is frequent."""
