@@ -6,9 +6,10 @@ empty table gives no rows. Counts are made where the rows are before anything is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import dealt
 from .ranks import top
 
 
@@ -34,9 +35,16 @@ def merged_scans(rows: DataFrame, key: str, sums: list[str], items: str, kinds:
 
 
 def reachable_reads(reads: DataFrame, body: str, reachable: DataFrame, key: str, in_loop: Column) -> DataFrame:
-    """key, sites, bodies, in_loop: what reachable bodies read, how often, in how many bodies and how often in a loop."""
-    kept = used_among(reads, body, reachable)
-    return kept.groupBy(key).agg(F.count(F.lit(1)).alias("sites"), F.count_distinct(body).alias("bodies"), F.count_if(in_loop).alias("in_loop"))
+    """key, sites, bodies, in_loop: what reachable bodies read, how often, in how many bodies and how often in a loop.
+
+    Reads are dealt by body and sorted once, so the first read of a key in its body is known before
+    bodies meet the reachable ones: no task holds a table of (key, body). A body's reads are one task's.
+    """
+    n = reads.count()
+    first = F.row_number().over(Window.partitionBy(body, key).orderBy(key)) == 1
+    marked = dealt(reads.select(body, key, in_loop.alias("__loop")), n, body).withColumn("__first", first)
+    kept = marked.join(dealt(reachable.select(body).distinct(), n, body), body)
+    return kept.groupBy(key).agg(F.count(F.lit(1)).alias("sites"), F.count_if("__first").alias("bodies"), F.count_if("__loop").alias("in_loop"))
 
 
 def with_examples(rows: DataFrame, key: str, example: str, limit: int = 5) -> DataFrame:

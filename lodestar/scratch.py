@@ -1,4 +1,4 @@
-"""Tables written to the cluster's shared folder, to end a lineage that a loop would repeat."""
+"""Tables written to the cluster's shared folder, to end a lineage that a loop would repeat; rows dealt to tasks by their number."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+TASK_ROWS = 2_000_000  # rows that a task sorts at once
+
 
 def stored(df: DataFrame) -> DataFrame:
     """The table, written to the folder of spark.checkpoint.dir and read back (a temporary folder on a local master)."""
@@ -20,3 +22,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows dealt by columns to as many tasks as `n` rows (of this or a larger table that it meets) need at TASK_ROWS each."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *by)

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import census, joins
+from lodestar import scratch
+from lodestar.operators import census, joins, tallies
 from lodestar.plans.catalog import QUERIES
 from lodestar.scripts import edits, facts
 from lodestar.sources import captures, engine_log
@@ -76,3 +77,15 @@ def test_scripts_are_dealt_before_they_are_rewritten(spark):
     assert "RepartitionByExpression [path" in plan(out)
     got = {r.path: (r.text, r.applied, r.dropped, [tuple(p) for p in r.pieces]) for r in out.collect()}
     assert got == {"a": ("X-y", 2, 0, [(0, 1, 0, 1), (1, 1, 1, 2)]), "b": ("", 0, 0, []), "c": ("z", 0, 0, [])}
+
+
+def test_reads_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 50)
+    rows = [(None if i % 31 == 0 else i % 97, None if i % 7 == 0 else i % 5, None if i % 3 == 0 else i % 2 == 0) for i in range(1000)]
+    reads, reachable = spark.createDataFrame(rows, "body long, key long, loop boolean"), spark.createDataFrame([(b,) for b in (*range(0, 97, 2), 4, 4, None)], "body long")
+    out = tallies.reachable_reads(reads, "body", reachable, "key", F.col("loop"))
+    assert "RepartitionByExpression [body" in plan(out) and ", 20" in plan(out) and "count(distinct" not in plan(out)
+    kept = [r for r in rows if r[0] is not None and r[0] % 2 == 0]
+    want = {k: (len(of), len({r[0] for r in of}), sum(r[2] is True for r in of)) for k in {r[1] for r in kept} for of in [[r for r in kept if r[1] == k]]}
+    assert {r.key: (r.sites, r.bodies, r.in_loop) for r in out.collect()} == want
+    assert tallies.reachable_reads(reads.limit(0), "body", reachable, "key", F.col("loop")).count() == 0
