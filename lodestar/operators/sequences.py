@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import stored
+from ..scratch import dealt, stored
 from .ranks import ranked_values
 
 
@@ -59,15 +59,23 @@ def max_path(rows: DataFrame, keys: list[str], chain: str) -> DataFrame:
 
     `chain` is the path of a row through nested forks, an array of structs (fork, branch). Of the
     branches of a fork only one is taken, so it counts with its largest; forks and rows side by side
-    add up. Innermost forks are folded first, one aggregation for each level of nesting.
+    add up. Innermost forks are folded first, into the first of their rows. Rows are dealt by key and
+    sorted along their paths once; all levels are windows in that order. A key's rows are one task's.
     """
-    flat = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("flat"))
-    now = rows.groupBy(*keys, F.col(chain).alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
-    deepest = now.agg(F.max(F.size("__at")).alias("d")).first().d or 0
+    seen = rows.agg(F.max(F.size(chain)).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    deepest = max(seen.d or 0, 0)
+    path = [f"__{part}{i}" for i in range(deepest) for part in ("fork", "branch")]
+    steps = [F.get(chain, F.lit(i))[part].alias(f"__{part}{i}") for i in range(deepest) for part in ("fork", "branch")]
+    now = dealt(rows.select(*keys, F.coalesce(F.size(chain), F.lit(0)).alias("__deep"), *steps), seen.n, *keys)
+    n = F.lit(1).cast("long")
     for depth in range(deepest, 0, -1):
-        # Rows of this depth go to their fork, the largest branch stays; others are by themselves.
-        ends = F.size("__at") == depth
-        up, fork = F.when(ends, F.slice("__at", 1, depth - 1)).otherwise(F.col("__at")), F.when(ends, F.get("__at", F.lit(depth - 1))["fork"])
-        largest = now.groupBy(*keys, up.alias("__up"), fork.alias("__fork")).agg(F.max("__n").alias("__n"))
-        now = largest.groupBy(*keys, F.col("__up").alias("__at")).agg(F.sum("__n").alias("__n"))
-    return now.groupBy(*keys).agg(F.sum("__n").alias("worst")).join(flat, keys)
+        # Rows of this depth are counted by branch, the largest goes to the fork's first row; others are by themselves.
+        ends, upto = F.col("__deep") >= depth, 2 * depth
+        fork = Window.partitionBy(*keys, *path[: upto - 1]).orderBy(*path[upto - 1 :])
+        now = now.withColumn("__sum", F.sum(F.when(ends, n)).over(Window.partitionBy(*keys, *path[:upto])))
+        largest = F.max("__sum").over(fork.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        place = F.count(F.when(ends, 1)).over(fork.rowsBetween(Window.unboundedPreceding, 0))
+        now = now.withColumns({"__largest": largest, "__place": place})
+        now = now.withColumn("__n", F.when(~ends, n).when(F.col("__place") == 1, F.col("__largest")).otherwise(0))
+        n = F.col("__n")
+    return now.groupBy(*keys).agg(F.sum(n).alias("worst"), F.count(F.lit(1)).alias("flat"))

@@ -1,13 +1,14 @@
 """What must not grow: expressions repeated in plans, texts parsed again, tasks that hold all; and results at ties."""
 
 import math
+import random
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar import scratch
-from lodestar.operators import census, joins, tallies
+from lodestar.operators import census, joins, sequences, tallies
 from lodestar.plans.catalog import QUERIES
 from lodestar.scripts import edits, facts
 from lodestar.sources import captures, engine_log
@@ -89,3 +90,26 @@ def test_reads_are_dealt_by_their_number(spark, monkeypatch):
     want = {k: (len(of), len({r[0] for r in of}), sum(r[2] is True for r in of)) for k in {r[1] for r in kept} for of in [[r for r in kept if r[1] == k]]}
     assert {r.key: (r.sites, r.bodies, r.in_loop) for r in out.collect()} == want
     assert tallies.reachable_reads(reads.limit(0), "body", reachable, "key", F.col("loop")).count() == 0
+
+
+def worst(chains: list, depth: int = 0) -> int:
+    forks = {}
+    for c in chains:
+        if len(c) > depth:
+            forks.setdefault(c[depth][0], {}).setdefault(c[depth][1], []).append(c)
+    return sum(len(c) <= depth for c in chains) + sum(max(worst(b, depth + 1) for b in branches.values()) for branches in forks.values())
+
+
+def test_paths_are_dealt_by_their_number_and_sorted_once(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 50)
+    draw = random.Random(7)
+    step = lambda: (draw.choice([0, 1, None]), draw.choice([-1, 0, 1, None]))
+    rows = [(draw.choice(["a", "b", None]), i % 20, None if i % 50 == 0 else [step() for _ in range(draw.randrange(5))]) for i in range(1000)]
+    out = sequences.max_path(spark.createDataFrame(rows, "k string, j int, chain array<struct<fork:int,branch:int>>"), ["k", "j"], "chain")
+    assert out.rdd.getNumPartitions() == 20
+    physical = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert physical.count("Sort [") == 1 and physical.count("Exchange") == 1
+    want = {}
+    for k, j, c in rows:
+        want.setdefault((k, j), []).append(c or [])
+    assert {(r.k, r.j): (r.worst, r.flat) for r in out.collect()} == {k: (worst(c), len(c)) for k, c in want.items()}
