@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import dealt, stored
+from ..scratch import crowded, dealt, stored
 from .ranks import ranked_values
 
 
@@ -60,14 +60,18 @@ def max_path(rows: DataFrame, keys: list[str], chain: str) -> DataFrame:
     `chain` is the path of a row through nested forks, an array of structs (fork, branch). Of the
     branches of a fork only one is taken, so it counts with its largest; forks and rows side by side
     add up. Innermost forks are folded first, into the first of their rows. Rows are dealt by key and
-    sorted along their paths once; all levels are windows in that order. A key's rows are one task's.
+    sorted along their paths once; all levels are windows in that order. Rows of a key that has more
+    than fit a task are counted by path where they are.
     """
-    seen = rows.agg(F.max(F.size(chain)).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    deepest = max(seen.d or 0, 0)
+    total, deepest, hot = crowded(rows, *keys, most=F.size(chain))
+    deepest = max(deepest or 0, 0)
     path = [f"__{part}{i}" for i in range(deepest) for part in ("fork", "branch")]
     steps = [F.get(chain, F.lit(i))[part].alias(f"__{part}{i}") for i in range(deepest) for part in ("fork", "branch")]
-    now = dealt(rows.select(*keys, F.coalesce(F.size(chain), F.lit(0)).alias("__deep"), *steps), seen.n, *keys)
-    n = F.lit(1).cast("long")
+    now, n = rows.select(*keys, F.coalesce(F.size(chain), F.lit(0)).alias("__deep"), *steps), F.lit(1).cast("long")
+    if hot is not None:
+        many = now.filter(hot).groupBy(*now.columns).agg(F.sum(n).alias("__rows"))
+        now, n = now.filter(~hot).withColumn("__rows", n).unionByName(many), F.col("__rows")
+    now, flat = dealt(now, total, *keys), F.sum(n).alias("flat")
     for depth in range(deepest, 0, -1):
         # Rows of this depth are counted by branch, the largest goes to the fork's first row; others are by themselves.
         ends, upto = F.col("__deep") >= depth, 2 * depth
@@ -78,4 +82,4 @@ def max_path(rows: DataFrame, keys: list[str], chain: str) -> DataFrame:
         now = now.withColumns({"__largest": largest, "__place": place})
         now = now.withColumn("__n", F.when(~ends, n).when(F.col("__place") == 1, F.col("__largest")).otherwise(0))
         n = F.col("__n")
-    return now.groupBy(*keys).agg(F.sum(n).alias("worst"), F.count(F.lit(1)).alias("flat"))
+    return now.groupBy(*keys).agg(F.sum(n).alias("worst"), flat)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import dealt
+from ..scratch import crowded, dealt
 from .ranks import top
 
 
@@ -38,13 +38,19 @@ def reachable_reads(reads: DataFrame, body: str, reachable: DataFrame, key: str,
     """key, sites, bodies, in_loop: what reachable bodies read, how often, in how many bodies and how often in a loop.
 
     Reads are dealt by body and sorted once, so the first read of a key in its body is known before
-    bodies meet the reachable ones: no task holds a table of (key, body). A body's reads are one task's.
+    bodies meet the reachable ones: no task holds a table of (key, body). Reads of a body that has more
+    than fit a task are counted by key where they are.
     """
-    n = reads.count()
+    n, _, hot = crowded(reads, body)
+    rows = reads.select(body, key, in_loop.alias("__loop"))
+    sites, loops = F.lit(1).cast("long"), F.coalesce(F.col("__loop").cast("int"), F.lit(0)).cast("long")
+    if hot is not None:
+        many = rows.filter(hot).groupBy(body, key).agg(F.sum(sites).alias("__sites"), F.sum(loops).alias("__loops"))
+        rows = rows.filter(~hot).select(body, key, sites.alias("__sites"), loops.alias("__loops")).unionByName(many)
+        sites, loops = F.col("__sites"), F.col("__loops")
     first = F.row_number().over(Window.partitionBy(body, key).orderBy(key)) == 1
-    marked = dealt(reads.select(body, key, in_loop.alias("__loop")), n, body).withColumn("__first", first)
-    kept = marked.join(dealt(reachable.select(body).distinct(), n, body), body)
-    return kept.groupBy(key).agg(F.count(F.lit(1)).alias("sites"), F.count_if("__first").alias("bodies"), F.count_if("__loop").alias("in_loop"))
+    kept = dealt(rows, n, body).withColumn("__first", first).join(dealt(reachable.select(body).distinct(), n, body), body)
+    return kept.groupBy(key).agg(F.sum(sites).alias("sites"), F.count_if("__first").alias("bodies"), F.sum(loops).alias("in_loop"))
 
 
 def with_examples(rows: DataFrame, key: str, example: str, limit: int = 5) -> DataFrame:

@@ -113,3 +113,20 @@ def test_paths_are_dealt_by_their_number_and_sorted_once(spark, monkeypatch):
     for k, j, c in rows:
         want.setdefault((k, j), []).append(c or [])
     assert {(r.k, r.j): (r.worst, r.flat) for r in out.collect()} == {k: (worst(c), len(c)) for k, c in want.items()}
+
+
+def test_crowded_keys_are_counted_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 300)
+    rows = [(0 if i % 2 else None if i % 5 == 0 else i, i % 4, [] if i % 3 == 0 else [(i % 3, i % 7)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "body long, key long, chain array<struct<fork:int,branch:int>>")
+    out = sequences.max_path(df, ["body"], "chain")
+    assert "Union" in plan(out) and plan(out).count("Aggregate") == 2
+    want = {}
+    for b, _, c in rows:
+        want.setdefault(b, []).append(c)
+    assert {r.body: (r.worst, r.flat) for r in out.collect()} == {b: (worst(c), len(c)) for b, c in want.items()}
+    read = tallies.reachable_reads(df, "body", df.select("body").filter("body IS NULL OR body % 3 = 0"), "key", F.size("chain") > 0)
+    assert "Union" in plan(read)
+    kept = [r for r in rows if r[0] is not None and r[0] % 3 == 0]
+    of = {k: [r for r in kept if r[1] == k] for k in range(4)}
+    assert {r.key: (r.sites, r.bodies, r.in_loop) for r in read.collect()} == {k: (len(v), len({r[0] for r in v}), sum(bool(r[2]) for r in v)) for k, v in of.items() if v}
